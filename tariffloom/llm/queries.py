@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .ann import op5_ann
 from .bpe import op8_bpe
+from .html import op9_html
 from .packing import op3_packing
 from .sharding import op6_sharding
 from .tokenfiles import op7_tokenfiles
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_topk, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html)}
 SQL = {"op1_topk": OP1_SQL}
