@@ -124,6 +124,18 @@ class Words:
         return WORDS.spans(WORDS.prefix(self.hash), at, at + n)
 
 
+def shingle_sets(column: pa.Array, n: int, fold: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct hashes of its runs of n words) for each row; of fewer words the whole run, of none nothing."""
+    for words in hashed(column, fold):
+        prefix = WORDS.prefix(words.hash)
+        at = np.arange(max(0, len(words.hash) - n + 1))
+        runs = WORDS.spans(prefix, at, at + n)
+        for k in range(words.last - words.first):
+            a, b = int(words.rows[k]), int(words.rows[k + 1])
+            found = runs[a : b - n + 1] if b - a >= n else WORDS.spans(prefix, np.array([a]), np.array([b])) if b > a else runs[:0]
+            yield words.first + k, np.unique(found)
+
+
 def hashed(column: pa.Array, fold: bool, chunk: int = CHUNK_BYTES, between: np.ndarray = SPACE) -> Iterator[Words]:
     """Words of a text column in chunks of whole rows; null is an empty text. between: which bytes separate words."""
     if isinstance(column, pa.ChunkedArray):
