@@ -8,9 +8,10 @@ from .html import op9_html
 from .neardup import op2_neardup
 from .packing import op3_packing
 from .sharding import op6_sharding
+from .substrings import op10_substrings
 from .tokenfiles import op7_tokenfiles
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html, op10_substrings)}
 SQL = {"op1_topk": OP1_SQL}
