@@ -155,6 +155,20 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """docs without those that are linked, directly or not, to one with a smaller doc_id, and without repeated rows.
+
+    The ids of what goes are broadcast up to s.filter_rows and joined beyond; so are those that rows repeat."""
+    judged = cut(near_duplicates(docs, s))
+    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    twice = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    hint = lambda ids: F.broadcast(ids) if ids.count() <= s.filter_rows else ids
+    gone, twice = hint(cut(gone)), hint(cut(twice))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    same = lambda how: kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), how)
+    return same("left_anti").unionByName(same("left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 

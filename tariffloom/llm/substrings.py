@@ -61,9 +61,9 @@ def groups(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(keys[a]), slice(a, b)
 
 
-PACKED = "kind int, part long, doc_id long, digest long, n_words long, sha256 string, hashes binary, who binary, starts binary, docs binary"
+PACKED = "kind int, part long, doc_id long, digest long, n_words long, sha256 string, hashes binary, who binary, starts binary, docs binary, stamp long"
 NAMES = [x.split(" ")[0] for x in PACKED.split(", ")]
-TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 DOCUMENT, ENTRIES, KNOWN = 0, 1, 2
 
 
@@ -108,13 +108,14 @@ def scan(s: Settings, reducers: int):
     def run(batches):
         for b in batches:
             texts, doc_ids = b.column("text"), np.array(b.column("doc_id").fill_null(-(2**63)).to_numpy())
+            stamps = b.column("stamp").to_pylist()
             rows, ids, hashes, who = [], np.zeros((b.num_rows, 2), I64), [], []
             ids[:, 0] = doc_ids
             for words in hashed(texts, fold=False):
                 ids[words.first : words.last, 1] = digests(words)
                 for k in range(words.last - words.first):
                     body = words.data[words.bounds[k] : words.bounds[k + 1]].tobytes()
-                    rows.append({"kind": DOCUMENT, "doc_id": int(doc_ids[words.first + k]), "digest": int(ids[words.first + k, 1]), "n_words": int(words.rows[k + 1] - words.rows[k]), "sha256": hashlib.sha256(b" ".join(body.split())).hexdigest()})
+                    rows.append({"kind": DOCUMENT, "doc_id": int(doc_ids[words.first + k]), "digest": int(ids[words.first + k, 1]), "n_words": int(words.rows[k + 1] - words.rows[k]), "sha256": hashlib.sha256(b" ".join(body.split())).hexdigest(), "stamp": stamps[words.first + k]})
                 starts, places, phrases = picked(words, s)
                 places = np.unique(places)
                 hashes.append(phrases[places])
@@ -284,12 +285,12 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     a reducer once for each batch, not once for each text. Null texts have no words; rows that repeat a doc_id are
     judged alike, as nothing starts earlier than itself; an empty table gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("stamp"))
     total = docs.count()
     reducers, shards = max(12, total // s.docs_of_reducer), max(12, total // s.docs_of_shard)
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
     first = cut(rows.mapInArrow(scan(s, reducers), PACKED))
-    every = first.where(F.col("kind") == DOCUMENT).select("doc_id", "digest", "n_words", "sha256")
+    every = first.where(F.col("kind") == DOCUMENT).select("doc_id", "digest", "n_words", "sha256", "stamp")
     origin = every.groupBy("digest").agg(F.min("doc_id").alias("origin"))
     every = cut(every.join(origin, "digest").withColumn("copy", (F.col("doc_id") > F.col("origin")) & (F.col("n_words") >= s.window)).drop("origin"))
 
@@ -313,10 +314,27 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     return out.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", gone.cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(EMPTY)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sha256")).alias("kept_sha256"),
-        F.when(~F.col("copy"), F.col("kept")).alias("kept"), "digest",
+        F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"), "stamp",
     )
 
 
+def rewrite(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """All rows and columns of docs; texts that lost words are the kept words joined by spaces, with n_chars to match.
+
+    Only rewritten texts are shuffled; the list of their ids is broadcast up to s.filter_rows and joined beyond."""
+    changed = cut(remove_repeats(docs, s).where("n_removed > 0").select("doc_id", "stamp", "kept").distinct())
+    ids = cut(changed.select("doc_id").distinct())
+    hint = F.broadcast(ids) if ids.count() <= s.filter_rows else ids
+    same = docs.join(hint, docs["doc_id"].eqNullSafe(hint["doc_id"]), "left_anti")
+    ahead = docs.join(hint, docs["doc_id"].eqNullSafe(hint["doc_id"]), "left_semi").withColumn("_stamp", F.xxhash64("text"))
+    new = changed.select(F.col("doc_id").alias("_id"), F.col("stamp").alias("_new_stamp"), "kept")
+    done = ahead.join(new, ahead["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_stamp") == F.col("_new_stamp")), "left")
+    done = done.withColumn("text", F.coalesce("kept", "text"))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return same.unionByName(done.select(docs.columns))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -118,7 +118,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns:
     """The chosen columns of every row with score and predicted; null and empty texts score what the bias says."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*(columns or docs.columns))
-    ahead = docs.select(*(F.col(c) for c in kept.columns), F.col("text").alias("_scored_text"))
+    ahead = kept if "text" in kept.columns else docs.select(*(F.col(c) for c in kept.columns), "text")
+    place = ahead.columns.index("text")
     names_out = [*kept.columns, "score", "predicted"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["score double", "predicted int"])
 
@@ -126,17 +127,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns:
         names, weights, bias = held.value
         for b in batches:
             total = np.full(b.num_rows, bias)
-            for row, found in features(b.column(b.num_columns - 1)):
+            for row, found in features(b.column(place)):
                 at = np.searchsorted(names, found)
                 at[at == len(names)] = 0
                 if len(names):
                     total[row] += weights[at[names[at] == found]].sum()
             p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], names=names_out)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names_out) - 2], pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], names=names_out)
 
     return ahead.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of docs that a model fitted on docs and labels doesn't predict to be toxic."""
+    return score(docs, fit(docs, labels, s), s=s).where("predicted = 0").select(docs.columns)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
