@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pricing
+from . import lists, pricing
 
-MODULES = (pricing,)
+MODULES = (pricing, lists)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

@@ -76,7 +76,7 @@ partners AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(day AS VARCHAR), CAST(p AS VARCHAR)) AS item_id, l_orderkey AS document_id, l_suppkey AS partner_id,
     'Service ' || l_partkey AS service_name_raw, CASE WHEN match_status <> 'unmatched' THEN l_partkey END AS service_id, match_status,
     CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN -p ELSE p END AS price,
-    CAST(round(CAST(p * CAST(100 + round(100 * l_tax) - round(100 * l_discount) AS DECIMAL(5,0)) AS DECIMAL(24,4)) / 100, 2) AS DECIMAL(14,2)) AS price_nonresident,
+    CAST(round(p * CAST(100 + round(100 * l_tax) - round(100 * l_discount) AS DECIMAL(5,0)) * 0.01, 2) AS DECIMAL(14,2)) AS price_nonresident,
     CASE WHEN l_orderkey % 89 <> 0 THEN day END AS effective_date, l_linestatus = 'F' AS is_verified
   FROM items0
 )
