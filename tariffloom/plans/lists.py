@@ -152,7 +152,7 @@ SELECT (SELECT count(*) FROM partners) AS partners_total, (SELECT count(*) FROM
 SELECT file_format, d.documents, coalesce(items, 0) AS items, coalesce(matched, 0) AS matched, coalesce(round(100.0 * CAST(matched AS DOUBLE) / items, 1), 0) AS percent FROM (SELECT file_format, count(*) AS documents FROM docs GROUP BY 1) d LEFT JOIN r USING (file_format)""",
     "match_status_counts": D + "SELECT match_status, count(*) AS n FROM items GROUP BY 1",
     "version_lines": D + "SELECT partner_id, service_name_raw, count(*) AS versions FROM items GROUP BY ALL HAVING count(*) > 1",
-    "price_history": ACTIVE + "SELECT service_id, partner_id, coalesce(CAST(effective_date AS VARCHAR), '') AS day, median(CAST(resident_kzt AS DOUBLE)) AS resident_median, median(CAST(nonresident_kzt AS DOUBLE)) AS nonresident_median, bool_or(is_anomaly) AS is_anomaly, max(version) AS version, count(*) AS n_items FROM items_all WHERE service_id IS NOT NULL GROUP BY service_id, partner_id, effective_date",
+    "price_history": ACTIVE + "SELECT service_id, partner_id, coalesce(CAST(effective_date AS VARCHAR), '') AS day, round(median(CAST(resident_kzt AS DOUBLE)), 3) AS resident_median, round(median(CAST(nonresident_kzt AS DOUBLE)), 3) AS nonresident_median, bool_or(is_anomaly) AS is_anomaly, max(version) AS version, count(*) AS n_items FROM items_all WHERE service_id IS NOT NULL GROUP BY service_id, partner_id, effective_date",
     "category_tree": D + ", leaves AS (SELECT list_filter([category, specialty], lambda x: x IS NOT NULL AND x <> '') AS p FROM services WHERE is_active)" + TREE,
     "partner_tree": ACTIVE + ", leaves AS (SELECT [CAST(a.partner_id AS VARCHAR), coalesce(nullif(s.category, ''), 'Без категории')] AS p FROM act a LEFT JOIN services s USING (service_id) WHERE a.partner_id < 40)" + TREE,
 }
