@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lists, matching, pricing
+from . import ingestion, lists, matching, pricing
 
-MODULES = (pricing, lists, matching)
+MODULES = (pricing, lists, matching, ingestion)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

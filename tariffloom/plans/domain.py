@@ -44,10 +44,14 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """Raw priced rows, before conversion and validation."""
+    return items_of(read(spark, d, "lineitem"))
+
+
+def items_of(lines: DataFrame) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(14,2)")
     day = F.to_date("l_shipdate")
     matched = F.when(F.col("l_returnflag") == "N", "matched_auto").when((F.col("l_returnflag") == "A") & (F.col("l_partkey") % 3 == 0), "needs_review").when(F.col("l_returnflag") == "A", "matched_manual").when(F.col("l_partkey") % 2 == 0, "unmatched").otherwise("matched_auto")
-    return read(spark, d, "lineitem").select(
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", day.cast("string"), price.cast("string")).alias("item_id"),
         F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("partner_id"), F.concat(F.lit("Service "), F.col("l_partkey").cast("string")).alias("service_name_raw"),
         F.when(matched != "unmatched", F.col("l_partkey")).alias("service_id"), matched.alias("match_status"),
