@@ -26,13 +26,13 @@ def tokens(text: Column) -> Column:
 
 def split_synonyms(text: Column) -> Column:
     """Parts between ; and , trimmed, without blanks; of those equal but for case the first, in order."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, 1, i), lambda y: F.lower(y) == F.lower(x)))
 
 
 def split_path(text: Column) -> Column:
     """Levels of a category path written with > / » or ›."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[>/»›]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[>/»›]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def category_path(explicit: Column, *levels: Column) -> Column:
