@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -12,19 +11,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import Cache
+from .common import tidied
+from .tokens import WORD_LEVEL, Cache, byte_letters, folded
 
-#: The tokenizer file's own pre-tokenizer pattern, with its white space written as a property.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 NEVER = 1 << 30
 
 
-def byte_letters() -> dict[int, str]:
-    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in plain)}
-
-
 class Bpe:
     """One tokenizer file: its tokens as strings over 512 symbols (a byte, or a byte that ends a word), its merges as trees."""
 
@@ -129,23 +121,18 @@ class Bpe:
         return np.array(out[::-1], dtype="<u4").tobytes()
 
     def stretch(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        else:
-            text = text.lower()
-        return b"".join([self.pieces[p] for p in PIECES.findall(text)])
+        return b"".join([self.pieces[p] for p in WORD_LEVEL.findall(folded(text))])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit bytes; an added token's string in a text is that token."""
-        known, out = self.stretches, []
+        known, out = self.stretches.__getitem__, []
         for text in texts:
             if not text:
                 out.append(b"")
             elif any(x in text for x in self.added):
-                out.append(b"".join(np.array([self.added[p]], "<u4").tobytes() if p in self.added else b"".join([known[w] for w in p.split(" ")]) for p in self.cut.split(text)))
+                out.append(b"".join(np.array([self.added[p]], "<u4").tobytes() if p in self.added else b"".join(map(known, p.split(" "))) for p in self.cut.split(text)))
             else:
-                out.append(b"".join([known[w] for w in text.split(" ")]))
+                out.append(b"".join(map(known, text.split(" "))))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -159,7 +146,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         model = Bpe.of(tokenizer)
-        for b in batches:
+        for b in tidied(batches):
             for at in range(0, b.num_rows, 100):
                 found = model.encode(b.column("text")[at : at + 100].to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
@@ -174,7 +161,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         model = Bpe.of(tokenizer)
-        for b in batches:
+        for b in tidied(batches):
             for at in range(0, b.num_rows, 100):
                 some = b.slice(at, 100)
                 texts = [model.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in some.column("ids")]

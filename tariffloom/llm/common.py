@@ -8,6 +8,7 @@ share a 64-bit hash with a probability of about n * n / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -27,13 +28,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 2_000  # of texts in one Arrow batch: whole texts may be long
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the library; a cluster gets it by --py-files."""
+    """Let Python workers on this machine import the library (a cluster gets it by --py-files), and keep batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
 
 
+def tidied(batches: Iterator[pa.RecordBatch], every: int = 4) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that numpy and Arrow have freed goes back to the system after some of them and at the end."""
+    n = 0
+    for n, batch in enumerate(batches):
+        yield batch
+        if n % every == every - 1:
+            trim()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; under a local temporary one only where that setting is absent (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|math|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -201,7 +203,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     names = [*kept, "text", "n_chars"]
 
     def run(batches):
-        for b in batches:
+        for b in tidied(batches):
             for at in range(0, b.num_rows, 500):
                 some = b.slice(at, 500)
                 texts = [main_text(x) for x in some.column(some.num_columns - 1).to_pylist()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, seeded, shingle_sets
+from .common import cut, mix, seeded, shingle_sets, tidied
 from .graph import components
 
 
@@ -19,14 +19,17 @@ class Settings:
 
     bands * rows / 2 permutations give a minimum and a maximum each; half of the bands are made of minima, half of
     maxima. At similarity 0.8 a pair shares no band with a probability of (1 - 0.8**5)**30, 7 in a million.
-    first: pivots of a band's bucket in the first round. filter_rows: ids of wanted texts that are broadcast at most.
+    first: pivots of a bucket in the first round, and growth their increase in each round; in buckets of at most small
+    nodes all are pivots at once. filter_rows: ids of wanted texts that are broadcast at most.
     """
 
     words: int = 5
     percent: int = 80
     bands: int = 30
     rows: int = 5
-    first: int = 3
+    first: int = 4
+    growth: int = 16
+    small: int = 24
     filter_rows: int = 1_000_000
     seed: int = 11
 
@@ -56,7 +59,7 @@ def profiles(docs: DataFrame, s: Settings) -> DataFrame:
     fold = seeded(s.seed + 3, s.rows) | np.uint64(1)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             n, nodes, keys = [], [], []
             for _, found in shingle_sets(batch.column("text"), s.words):
                 n.append(len(found))
@@ -82,7 +85,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Settings) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 sets = [found for _, found in shingle_sets(some.column("text"), s.words)]
@@ -96,10 +99,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs whose full sets reach the similarity: a, b."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= s.percent * (len(x) + len(y) - both))
             kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
@@ -109,6 +112,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links: only the labels that these connect are looked at again."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    again = cut(components(ends)).withColumnRenamed("label", "l_new")
+    old = labels.join(again.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("l_new", "label").alias("label"))
+    return old.unionByName(again.select("node", F.col("l_new").alias("label"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept.
 
@@ -125,28 +137,28 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     entries = cut(entries.join(shared, "key").distinct())
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"))
-    # where a node stands in the order of hashes, from 0 to 1
-    entries = cut(entries.join(sizes, "key").withColumn("place", (F.xxhash64("node").cast("double") + float(1 << 63)) / float(1 << 64)))
-    links = labels = compared = None
+    # node is a hash itself, so its place between the least and the greatest long picks a share of any bucket
+    entries = cut(entries.join(sizes, "key").withColumn("nth", (F.col("node").cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")))
+    labels = compared = None
     before, now = 0.0, float(s.first)
     while True:
         marked = entries.withColumn("label", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if labels is not None:
-            open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("most")).where((F.col("low") != F.col("high")) & (F.col("most") > before)).select("key")
+            open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("most")).where((F.col("low") != F.col("high")) & (F.col("most") > F.greatest(F.lit(before), F.lit(s.small)))).select("key")
             marked = cut(marked.join(open_, "key"))
             if marked.isEmpty():
                 break
-        pivots = marked.where((F.col("place") * F.col("size") < now) & (F.col("place") * F.col("size") >= before)).select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "label", "place")))
-        after = F.struct("place", "node") > F.struct("p_place", "p_node")
-        met = marked.join(pivots, "key").where((F.col("label") != F.col("p_label")) & after & (100 * F.least("n", "p_n") >= s.percent * F.greatest("n", "p_n")))
+        fits = (F.col("nth") < now) & (F.col("nth") >= before)
+        fits = fits | (F.col("size") <= s.small) if labels is None else fits & (F.col("size") > s.small)
+        pivots = marked.where(fits).select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "label")))
+        met = marked.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("node") > F.col("p_node")) & (100 * F.least("n", "p_n") >= s.percent * F.greatest("n", "p_n")))
         pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
         pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         found = cut(confirmed(pairs, full_sets(docs, nodes, rows, s), s))
-        links = found if links is None else links.unionByName(found)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        labels = cut(components(links))
-        before, now = now, now * 4
+        labels = cut(components(found) if labels is None else joined(labels, found))
+        before, now = now, now * s.growth
     whole = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     whole = whole.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("least").alias("component"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 from .tokens import Encoder
 
 
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, s: Settings = Settings(), doc_id: str
         coder, bins, made = Encoder.of(tokenizer), Bins(s), 0
         end = np.array([s.end_id], dtype="<u4").tobytes()
         nth = 0
-        for b in batches:
+        for b in tidied(batches):
             ids, texts = b.column("doc_id"), b.column("text")
             for at in range(0, b.num_rows, 200):
                 out = []

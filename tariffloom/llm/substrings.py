@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, Words, cut, hashed
+from .common import WORDS, Words, cut, hashed, tidied
 
 U64, I64 = np.uint64, np.int64
 
@@ -93,20 +93,57 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) if x else np.zeros(0, I64) for x in out)
 
 
-def known(doc_id: np.ndarray, digest: np.ndarray, values: np.ndarray, column: str) -> list[dict]:
-    """What is known of documents, packed for each: recurring phrases ("hashes") or windows that start earlier ("starts")."""
-    order = np.lexsort((doc_id, digest))
-    doc_id, digest, values = doc_id[order], digest[order], values[order]
+def spark_hash(keys: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for a long: the public XXH64 of its 8 bytes under the seed 42."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+    h = (p5 + U64(50)) ^ (turn(keys.astype(I64).view(U64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> U64(33))) * p2
+    h = (h ^ (h >> U64(29))) * p3
+    return (h ^ (h >> U64(32))).view(I64)
+
+
+def known(doc_id: np.ndarray, digest: np.ndarray, values: np.ndarray, column: str, shards: int) -> list[dict]:
+    """What is known of documents, packed for each shard: recurring phrases ("hashes") or windows that start earlier ("starts")."""
+    part = np.mod(spark_hash(doc_id), shards)
+    order = np.lexsort((doc_id, digest, part))
+    part, doc_id, digest, values = part[order], doc_id[order], digest[order], values[order]
     changed = np.ones(len(order), bool)
     changed[1:] = (doc_id[1:] != doc_id[:-1]) | (digest[1:] != digest[:-1])
-    return [{"kind": KNOWN, "doc_id": int(doc_id[at.start]), "digest": int(digest[at.start]), column: values[at].tobytes()} for _, at in groups(np.cumsum(changed))]
+    out = []
+    for key, at in groups(part):
+        fresh = changed[at]
+        docs = np.stack([doc_id[at][fresh], digest[at][fresh]], axis=1)
+        out.append({"kind": KNOWN, "part": key, "who": (np.cumsum(fresh) - 1).astype(np.uint32).tobytes(), column: values[at].tobytes(), "docs": docs.tobytes()})
+    return out
+
+
+def of_documents(column: str, kind: type):
+    """All that is known of a shard's documents, in one row for each."""
 
+    def run(table: pa.Table) -> pa.Table:
+        ids, values = [], []
+        for w, d, x in zip(*(table[c].to_pylist() for c in ("who", "docs", column))):
+            ids.append(np.frombuffer(d, I64).reshape(-1, 2)[np.frombuffer(w, np.uint32)])
+            values.append(np.frombuffer(x, kind))
+        ids, values = np.concatenate(ids), np.concatenate(values)
+        order = np.lexsort((ids[:, 0], ids[:, 1]))
+        ids, values = ids[order], values[order]
+        changed = np.ones(len(order), bool)
+        changed[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+        found = [(int(ids[at.start, 0]), int(ids[at.start, 1]), values[at].tobytes()) for _, at in groups(np.cumsum(changed))]
+        columns = list(zip(*found)) or [()] * 3
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "digest", column])
 
-def scan(s: Settings, reducers: int):
+    return run
+
+
+def scan(s: Settings, reducers: int, shards: int):
     """First pass: each document's word count, digest and hash of its words, and the phrases that its windows pick."""
 
     def run(batches):
-        for b in batches:
+        for b in tidied(batches):
             texts, doc_ids = b.column("text"), np.array(b.column("doc_id").fill_null(-(2**63)).to_numpy())
             stamps = b.column("stamp").to_pylist()
             rows, ids, hashes, who = [], np.zeros((b.num_rows, 2), I64), [], []
@@ -137,14 +174,12 @@ def scan(s: Settings, reducers: int):
             again[:-1] = ~first[1:]
             again |= ~first
             yield packed(entries(h[first], w[first], None, ids, again[first], reducers))
-            found = known(ids[w[again], 0], ids[w[again], 1], h[again], "hashes")
-            for at in range(0, len(found), 2000):
-                yield packed(found[at : at + 2000])
+            yield packed(known(ids[w[again], 0], ids[w[again], 1], h[again], "hashes", shards))
 
     return run
 
 
-def recurring(table: pa.Table) -> pa.Table:
+def recurring(table: pa.Table, shards: int) -> pa.Table:
     """A reducer's phrases that documents with different words, or a whole batch before, have picked."""
     h, doc_id, digest, _, marks = unpacked(table)
     order = np.lexsort((digest, h))
@@ -154,7 +189,7 @@ def recurring(table: pa.Table) -> pa.Table:
     differs[1:] = (h[1:] == h[:-1]) & (digest[1:] != digest[:-1])
     often = np.bincount(group, weights=differs | marks) > 0 if len(h) else np.zeros(0, bool)
     give = often[group] & ~marks if len(h) else np.zeros(0, bool)
-    return pa.Table.from_batches([packed(known(doc_id[give], digest[give], h[give], "hashes"))])
+    return pa.Table.from_batches([packed(known(doc_id[give], digest[give], h[give], "hashes", shards))])
 
 
 def located(chunks: list[Words], phrases: np.ndarray, s: Settings) -> list[np.ndarray]:
@@ -190,7 +225,7 @@ def located(chunks: list[Words], phrases: np.ndarray, s: Settings) -> list[np.nd
     return out
 
 
-def confirm(s: Settings, reducers: int):
+def confirm(s: Settings, reducers: int, shards: int):
     """A shard's texts: windows whose phrase recurs; those that the shard itself has earlier are settled, the rest go on."""
 
     def run(texts: pa.Table, recur: pa.Table) -> pa.Table:
@@ -217,7 +252,7 @@ def confirm(s: Settings, reducers: int):
         h, w, b = h[order], w[order], b[order]
         first, later = judged(h, ids[w, 0], b)
         out = entries(h[first], w[first], b[first], ids, np.zeros(first.sum(), bool), reducers)
-        return pa.Table.from_batches([packed(out + known(ids[w[later], 0], ids[w[later], 1], b[later].astype(np.int32), "starts"))])
+        return pa.Table.from_batches([packed(out + known(ids[w[later], 0], ids[w[later], 1], b[later].astype(np.int32), "starts", shards))])
 
     return run
 
@@ -232,13 +267,13 @@ def judged(h: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.nda
     return first, (doc_id != doc_id[at]) | (start != start[at])
 
 
-def settled(table: pa.Table) -> pa.Table:
+def settled(table: pa.Table, shards: int) -> pa.Table:
     """A reducer's windows that start later than the first with their hash."""
     h, doc_id, digest, start, _ = unpacked(table)
     order = np.lexsort((start, doc_id, h))
     h, doc_id, digest, start = h[order], doc_id[order], digest[order], start[order]
     _, later = judged(h, doc_id, start)
-    return pa.Table.from_batches([packed(known(doc_id[later], digest[later], start[later], "starts"))])
+    return pa.Table.from_batches([packed(known(doc_id[later], digest[later], start[later], "starts", shards))])
 
 
 def removed(s: Settings):
@@ -289,25 +324,28 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     total = docs.count()
     reducers, shards = max(12, total // s.docs_of_reducer), max(12, total // s.docs_of_shard)
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-    first = cut(rows.mapInArrow(scan(s, reducers), PACKED))
+    first = cut(rows.mapInArrow(scan(s, reducers, shards), PACKED))
     every = first.where(F.col("kind") == DOCUMENT).select("doc_id", "digest", "n_words", "sha256", "stamp")
     origin = every.groupBy("digest").agg(F.min("doc_id").alias("origin"))
     every = cut(every.join(origin, "digest").withColumn("copy", (F.col("doc_id") > F.col("origin")) & (F.col("n_words") >= s.window)).drop("origin"))
 
     send = lambda df: df.where(F.col("kind") == ENTRIES).select("part", "hashes", "who", "starts", "docs").groupBy("part")
-    found = cut(send(first).applyInArrow(recurring, PACKED))
-    recur = lambda df: df.where(F.col("kind") == KNOWN).select("doc_id", "digest", "hashes")
-    phrases = recur(first).unionByName(recur(found)).join(every.where("copy").select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_anti")
+    found = cut(send(first).applyInArrow(lambda t: recurring(t, shards), PACKED))
+
+    def gathered(a: DataFrame, b: DataFrame, column: str, kind: type) -> DataFrame:
+        some = a.unionByName(b).where(F.col("kind") == KNOWN).select("part", "who", "docs", column)
+        return some.groupBy("part").applyInArrow(of_documents(column, kind), f"doc_id long, digest long, {column} binary")
+
+    phrases = gathered(first, found, "hashes", U64).join(every.where("copy").select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_anti")
 
     def texts(of: DataFrame) -> DataFrame:
         ids = cut(of.select("doc_id").distinct())
         return rows.join(F.broadcast(ids) if ids.count() <= s.filter_rows else ids, "doc_id", "left_semi").select("doc_id", "text", shard).groupBy("shard")
 
     phrases = cut(phrases)
-    windows = cut(texts(phrases).cogroup(phrases.select("*", shard).groupBy("shard")).applyInArrow(lambda a, b: confirm(s, reducers)(a, b), PACKED))
-    later = cut(send(windows).applyInArrow(settled, PACKED))
-    flag = lambda df: df.where(F.col("kind") == KNOWN).select("doc_id", "digest", "starts")
-    flags = cut(flag(windows).unionByName(flag(later)))
+    windows = cut(texts(phrases).cogroup(phrases.select("*", shard).groupBy("shard")).applyInArrow(lambda a, b: confirm(s, reducers, shards)(a, b), PACKED))
+    later = cut(send(windows).applyInArrow(lambda t: settled(t, shards), PACKED))
+    flags = cut(gathered(windows, later, "starts", np.int32))
     changed = texts(flags).cogroup(flags.select("*", shard).groupBy("shard")).applyInArrow(lambda a, b: removed(s)(a, b), "doc_id long, digest long, n_removed long, kept string")
     out = every.join(changed, ["doc_id", "digest"], "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))

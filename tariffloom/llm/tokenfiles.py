@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidied
 from .tokens import Encoder
 
 MAGIC = b"PFR1"
@@ -28,26 +28,34 @@ class Settings:
     end_id: int = 1
 
 
-def pack_block(ids: np.ndarray, percentile: float) -> bytes:
-    """Minimum (4 bytes), count (4), width (1), number of outliers (4), packed low bits, outliers' places and whole offsets."""
-    low = int(ids.min())
-    rest = (ids - low).astype(np.uint32)
-    width = int(np.quantile(rest, percentile, method="higher")).bit_length()
-    outside = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    body = np.packbits(bits.ravel(), bitorder="little").tobytes()
-    return struct.pack("<IIBI", low, len(ids), width, len(outside)) + body + outside.astype("<u4").tobytes() + rest[outside].astype("<u4").tobytes()
+def pack_blocks(ids: np.ndarray, size: int, percentile: float) -> list[bytes]:
+    """Each block: minimum (4 bytes), count (4), width (1), number of outliers (4), packed low bits, outliers' places and
+    whole offsets. The width holds the given share of the block's offsets from its minimum."""
+    out = []
+    whole = len(ids) // size * size
+    for part in (ids[:whole].reshape(-1, size), ids[None, whole:]):
+        if part.size == 0:
+            continue
+        low = part.min(axis=1)
+        rest = (part - low[:, None]).astype("<u4")
+        nth = int(np.ceil(percentile * (rest.shape[1] - 1)))
+        widths = [int(x).bit_length() for x in np.partition(rest, nth, axis=1)[:, nth]]
+        bits = np.unpackbits(rest.view(np.uint8).reshape(*rest.shape, 4), axis=2, bitorder="little")
+        for k, width in enumerate(widths):
+            outside = np.flatnonzero(rest[k] >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
+            body = np.packbits(bits[k, :, :width], bitorder="little").tobytes()
+            out.append(struct.pack("<IIBI", int(low[k]), rest.shape[1], width, len(outside)) + body + outside.astype("<u4").tobytes() + rest[k, outside].tobytes())
+    return out
 
 
 def unpack_block(data: bytes) -> np.ndarray:
     low, count, width, outliers = struct.unpack_from("<IIBI", data)
     at = 13 + (count * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, at - 13, 13), bitorder="little")[: count * width].reshape(count, width)
-    rest = np.zeros(count, dtype=np.uint32)
-    for k in range(width):
-        rest |= bits[:, k].astype(np.uint32) << np.uint32(k)
-    where = np.frombuffer(data, "<u4", outliers, at)
-    rest[where] = np.frombuffer(data, "<u4", outliers, at + 4 * outliers)
+    bits = np.zeros((count, 32 if width > 16 else 16), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, at - 13, 13), count=count * width, bitorder="little").reshape(count, width)
+    rest = np.packbits(bits, axis=1, bitorder="little").view("<u4" if width > 16 else "<u2").ravel().astype(np.uint32)
+    if outliers:
+        rest[np.frombuffer(data, "<u4", outliers, at)] = np.frombuffer(data, "<u4", outliers, at + 4 * outliers)
     return rest + np.uint32(low)
 
 
@@ -57,7 +65,7 @@ def write_segment(documents: list[tuple[int | None, bytes]], s: Settings) -> byt
     none = np.array([i is None for i, _ in documents], dtype=np.uint8)
     sizes = np.array([len(x) // 4 for _, x in documents], dtype="<u4")
     ids = np.frombuffer(b"".join(x for _, x in documents), dtype="<u4")
-    blocks = [pack_block(ids[at : at + s.block], s.percentile) for at in range(0, len(ids), s.block)]
+    blocks = [b for at in range(0, len(ids), 64 * s.block) for b in pack_blocks(ids[at : at + 64 * s.block], s.block, s.percentile)]
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     return b"".join([MAGIC, struct.pack("<III", len(documents), len(blocks), s.block), keys.tobytes(), none.tobytes(), sizes.tobytes(), starts.tobytes(), *blocks])
 
@@ -101,7 +109,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, s: Settings = Settings(),
         def segment():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "documents": [len(held)], "ids": [size], "data": [write_segment(held, s)]})
 
-        for b in batches:
+        for b in tidied(batches):
             for at in range(0, b.num_rows, 200):
                 for i, x in zip(b.column("doc_id")[at : at + 200].to_pylist(), coder.encode(b.column("text")[at : at + 200].to_pylist())):
                     held.append((i, x + end))
@@ -128,7 +136,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     first = segments.join(F.broadcast(before.drop("n")), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("first"))
 
     def run(batches):
-        for b in batches:
+        for b in tidied(batches):
             for data, part, number in zip(*(b.column(c).to_pylist() for c in ("data", "part", "segment"))):
                 found = list(read_segment(data))
                 sizes = np.array([len(x) for _, x in found], dtype=np.int64)

@@ -6,29 +6,48 @@ import json
 import re
 import struct
 from collections.abc import Iterable
+from unicodedata import normalize
 
 import regex
 from tokenizers import Tokenizer
 
-CACHED = 700_000  # entries of one cache at most; at this many it starts anew
+CACHED = 500_000  # entries of one cache at most; at this many it starts anew
 #: Runs of white space that a split at single spaces would encode differently from the whole text.
 LONG_GAP = re.compile(r"\s\s\s|\s\s\Z")
 ODD_SPACE = re.compile(r"[^\S \n]")
 #: The public pre-tokenizer pattern of the byte-level tokenizer.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A word with at most one mark after it; both encode by themselves.
-WORD_AND_MARK = regex.compile(r"(\p{L}+)([.,!?;:]?)")
+#: That of the word tokenizer, with its white space written as a property.
+WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+MARKS = frozenset(".,")
+
+
+def byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def folded(text: str) -> str:
+    """The word tokenizer's normal form: NFC, then each character in lower case."""
+    if text.isascii():
+        return text.lower()
+    text = normalize("NFC", text)
+    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
 class Cache(dict):
     """Computes what it lacks, and forgets everything when full."""
 
-    def __init__(self, of):
+    def __init__(self, of, size: int = CACHED):
         super().__init__()
-        self.of = of
+        self.of, self.size = of, size
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) > CACHED:
+        if len(self) > self.size:
             self.clear()
         self[key] = found = self.of(key)
         return found
@@ -60,33 +79,36 @@ class Encoder:
             told = json.load(f)
         self.added = [x["content"] for x in told["added_tokens"]]
         self.keeps_space = (told["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.pieces = Cache(self.direct)
+        self.pieces = Cache(self.direct, 2 * CACHED)
         if self.keeps_space:
-            self.first = Cache(lambda w: self.split(w))
-            self.later = Cache(lambda w: self.split(" " + w))
+            self.first = Cache(lambda w: self.split("", w))
+            self.later = Cache(lambda w: self.split(" ", w))
         else:
             self.first = self.later = Cache(self.parted)
 
     def direct(self, text: str) -> bytes:
         word = text[1:] if self.keeps_space and text[:1] == " " else text
-        if word.isascii() and word.isalpha() and (self.keeps_space or word.islower()):
-            # nothing to normalise or to split; the byte level writes a space as U+0120
-            ids = [t.id for t in self.whole.model.tokenize(word if word is text else "\u0120" + word)]
+        if word.isalpha():
+            # letters alone have nothing to split, so the model gives the ids of their bytes' letters
+            ids = [t.id for t in self.whole.model.tokenize(text.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def split(self, stretch: str) -> bytes:
-        return b"".join([self.pieces[p] for p in BYTE_LEVEL.findall(stretch)])
+    def split(self, space: str, word: str) -> bytes:
+        if word.isalpha():
+            return self.pieces[space + word]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.pieces[space + word[:-1]] + self.pieces[word[-1]]
+        return b"".join([self.pieces[p] for p in BYTE_LEVEL.findall(space + word)])
 
     def parted(self, stretch: str) -> bytes:
-        if not stretch:
-            return b""
-        if m := WORD_AND_MARK.fullmatch(stretch):
-            word, mark = m.groups()
-            word = word.lower() if word.isascii() else word
-            return self.pieces[word] + (self.pieces[mark] if mark else b"")
-        return self.direct(stretch)
+        word = folded(stretch)
+        if word.isalpha():
+            return self.pieces[word]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.pieces[word[:-1]] + self.pieces[word[-1]]
+        return b"".join([self.pieces[p] for p in WORD_LEVEL.findall(word)])
 
     def safe(self, text: str) -> bool:
         if any(x in text for x in self.added):
@@ -99,7 +121,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         out = []
-        first, later = self.first, self.later
+        first, later = self.first, self.later.__getitem__
         for text in texts:
             if not text:
                 out.append(b"")
@@ -107,7 +129,7 @@ class Encoder:
                 out.append(self.direct(text))
             elif self.keeps_space:
                 head, *rest = text.split(" ")
-                out.append(first[head] + b"".join([later[w] for w in rest]))
+                out.append(first[head] + b"".join(map(later, rest)))
             else:
-                out.append(b"".join([later[w] for w in text.split(" ")]))
+                out.append(b"".join(map(later, text.split(" "))))
         return out

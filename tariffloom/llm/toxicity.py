@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, hashed, mix, seeded
+from .common import WORDS, hashed, mix, seeded, tidied
 
 #: Bytes that separate words here: ASCII other than letters and digits.
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns:
 
     def run(batches):
         names, weights, bias = held.value
-        for b in batches:
+        for b in tidied(batches):
             total = np.full(b.num_rows, bias)
             for row, found in features(b.column(place)):
                 at = np.searchsorted(names, found)
