@@ -21,6 +21,7 @@ class Settings:
     maxima. At similarity 0.8 a pair shares no band with a probability of (1 - 0.8**5)**30, 7 in a million.
     first: pivots of a bucket in the first round, and growth their increase in each round; in buckets of at most small
     nodes all are pivots at once. filter_rows: ids of wanted texts that are broadcast at most.
+    bits: of the bitmap of a set, by which pairs are ruled out before their sets are read; a multiple of 64.
     """
 
     words: int = 5
@@ -31,6 +32,7 @@ class Settings:
     growth: int = 16
     small: int = 24
     filter_rows: int = 1_000_000
+    bits: int = 512
     seed: int = 11
 
 
@@ -50,8 +52,26 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
+def bitmap(found: np.ndarray, bits: int) -> list[int]:
+    """Which of so many classes of hashes the set has members of, in longs."""
+    marks = np.zeros(bits, dtype=np.uint8)
+    marks[(found % np.uint64(bits)).astype(np.intp)] = 1
+    return np.packbits(marks).view(np.int64).tolist()
+
+
+def may_link(s: Settings):
+    """Whether a pair's sizes and bitmaps leave its similarity possible.
+
+    Each class that only one set has members of holds a word run that only this one has, so the symmetric difference has
+    at least as many members as the bitmaps have different bits. No pair that reaches the similarity is ruled out.
+    """
+    near = 100 * F.least("n", "p_n") >= s.percent * F.greatest("n", "p_n")
+    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("p_map")[i])) for i in range(s.bits // 64)), F.lit(0))
+    return near & ((100 + s.percent) * apart <= (100 - s.percent) * (F.col("n") + F.col("p_n")))
+
+
 def profiles(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n (size of the shingle set), node (64-bit digest of the set, null if empty), bands (a key for each band)."""
+    """doc_id, n (size of the shingle set), node (64-bit digest of the set, null if empty), map (its bitmap), bands (a key for each band)."""
     half = s.bands // 2 * s.rows
     a = (seeded(s.seed, half) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     b = (seeded(s.seed + 1, half) >> np.uint64(32)).astype(np.uint32)
@@ -60,9 +80,10 @@ def profiles(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         for batch in tidied(batches):
-            n, nodes, keys = [], [], []
+            n, nodes, maps, keys = [], [], [], []
             for _, found in shingle_sets(batch.column("text"), s.words):
                 n.append(len(found))
+                maps.append(bitmap(found, s.bits))
                 if len(found):
                     sign = signature(found, a, b).astype(np.uint64).reshape(s.bands, s.rows)
                     keys.append(mix((mix(sign + salt[:, None]) * fold).sum(axis=1, dtype=np.uint64)).view(np.int64))
@@ -72,9 +93,9 @@ def profiles(docs: DataFrame, s: Settings) -> DataFrame:
                     nodes.append(None)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), lists], names=["doc_id", "n", "node", "map", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, map array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -126,7 +147,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Texts with equal sets are one node, so exact copies cost nothing further. Nodes that share a band's key form a
     bucket. In rounds, a growing share of each bucket's nodes, its first ones by hash, are pivots, and each is compared
-    with the nodes after it that it isn't known to be connected with; sizes rule out pairs first, then full sets decide.
+    with the nodes after it that it isn't known to be connected with; sizes and bitmaps rule out pairs first, then full
+    sets decide.
     Rounds go on until every bucket is connected or all its pairs are compared, so no link is lost, and a bucket of
     thousands of near copies costs a few comparisons for each instead of all pairs.
     Null texts, empty ones and such of white space have no shingles, are linked with nothing and are kept. Rows that
@@ -138,7 +160,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     entries = cut(entries.join(shared, "key").distinct())
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"))
     # node is a hash itself, so its place between the least and the greatest long picks a share of any bucket
-    entries = cut(entries.join(sizes, "key").withColumn("nth", (F.col("node").cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")))
+    maps = rows.where(F.col("node").isNotNull()).select("node", "map").dropDuplicates(["node"])
+    entries = cut(entries.join(sizes, "key").join(maps, "node").withColumn("nth", (F.col("node").cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")))
     labels = compared = None
     before, now = 0.0, float(s.first)
     while True:
@@ -150,8 +173,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 break
         fits = (F.col("nth") < now) & (F.col("nth") >= before)
         fits = fits | (F.col("size") <= s.small) if labels is None else fits & (F.col("size") > s.small)
-        pivots = marked.where(fits).select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "label")))
-        met = marked.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("node") > F.col("p_node")) & (100 * F.least("n", "p_n") >= s.percent * F.greatest("n", "p_n")))
+        pivots = marked.where(fits).select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "map", "label")))
+        met = marked.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("node") > F.col("p_node")) & may_link(s))
         pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
         pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
