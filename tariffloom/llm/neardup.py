@@ -19,8 +19,8 @@ class Settings:
 
     bands * rows / 2 permutations give a minimum and a maximum each; half of the bands are made of minima, half of
     maxima. At similarity 0.8 a pair shares no band with a probability of (1 - 0.8**5)**30, 7 in a million.
-    first: pivots of a bucket in the first round, and growth their increase in each round; in buckets of at most small
-    nodes all are pivots at once. filter_rows: ids of wanted texts that are broadcast at most.
+    first: pivots of a bucket in the second round (the first has one), and growth their increase in each round; in
+    buckets of at most small nodes all are pivots from the second round on. filter_rows: ids of wanted texts that are broadcast at most.
     bits: of the bitmap of a set, by which pairs are ruled out before their sets are read; a multiple of 64.
     """
 
@@ -32,7 +32,7 @@ class Settings:
     growth: int = 16
     small: int = 24
     filter_rows: int = 1_000_000
-    bits: int = 512
+    bits: int = 1024
     seed: int = 11
 
 
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept.
 
     Texts with equal sets are one node, so exact copies cost nothing further. Nodes that share a band's key form a
-    bucket. In rounds, a growing share of each bucket's nodes, its first ones by hash, are pivots, and each is compared
+    bucket. In rounds, its first node and then a growing share of its first ones by hash are pivots, and each is compared
     with the nodes after it that it isn't known to be connected with; sizes and bitmaps rule out pairs first, then full
     sets decide.
     Rounds go on until every bucket is connected or all its pairs are compared, so no link is lost, and a bucket of
@@ -158,21 +158,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     entries = rows.where(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     entries = cut(entries.join(shared, "key").distinct())
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead"))
     # node is a hash itself, so its place between the least and the greatest long picks a share of any bucket
+    nth = (F.col("node").cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")
     maps = rows.where(F.col("node").isNotNull()).select("node", "map").dropDuplicates(["node"])
-    entries = cut(entries.join(sizes, "key").join(maps, "node").withColumn("nth", (F.col("node").cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")))
+    entries = cut(entries.join(sizes, "key").join(maps, "node").withColumn("nth", nth).withColumn("lead", F.col("node") == F.col("lead")))
     labels = compared = None
     before, now = 0.0, float(s.first)
     while True:
-        marked = entries.withColumn("label", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is not None:
-            open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("most")).where((F.col("low") != F.col("high")) & (F.col("most") > F.greatest(F.lit(before), F.lit(s.small)))).select("key")
-            marked = cut(marked.join(open_, "key"))
+        if labels is None:
+            marked, fits = entries.withColumn("label", F.col("node")), F.col("lead")
+        else:
+            marked = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            undone = F.lit(True) if before == 0 else F.col("most") > F.greatest(F.lit(before), F.lit(s.small))
+            ends = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("most"))
+            marked = cut(marked.join(ends.where((F.col("most") > 2) & (F.col("low") != F.col("high")) & undone).select("key"), "key"))
             if marked.isEmpty():
                 break
-        fits = (F.col("nth") < now) & (F.col("nth") >= before)
-        fits = fits | (F.col("size") <= s.small) if labels is None else fits & (F.col("size") > s.small)
+            fits = F.when(F.col("size") <= s.small, F.lit(before == 0)).otherwise((F.col("nth") < now) & (F.col("nth") >= before))
         pivots = marked.where(fits).select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "map", "label")))
         met = marked.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("node") > F.col("p_node")) & may_link(s))
         pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
@@ -180,8 +183,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         found = cut(confirmed(pairs, full_sets(docs, nodes, rows, s), s))
         compared = pairs if compared is None else compared.unionByName(pairs)
-        labels = cut(components(found) if labels is None else joined(labels, found))
-        before, now = now, now * s.growth
+        if labels is None:
+            labels = cut(components(found))
+        else:
+            labels, before, now = cut(joined(labels, found)), now, now * s.growth
     whole = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     whole = whole.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("least").alias("component"))
