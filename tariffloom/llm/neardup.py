@@ -70,8 +70,12 @@ def may_link(s: Settings):
     return near & ((100 + s.percent) * apart <= (100 - s.percent) * (F.col("n") + F.col("p_n")))
 
 
+def stamped(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"), "text")
+
+
 def profiles(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n (size of the shingle set), node (64-bit digest of the set, null if empty), map (its bitmap), bands (a key for each band)."""
+    """doc_id, stamp (64-bit hash of the text, which tells rows of one doc_id apart), n (size of the shingle set), node (64-bit digest of the set, null if empty), map (its bitmap), bands (a key for each band)."""
     half = s.bands // 2 * s.rows
     a = (seeded(s.seed, half) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     b = (seeded(s.seed + 1, half) >> np.uint64(32)).astype(np.uint32)
@@ -93,27 +97,35 @@ def profiles(docs: DataFrame, s: Settings) -> DataFrame:
                     nodes.append(None)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), lists], names=["doc_id", "n", "node", "map", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stamp"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), lists], names=["doc_id", "stamp", "n", "node", "map", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, map array<long>, bands array<long>")
+    return stamped(docs).mapInArrow(run, "doc_id long, stamp long, n long, node long, map array<long>, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """node and set (binary, sorted 64-bit hashes) of the wanted nodes, from one document of each."""
-    chosen = cut(nodes.join(rows.select("node", "doc_id"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    """node and set (binary, sorted 64-bit hashes) of the wanted nodes, from one row of each: of the smallest doc_id, or
+    of a null one where the node has no other."""
+    some = nodes.join(rows.select("node", "doc_id", "stamp"), "node").groupBy("node", "doc_id", "stamp").agg(F.count("*").alias("times"))
+    chosen = cut(some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp", "times")).alias("r")).select("node", F.col("r.doc_id").alias("w_id"), F.col("r.stamp").alias("w_stamp"), F.col("r.times").alias("times")))
     small = chosen.count() <= s.filter_rows
-    wanted = F.broadcast(chosen) if small else chosen
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+
+    def met(wanted: DataFrame) -> DataFrame:
+        wanted = F.broadcast(wanted) if small else wanted
+        return stamped(docs).join(wanted, (F.col("stamp") == F.col("w_stamp")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "node")
+
+    texts, again = met(chosen.where("times = 1")), chosen.where("times > 1")
+    if not again.isEmpty():
+        texts = texts.unionByName(met(again).dropDuplicates(["node", "text"]))
 
     def run(batches):
         for batch in tidied(batches):
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 sets = [found for _, found in shingle_sets(some.column("text"), s.words)]
-                kept = pa.array([digest(x) == n for x, n in zip(sets, some.column("node").to_pylist())], pa.bool_())  # other texts may have that doc_id
+                kept = pa.array([digest(x) == n for x, n in zip(sets, some.column("node").to_pylist())], pa.bool_())  # another text may have that stamp
                 yield pa.RecordBatch.from_arrays([some.column("node"), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["node", "set"]).filter(kept)
 
-    return cut(texts.select("text", "node").mapInArrow(run, "node long, set binary"))
+    return cut(texts.mapInArrow(run, "node long, set binary"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -143,7 +155,12 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row for each of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept.
+    """judged() without stamps: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, s).drop("stamp")
+
+
+def judged(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row for each of docs: doc_id, stamp, n_shingles, component_id (the smallest doc_id reachable by links), kept.
 
     Texts with equal sets are one node, so exact copies cost nothing further. Nodes that share a band's key form a
     bucket. In rounds, its first node and then a growing share of its first ones by hash are pivots, and each is compared
@@ -152,7 +169,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Rounds go on until every bucket is connected or all its pairs are compared, so no link is lost, and a bucket of
     thousands of near copies costs a few comparisons for each instead of all pairs.
     Null texts, empty ones and such of white space have no shingles, are linked with nothing and are kept. Rows that
-    repeat a doc_id each get a row; equal texts get one component. An empty table gives no rows.
+    repeat a doc_id each get a row; equal texts get one component. Of each component one text (doc_id and stamp) is
+    kept: of the smallest doc_id, or of a null one if there is no other, that with the smallest stamp; rows that repeat
+    it are kept as well. An empty table gives no rows.
     """
     rows = cut(profiles(docs, s))
     entries = rows.where(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("key"))
@@ -187,26 +206,29 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             labels = cut(components(found))
         else:
             labels, before, now = cut(joined(labels, found)), now, now * s.growth
-    whole = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp")
+    whole = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(first).alias("least"))
     whole = whole.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = whole.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = whole.join(least, "label").select("node", "component")
-    out = rows.select("doc_id", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    least = whole.groupBy("label").agg(F.min("least").alias("first"))
+    of_node = whole.join(least, "label").select("node", F.col("first.doc_id").alias("component"), F.col("first.stamp").alias("first"))
+    out = rows.select("doc_id", "stamp", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    kept = F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("stamp") == F.col("first"))
+    return out.select("doc_id", "stamp", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs without those that are linked, directly or not, to one with a smaller doc_id, and without repeated rows.
-
-    The ids of what goes are broadcast up to s.filter_rows and joined beyond; so are those that rows repeat."""
-    judged = cut(near_duplicates(docs, s))
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    twice = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    hint = lambda ids: F.broadcast(ids) if ids.count() <= s.filter_rows else ids
+    """docs without those that are linked, directly or not, to one that judged() keeps, and without repeated rows.
+
+    Rows are told by doc_id and stamp, so other texts of the same or of no doc_id stay. What goes is broadcast up to
+    s.filter_rows and joined beyond; so is what rows repeat."""
+    told = cut(judged(docs, s))
+    gone = told.where(~F.col("kept")).select("doc_id", "stamp").distinct()
+    twice = told.where("kept").groupBy("doc_id", "stamp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stamp")
+    hint = lambda rows: F.broadcast(rows) if rows.count() <= s.filter_rows else rows
     gone, twice = hint(cut(gone)), hint(cut(twice))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    same = lambda how: kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), how)
-    return same("left_anti").unionByName(same("left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    same = lambda rows: docs["doc_id"].eqNullSafe(rows["doc_id"]) & (F.xxhash64(docs["text"]) == rows["stamp"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    return kept.join(twice, same(twice), "left_anti").unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
