@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .topk import valid_vector
 
 REST = -1  # a table's bucket for cells that no row of the sample falls in; every query visits it
@@ -117,10 +118,11 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, s: Settings
     the row, and probes go to all of them; many probes of a cell are cut likewise. Each group keeps k of a query,
     distances are computed from the original components in double precision, and lists are merged over groups and
     tables. Vectors that are null, empty, zero or hold null or non-finite components, rows without an id, and vectors of
-    another length than most in the sample take no part; equal rows repeated under one id count once; ties go to the
-    smaller id; a candidate with a query's id is left out; an empty table gives no rows.
+    another length than most in the sample take no part; equal rows repeated under one id are made one before the
+    search, and different vectors under one id each count; ties go to the smaller id; a candidate with a query's id is
+    left out; an empty table gives no rows.
     """
-    take = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col(name).isNotNull() & valid_vector(F.col("vector")) & F.exists("vector", lambda x: x != 0))
+    take = lambda df, name: cut(df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col(name).isNotNull() & valid_vector(F.col("vector")) & F.exists("vector", lambda x: x != 0)).distinct().withColumn("row", F.xxhash64(name, "vector")))
     rows, asked = take(candidates, "vec_id"), take(queries, "query_id")
     total, wanted = rows.count(), asked.count()
     index = fit(rows, total, s)
@@ -136,26 +138,26 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, s: Settings
         share = np.append(held.value.shares[table], 0.05)[buckets]
         return np.maximum(1, np.ceil(share * total / s.group_rows)).astype(np.int64)
 
-    def emit(ids, vectors, tables, buckets, piece, cut):
+    def emit(ids, numbers, vectors, tables, buckets, piece, cut):
         flat = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), size).cast(pa.list_(pa.float64()))
         key = ((buckets + 1).astype(np.int64) * 1_000_003 + tables) * 1_009 + piece * 31 + cut
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, ((buckets.astype(np.int64) + 1) * 64 + tables))] + [flat], names=["key", "id", "cell", "vector"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, numbers, ((buckets.astype(np.int64) + 1) * 64 + tables))] + [flat], names=["key", "id", "row", "cell", "vector"])
 
     def stored(batches):
         for b in batches:
             at, m = matrix(b.column("vector"), size)
-            ids = b.column("vec_id").to_numpy()[at]
+            ids, numbers = (b.column(c).to_numpy()[at] for c in ("vec_id", "row"))
             for t in range(s.tables):
                 cells = held.value.buckets(m, t)
-                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                spread = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 piece = (spread % pieces(t, cells).astype(np.uint64)).astype(np.int64)
                 for cut in range(cuts):
-                    yield emit(ids, m, np.full(len(ids), t), cells, piece, np.full(len(ids), cut))
+                    yield emit(ids, numbers, m, np.full(len(ids), t), cells, piece, np.full(len(ids), cut))
 
     def probed(batches):
         for b in batches:
             at, m = matrix(b.column("vector"), size)
-            ids = b.column("query_id").to_numpy()[at]
+            ids, numbers = (b.column(c).to_numpy()[at] for c in ("query_id", "row"))
             for t in range(s.tables):
                 for first in range(0, len(ids), 256):
                     here = slice(first, first + 256)
@@ -164,30 +166,35 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, s: Settings
                     times = pieces(t, cells)
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     who, cells = np.repeat(who, times), np.repeat(cells, times)
-                    own = ids[here][who]
-                    yield emit(own, m[here][who], np.full(len(who), t), cells, nth, (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(35)).astype(np.int64) % cuts)
+                    own = numbers[here][who]
+                    yield emit(ids[here][who], own, m[here][who], np.full(len(who), t), cells, nth, (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(35)).astype(np.int64) % cuts)
 
-    schema = "key long, id long, cell long, vector array<double>"
+    schema = "key long, id long, row long, cell long, vector array<double>"
     dealt = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("part")
     left = rows.mapInArrow(stored, schema).select("*", dealt).groupBy("part")
     right = asked.mapInArrow(probed, schema).select("*", dealt).groupBy("part")
-    found = left.cogroup(right).applyInArrow(lambda a, b: reranked(a, b, k, size), "query_id long, vec_id long, score double")
+    found = left.cogroup(right).applyInArrow(lambda a, b: reranked(a, b, k, size), OUT)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.dropDuplicates(["query_id", "query_row", "vec_id", "vec_row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+OUT = "query_id long, query_row long, vec_id long, vec_row long, score double"  # a row's number tells different vectors of one id apart
 
 
 def reranked(stored: pa.Table, probes: pa.Table, k: int, size: int) -> pa.Table:
     """Exact distances of each query to the rows of the cells that it visits in this group; k of each query are kept."""
-    load = lambda t: (t["key"].to_numpy(), t["id"].to_numpy(), matrix(t["vector"].combine_chunks(), size)[1])
-    out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+    load = lambda t: (*(t[c].to_numpy() for c in ("key", "id", "row")), matrix(t["vector"].combine_chunks(), size)[1])
+    names = ("query_id", "query_row", "vec_id", "vec_row", "score")
+    out = {c: [np.zeros(0, np.float64 if c == "score" else np.int64)] for c in names}
     if stored.num_rows and probes.num_rows:
-        (ka, ia, ma), (kb, ib, mb) = load(stored), load(probes)
+        (ka, ia, na, ma), (kb, ib, nb, mb) = load(stored), load(probes)
         oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-        ka, ia, ma, kb, ib, mb = ka[oa], ia[oa], ma[oa], kb[ob], ib[ob], mb[ob]
+        ka, ia, na, ma, kb, ib, nb, mb = ka[oa], ia[oa], na[oa], ma[oa], kb[ob], ib[ob], nb[ob], mb[ob]
         for key in np.intersect1d(ka, kb):
             a, b = slice(*np.searchsorted(ka, [key, key + 1])), slice(*np.searchsorted(kb, [key, key + 1]))
             for at in range(b.start, b.stop, 64):
-                q, ids = mb[at : min(at + 64, b.stop)], ib[at : min(at + 64, b.stop)]
+                here = slice(at, min(at + 64, b.stop))
+                q, ids = mb[here], ib[here]
                 d = np.sqrt(np.concatenate([((q[:, None] - ma[c : min(c + 256, a.stop)][None]) ** 2).sum(axis=2) for c in range(a.start, a.stop, 256)], axis=1))
                 own = ids[:, None] == ia[a][None]
                 d[own] = np.inf
@@ -196,17 +203,18 @@ def reranked(stored: pa.Table, probes: pa.Table, k: int, size: int) -> pa.Table:
                     r, c = np.nonzero((d <= limit) & ~own)
                 else:
                     r, c = np.nonzero(~own)
-                out["query_id"].append(ids[r])
-                out["vec_id"].append(ia[a][c])
-                out["score"].append(d[r, c])
-    q, v, d = (np.concatenate(out[x]) for x in ("query_id", "vec_id", "score"))
-    order = np.lexsort((v, d, q))
-    q, v, d = q[order], v[order], d[order]
+                for name, values in zip(names, (ids[r], nb[here][r], ia[a][c], na[a][c], d[r, c])):
+                    out[name].append(values)
+    q, qr, v, vr, d = (np.concatenate(out[x]) for x in names)
+    order = np.lexsort((vr, v, d, qr, q))
+    q, qr, v, vr, d = q[order], qr[order], v[order], vr[order], d[order]
     fresh = np.ones(len(q), bool)
-    fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    q, v, d = q[fresh], v[fresh], d[fresh]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return pa.table({"query_id": q[keep], "vec_id": v[keep], "score": d[keep]})
+    fresh[1:] = (qr[1:] != qr[:-1]) | (q[1:] != q[:-1]) | (vr[1:] != vr[:-1]) | (v[1:] != v[:-1])
+    q, qr, v, vr, d = q[fresh], qr[fresh], v[fresh], vr[fresh], d[fresh]
+    starts = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (qr[1:] != qr[:-1]))) if len(q) else np.zeros(0, np.int64)
+    nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    keep = nth < k
+    return pa.table(dict(zip(names, (x[keep] for x in (q, qr, v, vr, d)))))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

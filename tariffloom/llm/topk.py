@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 QUERY_BLOCK = 16_384  # queries broadcast at a time: at most 8 MB at 64 components
 TILE = 4_096  # candidate rows of one matrix product
 FAN_IN = 64  # lists merged in the first level of the tree
@@ -62,31 +64,31 @@ def selected(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k best candidates by integer inner product of floor(256 * x): query_id, rank, vec_id, score.
 
-    Queries go out in blocks of at most QUERY_BLOCK rows, a bounded broadcast; every partition of candidates is a shard
-    that multiplies the block tile by tile and keeps one running list of k per query, and lists meet in a tree: FAN_IN
-    shards first, then all. A candidate with a query's id is its own row and is left out. Rows without an id, and
+    Queries go out in blocks of at most QUERY_BLOCK rows, a bounded broadcast that is given up when the block's lists are
+    written; every partition of candidates is a shard that multiplies the block tile by tile and keeps one running list
+    of k per query, and lists meet in a tree: FAN_IN shards first, then all. A candidate with a query's id is its own row and is left out. Rows without an id, and
     vectors that are null, empty or hold null or non-finite components, take no part; vectors are compared only with
-    such of the same length; ties go to the smaller id. Equal rows repeated under one id count once.
+    such of the same length; ties go to the smaller id. Equal rows repeated under one id are made one before the search,
+    of queries and candidates alike; different vectors under one id each count.
     """
     spark = queries.sparkSession
-    shards = candidates.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & valid_vector(F.col("vector")))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector")).where(F.col("query_id").isNotNull() & valid_vector(F.col("vector")))
-    blocks = -(-asked.count() // (QUERY_BLOCK // 2))  # blocks are hashed, so half the bound is aimed at
+    take = lambda df, name: cut(df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).alias("vector")).where(F.col(name).isNotNull() & valid_vector(F.col("vector"))).distinct())
+    shards, asked = take(candidates, "vec_id"), take(queries, "query_id")
+    blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))  # blocks are hashed, so half the bound is aimed at
     lists = None
-    for block in range(max(1, blocks)):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == block)
-        rows = part.limit(QUERY_BLOCK + 1).toArrow()
-        if rows.num_rows > QUERY_BLOCK:
-            raise ValueError(f"more than {QUERY_BLOCK} queries share a block: query ids repeat")
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)) == block).toArrow()
         ids = rows["query_id"].to_numpy()
         held = spark.sparkContext.broadcast([(ids[at], m) for at, m in quantised(rows["vector"].combine_chunks())] if rows.num_rows else [])
-        found = shards.mapInArrow(shard_search(held, k), OUT)
+        found = cut(best_lists(shards.mapInArrow(shard_search(held, k), OUT), ["query_id", F.expr(f"part div {FAN_IN}")], k))
+        held.unpersist()
         lists = found if lists is None else lists.unionByName(found)
-    for keys in (["query_id", F.expr(f"part div {FAN_IN}")], ["query_id"]):
-        lists = lists.dropDuplicates(["query_id", "vec_id", "score", "part"]) if len(keys) == 2 else lists.dropDuplicates(["query_id", "vec_id", "score"])
-        order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "vec_id")
-        lists = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return lists.select("query_id", "rank", "vec_id", "score")
+    return best_lists(lists, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+
+
+def best_lists(lists: DataFrame, keys: list, k: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "vec_id")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def shard_search(held, k: int):

@@ -1,8 +1,9 @@
 """Cases that the first round's operators cut short."""
 
+import numpy as np
 import pytest
 
-from tariffloom.llm import neardup
+from tariffloom.llm import ann, neardup, topk
 from tariffloom.llm.common import ship
 
 
@@ -36,3 +37,37 @@ def test_keep_one_of_near_copies_under_one_or_no_id(spark, ids):
     assert len(got) == 2 and sum(r.text == rows[2][1] for r in got) == 1
     assert 4 not in ids or next(r.doc_id for r in got if r.text != rows[2][1]) == 4
     assert len({r.component_id for r in neardup.near_duplicates(df).collect()}) == len(set(ids))
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Ids 0 to 39, the nearest and best of id 0 copied 25 times in one partition; queries 0 (copied as well) and 1."""
+    m = np.random.default_rng(4).normal(size=(40, 8)).astype(np.float32)
+    m[7] = m[0] * 1.01
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows + [rows[7]] * 25, "vec_id long, embedding array<float>").coalesce(1)
+    return m.astype(np.float64), df, spark.createDataFrame([rows[0]] * 30 + [rows[1]], "vec_id long, embedding array<float>")
+
+
+def test_topk_of_more_copies_than_k(copies, monkeypatch):
+    m, df, queries = copies
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)  # 30 equal queries are one
+    whole = np.floor(256 * m)
+    got = topk.top_k(queries, df, 5).collect()
+    for q in (0, 1):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(40) if i != q)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_ann_of_more_copies_than_k(copies):
+    m, df, queries = copies
+    got = ann.nearest(queries, df, 10, ann.Settings(mass=1.0)).collect()
+    for q in (0, 1):
+        best = sorted((float(np.sqrt(((m[q] - m[i]) ** 2).sum())), i) for i in range(40) if i != q)[:10]
+        assert sorted((r.rank, r.vec_id) for r in got if r.query_id == q) == [(n + 1, i) for n, (_, i) in enumerate(best)]
+
+
+def test_different_vectors_of_one_id_at_equal_scores(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (5, [1.0, 2.0]), (5, [2.0, 1.0]), (5, [2.0, 1.0]), (6, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    for found in (topk.top_k(df.where("vec_id = 0"), df, 3), ann.nearest(df.where("vec_id = 0"), df, 3, ann.Settings(mass=1.0))):
+        assert sorted(r.vec_id for r in found.collect()) == [5, 5, 6]
