@@ -23,7 +23,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose text is never the article's.
+#: Elements whose text is not the article's, unless they hold most of it.
 ASIDE = frozenset("nav header footer aside form button dialog menu fieldset".split())
 #: Words of class, id and role that say the same; matched as whole words between -, _, space and letter-case changes.
 ASIDE_WORDS = frozenset(
@@ -32,36 +32,95 @@ ASIDE_WORDS = frozenset(
     "login search share sharing social related recommended recommendations widget widgets comment comments commentlist reply replies disqus respond discussion pagination pager complementary contentinfo".split()
 )
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names of the page's layout (has-sidebar), and of an article's own heading or head (post-header), say nothing against an element.
+LAYOUT_WORDS = frozenset("no has with without layout".split())
+OWN_WORDS, OWN_HEAD = frozenset("post entry article story".split()), frozenset("header head masthead".split())
+LONG = 80  # letters of a text outside paragraphs that counts as one
+MOST, LITTLE = 0.5, 0.25  # shares of the unlinked paragraph text, see wrappers()
 #: What a start tag closes if it is open within the nearest of its containers.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "named", "score", "length", "linked", "off")
+    __slots__ = ("tag", "parent", "kids", "named", "score", "length", "linked", "off", "side", "prose", "own")
 
-    def __init__(self, tag: str, parent: Node | None, off: bool, named: str = ""):
-        self.tag, self.parent, self.off, self.named = tag, parent, off, named
+    def __init__(self, tag: str, parent: Node | None, off: bool, named: str = "", side: bool = False):
+        self.tag, self.parent, self.off, self.named, self.side = tag, parent, off, named, side
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.length = self.linked = 0
+        self.prose = self.own = 0
 
 
-def aside(tag: str, attrs: str, within_article: bool) -> tuple[bool, str]:
-    """Whether an element is no part of the article, and its class. An article's own header holds its heading."""
-    if tag in ASIDE and not (tag == "header" and within_article):
-        return True, ""
-    named = ""
+def sideways(value: str) -> bool:
+    """Whether a class, id or role names an element that is no part of the article."""
+    for name in value.split():
+        words = {w.lower() for w in WORD.findall(name)}
+        found = words & ASIDE_WORDS
+        if found and not words & LAYOUT_WORDS and not (words & OWN_WORDS and found <= OWN_HEAD):
+            return True
+    return False
+
+
+def aside(tag: str, attrs: str, within_article: bool) -> tuple[bool, str, bool]:
+    """Whether an element is hidden, its class, and whether tag or names say that it is no part of the article. An article's own header holds its heading."""
+    named, side = "", tag in ASIDE and not (tag == "header" and within_article)
     if attrs and not attrs.isspace():
         for name, *values in ATTRIBUTE.findall(attrs):
             value, name = next((v for v in values if v), ""), name.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True, ""
+                return True, "", side
             if name in ("class", "id", "role"):
                 named = named or value if name == "class" else named
-                if tag not in ("body", "html", "article", "main") and any(w.lower() in ASIDE_WORDS for w in WORD.findall(value)):
-                    return True, ""
-    return False, named
+                side = side or tag not in ("body", "html") and sideways(value)
+    return False, named, side
+
+
+def wrappers(root: Node) -> None:
+    """Cuts out (off) elements that their tag or names put aside, but not such as wrap the article.
+
+    Never cut are those around articles and mains with at least MOST of the unlinked paragraph text of all of these. On
+    pages without such, if all cuts together leave less than LITTLE of the text, the outermost one with the most of it
+    stays, until enough is left. article and main are not cut for their names, but don't count if these put them aside.
+    """
+    order: list[Node] = []
+    stack = [(root, False, False)]
+    while stack:
+        node, link, para = stack.pop()
+        order.append(node)
+        link, para = link or node.tag == "a", node.tag in PARAGRAPHS or para and node.tag in INLINE
+        for kid in node.kids:
+            if isinstance(kid, str):
+                n = 0 if link else len(kid.strip())
+                if para or n >= LONG:
+                    node.prose += n
+            elif not kid.off:
+                stack.append((kid, link, para))
+    for node in reversed(order[1:]):
+        if node.tag in ("article", "main") and not node.side:
+            node.own = node.prose
+        node.parent.prose += node.prose
+        node.parent.own += node.own
+    sides = [n for n in order if n.side and n.tag not in ("article", "main") and not (root.own and n.own >= MOST * root.own)]
+    for n in sides:
+        n.off = True
+    while root.prose and sides and not root.own:
+        outer, rest = [], root.prose
+        for n in sides:
+            up = n.parent
+            while up is not None and not up.off:
+                up = up.parent
+            if n.off and up is None:
+                outer.append(n)
+                rest -= n.prose
+        if rest >= LITTLE * root.prose or not outer:
+            break
+        best = max(outer, key=lambda n: n.prose)
+        if not best.prose:
+            break
+        best.off = False
+        sides.remove(best)
 
 
 def tree(html: str) -> Node:
@@ -98,14 +157,15 @@ def tree(html: str) -> Node:
                     found = up if up.tag in ends else found
                     up = up.parent
                 node = found.parent if found else node
-        off, named = aside(tag, m["attrs"], in_article > 0)
-        child = Node(tag, node, off or node.off, named)
+        off, named, side = aside(tag, m["attrs"], in_article > 0)
+        child = Node(tag, node, off or node.off, named, side)
         node.kids.append(child)
         if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
             node = child
             in_article += tag in ("article", "main")
     if at < len(html):
         node.kids.append(html[at:])
+    wrappers(root)
     return root
 
 

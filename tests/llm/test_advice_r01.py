@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tariffloom.llm import ann, neardup, topk
+from tariffloom.llm import ann, html, neardup, topk
 from tariffloom.llm.common import ship
 
 
@@ -71,3 +71,26 @@ def test_different_vectors_of_one_id_at_equal_scores(spark):
     df = spark.createDataFrame([(0, [1.0, 1.0]), (5, [1.0, 2.0]), (5, [2.0, 1.0]), (5, [2.0, 1.0]), (6, [0.5, 0.5])], "vec_id long, embedding array<float>")
     for found in (topk.top_k(df.where("vec_id = 0"), df, 3), ann.nearest(df.where("vec_id = 0"), df, 3, ann.Settings(mass=1.0))):
         assert sorted(r.vec_id for r in found.collect()) == [5, 5, 6]
+
+
+BODY = "<h1>Head</h1><p>" + "The mayor said, on Monday, that the bridge opens. " * 6 + "</p><p>" + "Work, as planned, went on for years. " * 6 + "</p>"
+TEXT = "Head " + ("The mayor said, on Monday, that the bridge opens. " * 6 + "Work, as planned, went on for years. " * 6).strip()
+SIDE = "<div class='sidebar'><p>Side words, more of them.</p></div><footer><p>Foot.</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='layout has-sidebar'><div>{BODY}</div>{SIDE}</div></body>",
+        f"<body><div class='no-sidebar'><article>{BODY}</article></div>{SIDE}</body>",
+        f"<body><form id='aspnetForm'><div>{BODY}</div>{SIDE}</form></body>",
+        f"<body><form><fieldset><article>{BODY}</article></fieldset>{SIDE}</form></body>",
+        f"<body><div class='login-page'><main>{BODY}</main>{SIDE}</div></body>",
+        f"<body><div class='login-page'><div>{BODY}</div>{SIDE}</div></body>",
+        "<body><div class='post'><div class='post-header'><h1>Head</h1></div>" + BODY.split("</h1>")[1] + f"</div>{SIDE}</body>",
+        f"<body><div class='share-layout side'><article>{BODY}</article></div><div class='comments'><article class='comment'><p>{'Nice, I say. ' * 90}</p></article></div></body>",
+        f"<body><div>{BODY}</div><div class='comments'><p>{'Nice, I say. ' * 90}</p></div></body>",
+    ],
+)
+def test_html_of_wrapped_articles(page):
+    assert html.main_text(page) == TEXT
