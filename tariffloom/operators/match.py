@@ -137,12 +137,18 @@ def resolve_partners(documents: DataFrame, partners: DataFrame) -> DataFrame:
 def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query, rank, key, score: the k most similar rows by cosine held to [0, 1]; ties to the smaller key.
 
-    Queries are a stated, bounded set: up to SMALL are broadcast and scored in one pass over the rows; more are refused."""
+    Queries go out in blocks of about SMALL, each broadcast and scored in one pass over the rows."""
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    if queries.count() > SMALL:
-        raise ValueError(f"more than {SMALL} queries")
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
+    blocks = max(1, -(-queries.count() // SMALL))
+    asked = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
     dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = rows.select(key, unit(F.col(vector)).alias("_v")).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    lists = None
+    for block in range(blocks):
+        q = asked.where(F.pmod(F.xxhash64("query", "_q"), F.lit(blocks)) == block)
+        scored = rows.select(key, unit(F.col(vector)).alias("_v")).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("score"))
+        found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        lists = found if lists is None else lists.unionByName(found)
+    if blocks == 1:
+        return lists
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # an id's vectors may be in several blocks

@@ -104,12 +104,20 @@ def category_tree(spark, d):
 
 
 def partner_tree(spark, d):
-    rows = listing.services_of_partner(active_items(spark, d), domain.services(spark, d)).where("partner_id < 40")
-    leaves = rows.select(F.concat(F.array(F.col("partner_id").cast("string")), text.effective_path(F.lit(None).cast("array<string>"), F.col("category"))).alias("path"))
-    return tree.build(leaves)
+    return tree.build(partner_leaves(spark, d).where(F.col("path")[0].cast("long") < 40))
+
+
+def partner_tree_all(spark, d):
+    """The trees of all providers; partner_tree has those below 40, as its SQL does."""
+    return tree.build(partner_leaves(spark, d))
+
+
+def partner_leaves(spark, d):
+    rows = listing.services_of_partner(active_items(spark, d), domain.services(spark, d))
+    return rows.select(F.concat(F.array(F.col("partner_id").cast("string")), text.effective_path(F.lit(None).cast("array<string>"), F.col("category"))).alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (service_partners, partner_services, unmatched_queue, review_queue, list_services, list_partners, documents_page, city_facet, cheapest_offers, offers_topk, offers_summary, dashboard, by_category_top10, by_city, format_quality, match_status_counts, version_lines, price_history, category_tree, partner_tree)}
+QUERIES = {f.__name__: f for f in (service_partners, partner_services, unmatched_queue, review_queue, list_services, list_partners, documents_page, city_facet, cheapest_offers, offers_topk, offers_summary, dashboard, by_category_top10, by_city, format_quality, match_status_counts, version_lines, price_history, category_tree, partner_tree, partner_tree_all)}
 
 ACTIVE = pricing.PRICED + """, chained AS (
   SELECT *, kzt AS resident_kzt, non_kzt AS nonresident_kzt, CAST(row_number() OVER w AS INTEGER) AS version,
@@ -156,3 +164,4 @@ SELECT file_format, d.documents, coalesce(items, 0) AS items, coalesce(matched,
     "category_tree": D + ", leaves AS (SELECT list_filter([category, specialty], lambda x: x IS NOT NULL AND x <> '') AS p FROM services WHERE is_active)" + TREE,
     "partner_tree": ACTIVE + ", leaves AS (SELECT [CAST(a.partner_id AS VARCHAR), coalesce(nullif(s.category, ''), 'Без категории')] AS p FROM act a LEFT JOIN services s USING (service_id) WHERE a.partner_id < 40)" + TREE,
 }
+SQL["partner_tree_all"] = SQL["partner_tree"].replace(" WHERE a.partner_id < 40", "")

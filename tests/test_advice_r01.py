@@ -1,0 +1,27 @@
+"""Whole jobs of the domain's queries that the first round cut short."""
+
+import pytest
+from conftest import oracle, rows_of
+
+from tariffloom.operators import match
+from tariffloom.plans import catalogue, domain
+
+SF = "/root/testdata/sf0.01"  # has providers beyond 40
+
+
+@pytest.mark.parametrize("name", ["partner_tree_all", "embedding_topk_all"])
+def test_whole_tables(spark, name):
+    found, wanted = catalogue.QUERIES[name](spark, SF).toPandas(), oracle(catalogue.SQL[name], SF)
+    assert rows_of(found) == rows_of(wanted)
+    if name == "partner_tree_all":
+        assert set(found[found.depth == 1].node) == {str(r.partner_id) for r in domain.items(spark, SF).select("partner_id").distinct().collect()}
+    else:
+        assert set(found["query"]) == {r.vec_id for r in domain.read(spark, SF, "embeddings").where("vec_id % 50 = 0").collect()}
+
+
+def test_cosine_in_blocks(spark, monkeypatch):
+    rows = domain.read(spark, "/root/testdata/sf0.001", "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    whole = rows_of(match.cosine_top_k(asked, rows).toPandas())
+    monkeypatch.setattr(match, "SMALL", 3)
+    assert rows_of(match.cosine_top_k(asked, rows).toPandas()) == whole
