@@ -45,11 +45,12 @@ def stored(spark, d):
     return versioning.chain(rows).select("item_id", "partner_id", "service_name_raw", "effective_date", "price", "version", "is_active", "previous_item_id", "is_anomaly")
 
 
-def incoming(spark, d):
-    """Rows of one price list: the next quarter's, and copies of stored rows of keys under 40 at a higher price."""
+def incoming(spark, d, whole=False):
+    """Rows of one price list: the next quarter's, and copies of stored rows of document_id divisible by 40 at a higher
+    price. whole: all rows from SNAPSHOT on, and copies of all stored rows."""
     rows = domain.items(spark, d).select("item_id", "partner_id", "service_name_raw", "effective_date", "price", "document_id")
-    fresh = rows.where((F.col("effective_date") >= SNAPSHOT) & (F.col("effective_date") < "1996-04-01"))
-    again = rows.where(((F.col("effective_date") < SNAPSHOT) | F.col("effective_date").isNull()) & (F.col("document_id") % 40 == 0))
+    fresh = rows.where((F.col("effective_date") >= SNAPSHOT) & (F.lit(whole) | (F.col("effective_date") < "1996-04-01")))
+    again = rows.where(((F.col("effective_date") < SNAPSHOT) | F.col("effective_date").isNull()) & (F.lit(whole) | (F.col("document_id") % 40 == 0)))
     again = again.withColumns({"item_id": F.concat("item_id", F.lit("-again")), "price": (F.col("price") * 2).cast("decimal(14,2)")})
     return fresh.unionByName(again).drop("document_id")
 
@@ -62,6 +63,14 @@ def snapshot_merge(spark, d):
     return versioning.snapshot_merge(stored(spark, d), incoming(spark, d)).select("item_id", "version", "previous_item_id", "is_active", "is_anomaly")
 
 
+def dedup_same_day_all(spark, d):
+    return versioning.same_day(incoming(spark, d, whole=True), stored(spark, d)).select("item_id", "old_item_id", F.coalesce("old_version", F.lit(0)).alias("old_version"))
+
+
+def snapshot_merge_all(spark, d):
+    return versioning.snapshot_merge(stored(spark, d), incoming(spark, d, whole=True)).select("item_id", "version", "previous_item_id", "is_active", "is_anomaly")
+
+
 def reconcile_active(spark, d):
     rows = versioning.reconcile(versioning.chain(domain.items(spark, d)))
     return rows.select("item_id", "is_active")
@@ -77,7 +86,7 @@ def batch_status(spark, d):
     return versioning.batch_status(docs)
 
 
-QUERIES = {f.__name__: f for f in (fx_asof_convert, validate_rows, flag_counts, version_chain, dedup_same_day, snapshot_merge, reconcile_active, doc_status, batch_status)}
+QUERIES = {f.__name__: f for f in (fx_asof_convert, validate_rows, flag_counts, version_chain, dedup_same_day, snapshot_merge, dedup_same_day_all, snapshot_merge_all, reconcile_active, doc_status, batch_status)}
 
 PRICED = f"""
 WITH {domain.SQL}, rates(currency, rate_date, rate) AS (
@@ -136,3 +145,5 @@ f AS (SELECT batch_id, CASE WHEN parse_status = 'pending' AND document_id % 3 =
 c AS (SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('pending', 'processing')) AS pending, count(*) FILTER (status = 'error') AS errors FROM f GROUP BY batch_id)
 SELECT batch_id, total, pending, errors, total - pending - errors AS processed, CASE WHEN pending > 0 THEN 'processing' WHEN errors = 0 THEN 'done' WHEN total - pending - errors > 0 THEN 'partial' ELSE 'error' END AS status FROM c""",
 }
+for _name in ("dedup_same_day", "snapshot_merge"):
+    SQL[f"{_name}_all"] = SQL[_name].replace(" AND effective_date < DATE '1996-04-01'", "").replace(" WHERE document_id % 40 = 0", "")

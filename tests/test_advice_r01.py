@@ -4,7 +4,7 @@ import pytest
 from conftest import oracle, rows_of
 
 from tariffloom.operators import match
-from tariffloom.plans import catalogue, domain
+from tariffloom.plans import catalogue, domain, pricing
 
 SF = "/root/testdata/sf0.01"  # has providers beyond 40
 
@@ -25,3 +25,12 @@ def test_cosine_in_blocks(spark, monkeypatch):
     whole = rows_of(match.cosine_top_k(asked, rows).toPandas())
     monkeypatch.setattr(match, "SMALL", 3)
     assert rows_of(match.cosine_top_k(asked, rows).toPandas()) == whole
+
+
+@pytest.mark.parametrize("name", ["snapshot_merge_all", "dedup_same_day_all"])
+def test_whole_price_lists(spark, name):
+    found = catalogue.QUERIES[name](spark, SF).toPandas()
+    assert rows_of(found) == rows_of(oracle(catalogue.SQL[name], SF))
+    rows = domain.items(spark, SF)
+    old, new = pricing.stored(spark, SF).count(), pricing.incoming(spark, SF, whole=True).count()
+    assert old + new == rows.count() + old and len(found) == (old + new if name == "snapshot_merge_all" else new)
