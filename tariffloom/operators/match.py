@@ -46,24 +46,20 @@ def infer_specialty(sections: DataFrame, specialties: DataFrame, column: str = "
 def cascade(names: DataFrame, services: DataFrame, raw: str = "raw", allowed: DataFrame | None = None, vector_hits: DataFrame | None = None, top: int = 5) -> DataFrame:
     """norm, service_id, method, confidence, status, candidates of each distinct name.
 
-    Exact and synonym matches are hash joins; only distinct names that miss both are scored, against texts that share a
-    three-letter piece with them, or all texts of the service set that ``allowed`` (norm, service_id) gives. A score is
-    a service's best text's; vector_hits (norm, service_id, score) override a lower one. Scores are rounded before the
+    Exact and synonym matches are hash joins; only distinct names that miss both are scored, against all texts of the
+    catalogue, or of the service set that ``allowed`` (norm, service_id) gives. A score is a service's best text's; vector_hits (norm, service_id, score) override a lower one. Scores are rounded before the
     status is told; an unmatched name keeps its candidates and has no service."""
     quick = exact_or_synonym(names.select(raw).distinct(), services, raw)
     texts = catalogue_texts(services)
     open_ = quick.where((F.col("method") == "none") & (F.length("norm") >= LEAST)).select("norm").distinct()
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3))))
     if allowed is not None:
         pairs = open_.join(allowed, "norm", "left").withColumnRenamed("service_id", "_only")
         free = pairs.where("_only IS NULL").select("norm")
         bound = pairs.where("_only IS NOT NULL").join(texts, F.col("_only") == F.col("service_id")).select("norm", "text", "service_id", "service_name")
     else:
         free, bound = open_, None
-    left = free.select("norm", F.explode(grams(F.col("norm"))).alias("g"))
-    distinct_texts = texts.select("text").distinct()
-    right = distinct_texts.select("text", F.explode(grams(F.col("text"))).alias("g"))
-    met = left.join(right, "g").select("norm", "text").distinct()
+    # names are dealt anew: Spark may have read few of them in one task, but each costs a pass over the catalogue
+    met = free.repartition("norm").crossJoin(texts.select("text").distinct())
     pairs = met.withColumn("score", fuzzy_rounded("norm", "text")).join(texts, "text").select("norm", "service_id", "service_name", "score")
     if bound is not None:
         pairs = pairs.unionByName(bound.withColumn("score", fuzzy_rounded("norm", "text")).select("norm", "service_id", "service_name", "score"))
