@@ -134,7 +134,7 @@ REQUESTS = [
     ("покажи топ 3 узи от 2000 до 8000", {"min_price": 2000, "max_price": 8000, "limit": 3, "topic": "узи"}), ("консультация терапевта не дороже 8000", {"max_price": 8000, "min_price": None}),
     ("МРТ под 50к", {"max_price": 50000}), ("blood test under 100 usd", {"max_price": 50000}), ("клиники в Шымкенте", {"city": "Шымкент", "intent": "find_partner"}), ("cheapest MRI brain in Astana", {"language": "en", "city": "Астана", "sort": "cheapest"}),
     ("привет", {"intent": "unknown"}), ("", {"intent": "unknown"}), ("анализ не дешевле 5000", {"min_price": 5000, "max_price": None}), ("узи в астане дешевле 8000", {"city": "Астана", "max_price": 8000, "min_price": None}),
-    ("семейный врач до 5000", {"city": None, "max_price": 5000}), ("узи живот 3000", {"min_price": None, "max_price": None}), ("узи до " + "9" * 40, {"max_price": None}), ("недорого узи", {"sort": "cheapest"}),
+    ("семейный врач до 5000", {"city": None, "max_price": 5000}), ("узи живот 3000", {"min_price": None, "max_price": None}), ("узи до " + "9" * 40, {"max_price": None}), ("недорого узи", {"sort": "expensive"}), ("cheap узи", {"sort": "cheapest"}),
 ]
 
 
