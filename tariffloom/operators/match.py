@@ -34,15 +34,51 @@ def exact_or_synonym(names: DataFrame, services: DataFrame, raw: str = "raw") ->
     return done.withColumn("method", F.coalesce("_kind", F.lit("none"))).withColumn("confidence", F.when(F.col("_kind").isNotNull(), 1.0)).drop("_kind")
 
 
-def infer_specialty(sections: DataFrame, specialties: DataFrame, column: str = "section") -> DataFrame:
-    """sections with specialty: the best-scoring one of at least SPECIALTY (ties by name), or null."""
-    names = specialties.select("specialty").distinct()
+def infer_specialty(sections: DataFrame, specialties: DataFrame, column: str = "section", least: float = SPECIALTY) -> DataFrame:
+    """sections with specialty: the best-scoring one of at least that score (ties by name), or null.
+
+    Distinct texts are scored against the distinct specialties, of which a catalogue has a few hundred."""
+    names = specialties.select("specialty").where("specialty <> ''").distinct()
     distinct = sections.select(F.col(column).alias("_s")).where(F.col(column).isNotNull()).distinct()
-    scored = distinct.join(F.broadcast(names.limit(SMALL)) if names.count() <= SMALL else names, F.lit(True)).withColumn("_score", fuzzy_rounded(normalise(F.col("_s")), normalise(F.col("specialty"))))
-    best = first_of(scored.where(F.col("_score") >= SPECIALTY), ["_s"], F.col("_score").desc(), "specialty").select("_s", "specialty")
+    known = F.broadcast(names) if names.count() <= SMALL else names
+    scored = distinct.repartition("_s").crossJoin(known).withColumn("_score", fuzzy_rounded(normalise(F.col("_s")), normalise(F.col("specialty"))))
+    best = first_of(scored.where((F.col("_score") >= least) & (normalise(F.col("_s")) != "")), ["_s"], F.col("_score").desc(), "specialty").select("_s", "specialty")
     return sections.join(best, sections[column] == best["_s"], "left").drop("_s")
 
 
+def specialty_prior(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """key, specialty, n_allowed: the specialty whose services (links: service_id, specialty) an item may be matched to.
+
+    Levels of section_path count from the innermost to the outermost, then section; the first that names a specialty with
+    services decides. Without any, all services are allowed, and both columns are null."""
+    levels = F.array_distinct(F.filter(F.transform(F.concat(F.reverse(F.coalesce("section_path", F.array().cast("array<string>"))), F.array("section")), lambda x: F.trim(x)), lambda x: x != ""))
+    walked = rows.select(key, F.posexplode(levels).alias("_level", "section"))
+    sizes = links.groupBy("specialty").agg(F.countDistinct("service_id").alias("n_allowed"))
+    told = infer_specialty(walked, links).join(sizes, "specialty")
+    first = told.groupBy(key).agg(F.min(F.struct("_level", "specialty", "n_allowed")).alias("_f")).select(key, "_f.specialty", "_f.n_allowed")
+    return rows.select(key).join(first, key, "left")
+
+
+def allowed_services(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """key, service_id: the services that specialty_prior() allows, for cascade(); nothing for items that it doesn't bind."""
+    return specialty_prior(rows, key, links).where("specialty IS NOT NULL").join(links.select("specialty", "service_id").distinct(), "specialty").select(key, "service_id")
+
+
+SPECIALTY_NAME = 0.90
+
+
+def without_specialty_rows(rows: DataFrame, specialties: DataFrame, column: str) -> DataFrame:
+    """rows without those that have no price and no code (has_price, has_code) and are named like a specialty."""
+    bare = rows.where(~F.col("has_price") & ~F.col("has_code")).select(F.col(column).alias("_n")).distinct()
+    named = infer_specialty(bare, specialties, "_n", SPECIALTY_NAME).where("specialty IS NOT NULL").select("_n")
+    return rows.join(named, (F.col(column) == F.col("_n")) & ~F.col("has_price") & ~F.col("has_code"), "left_anti")
+
+
+def enriched(hits: DataFrame, paths: DataFrame) -> DataFrame:
+    """hits with category_path, an empty one for services without."""
+    return hits.join(paths.select("service_id", "category_path"), "service_id", "left").withColumn("category_path", F.coalesce("category_path", F.array().cast("array<string>")))
+
+
 def cascade(names: DataFrame, services: DataFrame, raw: str = "raw", allowed: DataFrame | None = None, vector_hits: DataFrame | None = None, top: int = 5) -> DataFrame:
     """norm, service_id, method, confidence, status, candidates of each distinct name.
 
@@ -130,11 +166,25 @@ def resolve_partners(documents: DataFrame, partners: DataFrame) -> DataFrame:
     return done.select(*documents.columns, F.coalesce("_by_bin", "_by_name").alias("partner_id"), by.alias("by"), confidence.alias("partner_confidence"))
 
 
+BACKFILLED = ("city", "address", "email", "phone", "bin")
+
+
+def backfill_partners(partners: DataFrame, resolved: DataFrame) -> DataFrame:
+    """partners with their empty fields filled from the hints of documents that were resolved to them: of each field the
+    first hint that is not empty, by document_id. What a partner has stays."""
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    fields = [c for c in BACKFILLED if c in partners.columns and c in resolved.columns]
+    hint = {c: business_id(F.col(c)) if c == "bin" else clean(F.col(c)) for c in fields}
+    first = resolved.where("partner_id IS NOT NULL").groupBy("partner_id").agg(*(F.min_by(hint[c], F.when(hint[c].isNotNull(), F.col("document_id"))).alias(f"_{c}") for c in fields))
+    filled = partners.join(first, "partner_id", "left").withColumns({c: F.coalesce(clean(F.col(c)), f"_{c}") for c in fields})
+    return filled.select(partners.columns)
+
+
 def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query, rank, key, score: the k most similar rows by cosine held to [0, 1]; ties to the smaller key.
 
-    Queries go out in blocks of about SMALL, each broadcast and scored in one pass over the rows."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
+    A zero vector has no direction, so its score with any is 0. Queries go out in blocks of about SMALL, each broadcast and scored in one pass over the rows."""
+    unit = lambda c: F.transform(c, lambda x: F.try_divide(x.cast("double"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))))
     blocks = max(1, -(-queries.count() // SMALL))
     asked = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
     dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
@@ -142,7 +192,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "ve
     lists = None
     for block in range(blocks):
         q = asked.where(F.pmod(F.xxhash64("query", "_q"), F.lit(blocks)) == block)
-        scored = rows.select(key, unit(F.col(vector)).alias("_v")).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)).alias("score"))
+        scored = rows.select(key, unit(F.col(vector)).alias("_v")).join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot, F.lit(0.0)))).alias("score"))
         found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         lists = found if lists is None else lists.unionByName(found)
     if blocks == 1:

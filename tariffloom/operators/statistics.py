@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_CITY, median, or_unknown
+from ..functions.text import NO_CATEGORY, NO_CITY, median, or_unknown
 
 
 def dashboard(partners: DataFrame, services: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -72,3 +72,25 @@ def created_updated(incoming: DataFrame, existing: DataFrame, key: str) -> DataF
     keys = incoming.select(key).distinct()
     have = existing.select(key).distinct().withColumn("_have", F.lit(True))
     return keys.join(have, key, "left").agg(F.count_if(F.col("_have").isNull()).alias("created"), F.count_if("_have").alias("updated"))
+
+
+def recent(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n newest rows by the first key, ties by the others."""
+    return rows.orderBy(F.col(keys[0]).desc(), *keys[1:]).limit(n)
+
+
+def grouped(rows: DataFrame, label: str) -> DataFrame:
+    """label, n and place: groups in order of their labels, what has none last. There are as few rows as labels."""
+    counts = rows.groupBy(F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit(NO_CATEGORY)).alias(label)).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col(label) == NO_CATEGORY, label)))
+
+
+def recognition_quality(words: DataFrame) -> DataFrame:
+    """document_id, mean_confidence, priced_share of recognised words (document_id, confidence, priced)."""
+    return words.groupBy("document_id").agg(F.avg("confidence").alias("mean_confidence"), F.avg(F.col("priced").cast("double")).alias("priced_share"))
+
+
+def longest_times(documents: DataFrame) -> DataFrame:
+    """text_seconds, scan_seconds: the longest parse of a text document and of a scan (file_format, seconds)."""
+    scan = F.col("file_format") == "scan_pdf"
+    return documents.agg(F.max(F.when(~scan, F.col("seconds"))).alias("text_seconds"), F.max(F.when(scan, F.col("seconds"))).alias("scan_seconds"))

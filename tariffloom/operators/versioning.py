@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise
+
 ANOMALY = "PRICE_ANOMALY"
 
 
@@ -59,7 +61,7 @@ def snapshot_merge(stored: DataFrame, document: DataFrame, price: str = "price")
 def reconcile(rows: DataFrame, tie: str = "item_id") -> DataFrame:
     """rows with is_active set anew: of each partner's service (or normalised raw name, if unmatched) with more than one row,
     only the latest by date (null first), version and creation stays active; single rows keep what they have."""
-    key = F.coalesce(F.col("service_id").cast("string"), F.concat(F.lit("raw:"), F.lower(F.trim("service_name_raw"))))
+    key = F.coalesce(F.col("service_id").cast("string"), F.concat(F.lit("raw:"), normalise(F.col("service_name_raw"))))
     group = Window.partitionBy("partner_id", key)
     order = group.orderBy(F.col("effective_date").desc_nulls_last(), F.col("version").desc(), tie)
     return rows.withColumn("is_active", F.when(F.count("*").over(group) > 1, F.row_number().over(order) == 1).otherwise(F.col("is_active")))
@@ -98,3 +100,15 @@ def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:
         "needs_review": F.when(accepted, F.lit(False)).when(F.col("_a") == "reject", F.lit(True)).otherwise(F.col("needs_review")),
         "verified_by": F.when(accepted, F.col("_o")), "verified_at": F.when(accepted, F.col("_t")),
     }).drop("_a", "_s", "_o", "_t")
+
+
+def match_events(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """item_id, old_service_id, new_service_id, action, operator, decided_at of every decision on an item, for an audit.
+
+    Each event starts from what the item's decision before it left; a rejection leaves the service as it was."""
+    order = Window.partitionBy("item_id").orderBy(F.col("decided_at").asc_nulls_first(), F.col("action").desc())
+    known = decisions.join(rows.select("item_id", F.col("service_id").alias("_now")), "item_id")
+    chosen = F.when(F.col("action").isin("approve", "match", "create"), F.col("service_id"))
+    before = F.last(chosen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = known.withColumn("old_service_id", F.coalesce(before, "_now"))
+    return told.select("item_id", "old_service_id", F.coalesce(chosen, "old_service_id").alias("new_service_id"), "action", F.coalesce("operator", F.lit("operator")).alias("operator"), "decided_at")

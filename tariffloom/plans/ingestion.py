@@ -67,8 +67,9 @@ SQL = {
 SELECT item_id, row_number() OVER (PARTITION BY partner_id, key ORDER BY effective_date DESC NULLS LAST, item_id) = 1 AS is_active FROM k""",
     "detect_format": "SELECT page_id, CASE WHEN page_id % 8 = 5 THEN 'xlsx' ELSE ['pdf', 'docx', 'xls', 'unknown'][page_id % 4 + 1] END AS file_format, sha256(html) AS sha256 FROM pages",
     "section_paths": """WITH r AS (SELECT l_suppkey AS table_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) AS INTEGER) AS row_idx, l_partkey % 16 AS k, l_partkey FROM lineitem),
-h AS (SELECT *, max(CASE WHEN k = 0 THEN row_idx END) OVER w AS i0, max(CASE WHEN k = 1 THEN row_idx END) OVER w AS i1, max(CASE WHEN k = 2 THEN row_idx END) OVER w AS i2 FROM r WINDOW w AS (PARTITION BY table_id ORDER BY row_idx)),
-n AS (SELECT h.*, a.l_partkey AS p0, b.l_partkey AS p1, c.l_partkey AS p2 FROM h LEFT JOIN r a ON h.table_id = a.table_id AND h.i0 = a.row_idx LEFT JOIN r b ON h.table_id = b.table_id AND h.i1 = b.row_idx LEFT JOIN r c ON h.table_id = c.table_id AND h.i2 = c.row_idx)
-SELECT table_id, row_idx, concat_ws('/', 'A' || p0, CASE WHEN i1 > coalesce(i0, -1) THEN 'B' || p1 END, CASE WHEN i2 > greatest(coalesce(i0, -1), coalesce(i1, -1)) THEN 'C' || p2 END) AS path FROM n""",
+h AS (SELECT *, last_value(CASE WHEN k = 0 THEN row_idx END IGNORE NULLS) OVER w AS i0, last_value(CASE WHEN k = 1 THEN row_idx END IGNORE NULLS) OVER w AS i1, last_value(CASE WHEN k = 2 THEN row_idx END IGNORE NULLS) OVER w AS i2,
+  last_value(CASE WHEN k = 0 THEN l_partkey END IGNORE NULLS) OVER w AS p0, last_value(CASE WHEN k = 1 THEN l_partkey END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN k = 2 THEN l_partkey END IGNORE NULLS) OVER w AS p2
+  FROM r WINDOW w AS (PARTITION BY table_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT table_id, row_idx, concat_ws('/', 'A' || p0, CASE WHEN i1 > coalesce(i0, -1) THEN 'B' || p1 END, CASE WHEN i2 > greatest(coalesce(i0, -1), coalesce(i1, -1)) THEN 'C' || p2 END) AS path FROM h""",
     "item_headers": "SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 6 IN (0, 1, 2, 5) AS is_header FROM part",
 }

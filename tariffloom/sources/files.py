@@ -57,6 +57,22 @@ def entry_name(info: zipfile.ZipInfo) -> str | None:
     return name
 
 
+def zip_counts(files: DataFrame) -> DataFrame:
+    """archive, n: members of a supported kind, told by the archive's directory alone; empty ones count, broken archives have 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts = []
+            for content in b["content"]:
+                try:
+                    counts.append(sum(entry_name(info) is not None for info in zipfile.ZipFile(io.BytesIO(content)).infolist()))
+                except zipfile.BadZipFile:
+                    counts.append(0)
+            yield pd.DataFrame({"archive": b["path"], "n": counts})
+
+    return files.select("path", "content").mapInPandas(run, "archive string, n long")
+
+
 def zip_entries(files: DataFrame) -> DataFrame:
     """archive, name, content of each archive's members of a supported kind that are not empty; broken archives give none."""
 
