@@ -15,6 +15,7 @@ from .common import tidied
 from .tokens import WORD_LEVEL, Cache, byte_letters, folded
 
 NEVER = 1 << 30
+PAIRS = 400_000  # tested pairs of tokens that a worker remembers, some 40 MB
 
 
 class Bpe:
@@ -63,7 +64,7 @@ class Bpe:
                 self.size[t] = len(s)
                 self.matches.add_word(s, (t, len(s)))
         self.matches.make_automaton()
-        self.pieces, self.stretches = Cache(self.piece), Cache(self.stretch)
+        self.pieces, self.stretches = Cache(self.piece, 16 << 20), Cache(self.stretch, 96 << 20)
 
     def spine(self, token: int, side: int, kept: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """The nodes that hold the token's outermost symbol on one side, from that symbol up, each with its merge's rank."""
@@ -108,7 +109,7 @@ class Bpe:
                 pair = before << 20 | token
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) > 4_000_000:
+                    if len(fits) > PAIRS:
                         fits.clear()
                     fits[pair] = ok = self.apart(before, token)
                 if not ok:
@@ -121,7 +122,10 @@ class Bpe:
         return np.array(out[::-1], dtype="<u4").tobytes()
 
     def stretch(self, text: str) -> bytes:
-        return b"".join([self.pieces[p] for p in WORD_LEVEL.findall(folded(text))])
+        word = folded(text)
+        if word.isalpha():
+            return self.piece(word)
+        return b"".join([self.pieces[p] for p in WORD_LEVEL.findall(word)])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit bytes; an added token's string in a text is that token."""

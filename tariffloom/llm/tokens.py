@@ -11,7 +11,8 @@ from unicodedata import normalize
 import regex
 from tokenizers import Tokenizer
 
-CACHED = 500_000  # entries of one cache at most; at this many it starts anew
+SHORT = 64  # characters of the longest key that a cache keeps
+ENTRY = 180  # bytes of an entry besides its ids, about
 #: Runs of white space that a split at single spaces would encode differently from the whole text.
 LONG_GAP = re.compile(r"\s\s\s|\s\s\Z")
 ODD_SPACE = re.compile(r"[^\S \n]")
@@ -29,6 +30,8 @@ def byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = byte_letters()
+SPACE_LETTER = BYTE_LETTERS[ord(" ")]
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def folded(text: str) -> str:
@@ -40,16 +43,24 @@ def folded(text: str) -> str:
 
 
 class Cache(dict):
-    """Computes what it lacks, and forgets everything when full."""
+    """Computes what it lacks. It keeps short keys only, in two generations of half its bytes each: when the young one is
+    full, it becomes the old one, from which what is asked for again comes back."""
 
-    def __init__(self, of, size: int = CACHED):
+    def __init__(self, of, size: int):
         super().__init__()
-        self.of, self.size = of, size
+        self.of, self.half, self.held, self.old = of, size // 2, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) > self.size:
+        found = self.old.get(key)
+        if found is None:
+            found = self.of(key)
+            if len(key) > SHORT:
+                return found
+        self.held += ENTRY + len(found)
+        if self.held > self.half:
+            self.old, self.held = dict(self), 0
             self.clear()
-        self[key] = found = self.of(key)
+        self[key] = found
         return found
 
 
@@ -79,35 +90,36 @@ class Encoder:
             told = json.load(f)
         self.added = [x["content"] for x in told["added_tokens"]]
         self.keeps_space = (told["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.pieces = Cache(self.direct, 2 * CACHED)
+        self.pieces = Cache(self.direct, 8 << 20)
         if self.keeps_space:
-            self.first = Cache(lambda w: self.split("", w))
-            self.later = Cache(lambda w: self.split(" ", w))
+            self.first = Cache(lambda w: self.split("", w), 4 << 20)
+            self.later = Cache(lambda w: self.split(" ", w), 112 << 20)
         else:
-            self.first = self.later = Cache(self.parted)
+            self.first = self.later = Cache(self.parted, 112 << 20)
 
     def direct(self, text: str) -> bytes:
         word = text[1:] if self.keeps_space and text[:1] == " " else text
         if word.isalpha():
             # letters alone have nothing to split, so the model gives the ids of their bytes' letters
-            ids = [t.id for t in self.whole.model.tokenize(text.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))]
+            spelled = text.replace(" ", SPACE_LETTER) if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self.whole.model.tokenize(spelled)]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
     def split(self, space: str, word: str) -> bytes:
         if word.isalpha():
-            return self.pieces[space + word]
+            return self.direct(space + word)
         if word[-1:] in MARKS and word[:-1].isalpha():
-            return self.pieces[space + word[:-1]] + self.pieces[word[-1]]
+            return (self.later if space else self.first)[word[:-1]] + self.pieces[word[-1]]
         return b"".join([self.pieces[p] for p in BYTE_LEVEL.findall(space + word)])
 
     def parted(self, stretch: str) -> bytes:
         word = folded(stretch)
         if word.isalpha():
-            return self.pieces[word]
+            return self.direct(word)
         if word[-1:] in MARKS and word[:-1].isalpha():
-            return self.pieces[word[:-1]] + self.pieces[word[-1]]
+            return self.later[word[:-1]] + self.pieces[word[-1]]
         return b"".join([self.pieces[p] for p in WORD_LEVEL.findall(word)])
 
     def safe(self, text: str) -> bool:
