@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+RUN = 10_000  # slots in one array
 SLICES = 4096  # counted pieces of each shard, so that slots need no sort of a whole shard in one task
 
 
@@ -30,7 +31,8 @@ def shard(docs: DataFrame, shards: int = 8, weights: list[float] | None = None,
     1. slot numbers the rows of a shard without gaps from 0, by slice, key, checksum and size; repeated rows get a slot
     each. Slots come from counts: a shard is cut into SLICES by hash (rows of one key are spread by their content), rows
     are ranked inside a slice only, and the counts of earlier slices are added. The texts are not shuffled. grown_shard
-    is the shard with one more shard, of weight 1. Null keys and texts are kept; an empty table gives no rows.
+    is the shard with one more shard, of weight 1. Null keys and texts are kept; an empty table gives no rows; columns
+    other than key and text don't matter.
     """
     weights = weights or [1.0] * shards
     body = F.coalesce(F.col(text), F.lit(""))
@@ -46,9 +48,11 @@ def shard(docs: DataFrame, shards: int = 8, weights: list[float] | None = None,
     order = Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = equal.withColumn("above", F.coalesce(F.sum("copies").over(order), F.lit(0)))
     first = F.coalesce("before", F.lit(0)) + F.col("above")
-    return ranked.join(F.broadcast(before.drop("n")), ["shard", "slice"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first.cast("long"), (first + F.col("copies") - 1).cast("long"))).alias("slot"), "grown_shard",
-    )
+    placed = ranked.join(F.broadcast(before.drop("n")), ["shard", "slice"]).withColumns({"first": first.cast("long"), "last": (first + F.col("copies") - 1).cast("long")})
+    # slots of equal rows come in runs of at most RUN, so that no array is as long as a row is often
+    placed = placed.withColumn("run", F.explode(F.sequence("first", "last", F.lit(RUN).cast("long"))))
+    slot = F.explode(F.sequence("run", F.least("last", F.col("run") + RUN - 1))).alias("slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

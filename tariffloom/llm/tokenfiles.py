@@ -20,11 +20,13 @@ MAGIC = b"PFR1"
 @dataclass(frozen=True)
 class Settings:
     """block: ids of one frame. percentile: share of a block's ids that its width must hold. segment: ids after which a
-    file segment ends at the next document. end_id: appended to every document."""
+    file segment ends at the next document. part_bytes: of text that one task writes at most, about. end_id: appended to
+    every document."""
 
     block: int = 1024
     percentile: float = 0.95
     segment: int = 1 << 20
+    part_bytes: int = 128 << 20
     end_id: int = 1
 
 
@@ -93,11 +95,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, s: Settings = Settings(),
 
     Files are Spark's, so that any store works; each row is one segment: part and segment number it in order, documents
     and ids count it, data holds its bytes. Rows are dealt by ranges of doc_id and a hash of the text, so rows repeating
-    one id spread over tasks; one segment and its documents are in memory at a time.
+    one id spread over tasks; one segment and its documents are in memory at a time, a segment that one very long text
+    fills beyond s.segment included. Null ids come back null; null texts have the end id alone; an empty table gives
+    files without rows.
     """
     spark = docs.sparkSession
     ahead = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("spread"), F.col(text).alias("text"))
-    ahead = ahead.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "spread").sortWithinPartitions("doc_id", "spread")
+    total = ahead.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // s.part_bytes)
+    ahead = ahead.repartitionByRange(parts, "doc_id", "spread").sortWithinPartitions("doc_id", "spread")
 
     def run(batches):
         from pyspark import TaskContext
@@ -133,17 +139,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     segments = files.select("part", "segment", "ids").withColumn("inside", F.coalesce(F.sum("ids").over(inside), F.lit(0)))
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
     before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = segments.join(F.broadcast(before.drop("n")), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("first"))
+    first = segments.join(before.drop("n"), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("first"))
 
     def run(batches):
         for b in tidied(batches):
-            for data, part, number in zip(*(b.column(c).to_pylist() for c in ("data", "part", "segment"))):
+            for data, first in zip(b.column("data").to_pylist(), b.column("first").to_pylist()):
                 found = list(read_segment(data))
                 sizes = np.array([len(x) for _, x in found], dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(found), pa.int32()), "segment": pa.array([number] * len(found), pa.int32()), "doc_id": pa.array([i for i, _ in found], pa.int64()), "inside": np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())})
+                ids = pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in found], pa.int64()), "start": first + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": ids})
 
-    documents = files.select("part", "segment", "data").mapInArrow(run, "part int, segment int, doc_id long, inside long, n_tokens long, ids binary")
-    return documents.join(F.broadcast(first), ["part", "segment"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    # starts are known before anything is decoded, so only small rows, one for each segment, are joined to the files' rows
+    return files.join(first, ["part", "segment"]).select("data", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:

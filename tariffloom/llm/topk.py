@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 QUERY_BLOCK = 16_384  # queries broadcast at a time: at most 8 MB at 64 components
 TILE = 4_096  # candidate rows of one matrix product
@@ -65,25 +65,26 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     """Each query's k best candidates by integer inner product of floor(256 * x): query_id, rank, vec_id, score.
 
     Queries go out in blocks of at most QUERY_BLOCK rows, a bounded broadcast that is given up when the block's lists are
-    written; every partition of candidates is a shard that multiplies the block tile by tile and keeps one running list
-    of k per query, and lists meet in a tree: FAN_IN shards first, then all. A candidate with a query's id is its own row and is left out. Rows without an id, and
-    vectors that are null, empty or hold null or non-finite components, take no part; vectors are compared only with
-    such of the same length; ties go to the smaller id. Equal rows repeated under one id are made one before the search,
-    of queries and candidates alike; different vectors under one id each count.
+    written, all blocks to one table; every partition of candidates is a shard that multiplies the block tile by tile and
+    keeps one running list of k per query, and lists meet in a tree: FAN_IN shards first, then all. A candidate with a
+    query's id is its own row and is left out. Rows without an id, and vectors that are null, empty or hold null or
+    non-finite components, take no part; vectors are compared only with such of the same length; ties go to the smaller
+    id. Equal rows repeated under one id are made one before the search, of queries and candidates alike; different
+    vectors under one id each count. Scores beyond the range of a long are held to it. An empty table gives no rows.
     """
     spark = queries.sparkSession
     take = lambda df, name: cut(df.select(F.col(id_col).cast("long").alias(name), F.col(vector_col).alias("vector")).where(F.col(name).isNotNull() & valid_vector(F.col("vector"))).distinct())
     shards, asked = take(candidates, "vec_id"), take(queries, "query_id")
     blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))  # blocks are hashed, so half the bound is aimed at
-    lists = None
+    path = shared_dir(spark)
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)) == block).toArrow()
         ids = rows["query_id"].to_numpy()
         held = spark.sparkContext.broadcast([(ids[at], m) for at, m in quantised(rows["vector"].combine_chunks())] if rows.num_rows else [])
-        found = cut(best_lists(shards.mapInArrow(shard_search(held, k), OUT), ["query_id", F.expr(f"part div {FAN_IN}")], k))
+        found = best_lists(shards.mapInArrow(shard_search(held, k), OUT), ["query_id", F.expr(f"part div {FAN_IN}")], k)
+        found.write.mode("append").parquet(path)
         held.unpersist()
-        lists = found if lists is None else lists.unionByName(found)
-    return best_lists(lists, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+    return best_lists(spark.read.parquet(path), ["query_id"], k).select("query_id", "rank", "vec_id", "score")
 
 
 def best_lists(lists: DataFrame, keys: list, k: int) -> DataFrame:
