@@ -1,14 +1,18 @@
 """What the operators of this subpackage share: table access, cutting of lineage, and word hashing over Arrow text columns.
 
 Words are runs of bytes other than space and 0x09-0x0D. They are found and hashed over whole Arrow buffers with
-numpy: a prefix sum of ``table[byte] * BASE**i`` gives the hash of every word by one subtraction, and the same trick
-over word hashes gives that of every run of n words. Equal words always have equal hashes; two different ones among n
-share a 64-bit hash with a probability of about n * n / 2**65.
+numpy: a prefix sum of ``table[byte] * BASE**i`` gives the hash of every short word by one subtraction, and the same
+trick over word hashes gives that of every run of n words. Sums modulo a power of two can be made to collide over long
+spans, so words of over SHORT bytes take a digest of their bytes instead, and runs are of a few words only; whole texts
+and sets are told apart by cryptographic digests, never by these sums. Equal words always have equal hashes; two
+different ones among n share a 64-bit hash with a probability of about n * n / 2**65, so a hash proposes and words decide
+wherever a deletion depends on it.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import tempfile
 import uuid
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 CHUNK_BYTES = 1 << 20  # of text hashed at a time
+SHORT = 32  # bytes of the longest word that is hashed by prefix sums
 U64 = np.uint64
 
 
@@ -28,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_ROWS = 2_000  # of texts in one Arrow batch: whole texts may be long
+BATCH_ROWS, BATCH_BYTES = 2_000, "4m"  # of one Arrow batch: texts may be long
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the library (a cluster gets it by --py-files), and keep batches small."""
+    """Let Python workers on this machine import the library (a cluster gets it by --py-files), and keep batches small in
+    sessions that have not set their size: they decide how much text a worker and its JVM hold at a time."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
@@ -59,19 +66,53 @@ def trim() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under a local temporary one only where that setting is absent (tests)."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local run (tests) gets a temporary folder; a
+    cluster, whose machines share none, an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tariffloom-shared")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage: written once to the shared folder, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
+    return read_back(df, shared_dir(df.sparkSession))
+
+
+def read_back(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one operator's steps in the shared folder: cut() adds one, free() deletes one that no later step reads,
+    kept() writes the result and deletes the rest."""
+
+    def __init__(self):
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(df.sparkSession)
+        out = read_back(df, path)
+        self.tables[id(out)] = out, path
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self.tables:
+                delete(df.sparkSession, self.tables.pop(id(df))[1])
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        self.free(*(table for table, _ in list(self.tables.values())))
+        return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,6 +180,9 @@ class Words:
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         prefix = BYTES.prefix((FOLDED if fold else EXACT)[data])
         self.hash = BYTES.spans(prefix, self.start, self.end)
+        for k in np.flatnonzero(self.end - self.start > SHORT).tolist():
+            word = data[self.start[k] : self.end[k]].tobytes()
+            self.hash[k] = int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest(), "little")
         self.rows = np.searchsorted(self.start, bounds)  # words of row k: rows[k]..rows[k + 1]
 
     def grams(self, n: int) -> np.ndarray:
