@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS, hashed, mix, seeded, tidied
@@ -15,19 +15,20 @@ from .common import WORDS, hashed, mix, seeded, tidied
 #: Bytes that separate words here: ASCII other than letters and digits.
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 KINDS = seeded(4, 3)
+COUNTED = 1 << 22  # classes of features that are counted ahead
 
 
 @dataclass(frozen=True)
 class Settings:
     """The sample's bound and the learner's constants.
 
-    per_class: labelled rows of each class that the fit takes at most; they are chosen by a hash of doc_id.
-    max_bytes: longer texts are scored like all others, but take no part in the fit.
-    least_docs: a feature needs to be in so many texts of the sample to get a coordinate.
+    per_class: labelled rows of each class that the fit takes at most. sample_bytes: of text that these have together in
+    each class, but for the last one taken. Rows come in the order of a hash of doc_id, whatever their length, and are
+    taken whole. least_docs: a feature needs to be in so many texts of the sample to get a coordinate.
     """
 
     per_class: int = 6_000
-    max_bytes: int = 1 << 16
+    sample_bytes: int = 20 << 20
     least_docs: int = 3
     epochs: int = 12
     alpha: float = 4.0
@@ -51,12 +52,14 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted hashes with their non-zero weights, and the bias. Coordinates learn at rates of their own, L1 keeps most at 0."""
-    every = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-    names, seen = np.unique(every, return_counts=True)
+    seen = np.zeros(COUNTED, np.int32)  # at least as often as each feature itself; rare ones go before any is sorted
+    for r in rows:
+        np.add.at(seen, (r % np.uint64(COUNTED)).astype(np.intp), 1)
+    often = [r[seen[(r % np.uint64(COUNTED)).astype(np.intp)] >= s.least_docs] for r in rows]
+    names, seen = np.unique(np.concatenate([*often, np.zeros(0, np.uint64)]), return_counts=True)
     names = names[seen >= s.least_docs]
-    del every, seen
     at = []
-    for r in rows:
+    for r in often:
         k = np.searchsorted(names, r)
         k[k == len(names)] = 0
         at.append(k[names[k] == r] if len(names) else k[:0])
@@ -87,6 +90,8 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, float]:
     """The model from a bounded sample of labelled rows that are not held out; a document's label is its highest one.
 
+    The sample's first choice is by a share of the hash of doc_id, so what is ordered afterwards, without texts, is
+    bounded too. Rows of docs that repeat each other count once, different texts of one doc_id are rows of their own.
     With no labels of a class, the model has no weights and its bias is the smoothed share of toxic labels.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -95,15 +100,22 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     prior = np.log((toxic + 0.5) / (clean + 0.5))
     if not toxic or not clean:
         return np.zeros(0, np.uint64), np.zeros(0), float(prior)
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 0.98 * s.per_class / toxic))).otherwise(F.lit(min(1.0, 0.98 * s.per_class / clean)))
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, s.per_class / toxic))).otherwise(F.lit(min(1.0, s.per_class / clean)))
     draw = (F.xxhash64("doc_id", F.lit("sample")).cast("double") / float(1 << 64)) + 0.5
-    chosen = known.where(draw <= share).limit(2 * s.per_class)  # so the broadcast is bounded
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= s.max_bytes)).join(F.broadcast(chosen), "doc_id").limit(2 * s.per_class)
+    place = Window.partitionBy("toxic").orderBy("draw", "doc_id")
+    chosen = known.withColumn("draw", draw).where(F.col("draw") <= share).withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= s.per_class)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("stamp")).where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id", "toxic", "draw")), "doc_id")
+    listed = texts.groupBy("toxic", "draw", "doc_id", "stamp").agg(F.max(F.octet_length("text")).alias("size"))
+    place = Window.partitionBy("toxic").orderBy("draw", "doc_id", "stamp")
+    taken = listed.withColumn("before", F.sum("size").over(place) - F.col("size")).withColumn("nth", F.row_number().over(place))
+    taken = taken.where((F.col("nth") <= s.per_class) & (F.col("before") <= s.sample_bytes)).select("doc_id", "stamp")
+    sample = texts.join(F.broadcast(taken), ["doc_id", "stamp"]).select("doc_id", "stamp", "text", "toxic").dropDuplicates(["doc_id", "stamp"])
 
     def learn(batches):
-        found = sorted(((i, y, f) for b in batches for i, y, f in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), (f for _, f in features(b.column("text"))))), key=lambda x: (x[0], len(x[2])))
-        y = np.array([x[1] for x in found], dtype=float)
-        names, weights, bias = ftrl([x[2] for x in found], y, s)
+        found = [(i, t, y, f) for b in batches for i, t, y, f in zip(*(b.column(c).to_pylist() for c in ("doc_id", "stamp", "toxic")), (f for _, f in features(b.column("text"))))]
+        found.sort(key=lambda x: x[:2])
+        y = np.array([x[2] for x in found], dtype=float)
+        names, weights, bias = ftrl([x[3] for x in found], y, s)
         drawn = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         yield pa.RecordBatch.from_pydict({"feature": np.append(names, np.uint64(0)).view(np.int64), "weight": np.append(weights, bias + prior - drawn), "bias": np.append(np.zeros(len(names), bool), True)})
 
@@ -115,10 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns: list[str] | None = None, s: Settings = Settings()) -> DataFrame:
-    """The chosen columns of every row with score and predicted; null and empty texts score what the bias says."""
+    """The chosen columns of every row with score and predicted, which replace columns of these names; null and empty texts
+    score what the bias says."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*(columns or docs.columns))
-    ahead = kept if "text" in kept.columns else docs.select(*(F.col(c) for c in kept.columns), "text")
+    kept = docs.select(*(F.col(f"`{c}`") for c in columns or docs.columns if c not in ("score", "predicted")))
+    ahead = kept if "text" in kept.columns else docs.select(*(F.col(f"`{c}`") for c in kept.columns), "text")
     place = ahead.columns.index("text")
     names_out = [*kept.columns, "score", "predicted"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["score double", "predicted int"])
@@ -139,8 +152,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs that a model fitted on docs and labels doesn't predict to be toxic."""
-    return score(docs, fit(docs, labels, s), s=s).where("predicted = 0").select(docs.columns)
+    """The rows of docs, with all their columns, that a model fitted on docs and labels doesn't predict to be toxic."""
+    own = {c: f"_own_{n}" for n, c in enumerate(docs.columns) if c in ("score", "predicted")}
+    scored = score(docs.withColumnsRenamed(own), fit(docs, labels, s), s=s).where("predicted = 0")
+    return scored.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
