@@ -156,7 +156,7 @@ def test_neardup_large_group(spark):
         rows.append((i + 7, " ".join(w)))
     rows += [(1000 + i, " ".join(base[:100] + [f"y{i}-{k}" for k in range(100)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, neardup.Settings(words=2, first=1, small=2)).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, neardup.Settings(words=2, first=2, small=2)).collect()}
     assert all(got[i + 7] == 7 for i in range(120)) and all(got[1000 + i] == 1000 + i for i in range(60))
 
 
@@ -294,7 +294,7 @@ def brute_repeats(rows):
 
 
 def test_substrings(documents, nothing):
-    for s in (substrings.Settings(), substrings.Settings(docs_of_shard=1, docs_of_reducer=1, filter_rows=1)):
+    for s in (substrings.Settings(), substrings.Settings(group_bytes=1, filter_rows=1, tile=3, automaton_words=30, pairs=1)):
         got = substrings.remove_repeats(documents, s).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(texts(documents))
     assert substrings.remove_repeats(nothing).count() == 0
@@ -306,9 +306,30 @@ def test_substrings_table(spark, sf):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows)
 
 
-def test_hash_is_sparks(spark):
-    from pyspark.sql import functions as F
+def thue_morse(length, a, b):
+    return [a if bin(k).count("1") % 2 == 0 else b for k in range(length)]
 
-    keys = [0, 1, -5, 1 << 40, -(2**63)]
-    df = spark.createDataFrame([(k,) for k in keys], "k long").select(F.xxhash64("k").alias("h"))
-    assert substrings.spark_hash(np.array(keys)).tolist() == [r.h for r in df.collect()]
+
+def test_hashes_that_sums_confuse(spark):
+    """Arrangements that sums modulo a power of two can't tell apart: of words in a text, and of letters in a word."""
+    mixed = lambda a, b: [x for k, y in enumerate(thue_morse(1024, a, b)) for x in (f"u{k}", y)]
+    rows = [(1, " ".join(mixed("a", "b"))), (2, " ".join(mixed("b", "a"))), (3, "".join(thue_morse(2048, "a", "b"))), (4, "".join(thue_morse(2048, "b", "a"))), (5, "A" * 5000), (6, "a" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in substrings.remove_repeats(df).collect())
+    sets = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, neardup.Settings(words=2)).collect()}
+    assert sets[3] == (1, 3) and sets[4] == (1, 4) and sets[6] == (1, 5)
+
+
+def test_substrings_common_blocks(spark):
+    """Half windows that stand in many contexts, periodic texts, and passages across tiles."""
+    rng = random.Random(8)
+    line = " ".join(f"l{k}" for k in range(10))
+    texts = [" ".join([f"a{rng.randint(0, 60)}" for _ in range(8)] + [line]) for _ in range(120)]
+    texts += ["w " * 300, "w x " * 90, " ".join(texts[:40]), " ".join(texts[20:50]), " ".join(f"p{k}" for k in range(400)), " ".join(f"p{k}" for k in range(50, 390))]
+    rows = [(rng.randint(0, 90), t) for t in texts] + [(None, texts[-1]), (None, texts[-3]), (-(2**63), "w " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda d: -(2**63) if d is None else d
+    for s in (substrings.Settings(), substrings.Settings(group_bytes=2000, automaton_words=90, tile=7)):
+        got = substrings.remove_repeats(df, s).collect()
+        assert Counter((key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats([(key(d), t) for d, t in rows])
+        assert sum(r.doc_id is None for r in got) == 2
