@@ -29,16 +29,21 @@ def test_leading_code(spark):
 
 
 def test_running_names(spark):
-    """A name on one line and its price on a later one; a bare number between parts of a name; a filler alone."""
-    lines = [(10, ["Длинное", "название"]), (20, [1]), (30, ["услуги", 5000]), (60, ["РАЗДЕЛ"]), (80, [2, "Осмотр"]), (110, [7000]), (150, ["прием", 900])]
+    """A name on one line and its price on a later one, with a row's number and unit between; orphan prices; a filler alone."""
+    lines = [(10, "Длинное название", None), (40, "1 услуга", None), (70, "для взрослых", "5000"), (100, "РАЗДЕЛ", None), (130, "2 Осмотр врача", None), (150, "", "7 000"), (190, "3 прием", "900")]
     rows = []
-    for top, parts in lines:
-        for n, p in enumerate(parts):
-            x = 10.0 if isinstance(p, int) and n == 0 and len(parts) < 3 and p < 10 else 50.0 + 60 * n if isinstance(p, str) else 400.0
-            rows.append((1, x, x + 6 * len(str(p)), float(top), str(p)))
+    for top, text, price in lines:
+        x = 10.0
+        for word in text.split():
+            rows.append((1, x, x + 6 * len(word), float(top), word))
+            x += 6 * len(word) + 4
+        x = 400.0
+        for word in (price or "").split():
+            rows.append((1, x, x + 6 * len(word), float(top), word))
+            x += 6 * len(word) + 4
     df = spark.createDataFrame(rows, "page_id long, x0 double, x1 double, top double, text string")
     got = [(r.service_name_raw, r.price_resident, r.section_path) for r in sorted(geometry.priced_lines(df).collect(), key=lambda r: r.line)]
-    assert got == [("Длинное название услуги", 5000.0, []), ("Осмотр", 7000.0, ["РАЗДЕЛ"])]
+    assert got == [("Длинное название для взрослых", 5000.0, []), ("Осмотр врача", 7000.0, ["РАЗДЕЛ"])]
     assert geometry.priced_lines(df.limit(0)).count() == 0
 
 
