@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, seeded, shingle_sets, tidied
+from .common import Scratch, cut, mix, seeded, shingle_sets, tidied
 from .graph import components
 
 
@@ -19,8 +20,9 @@ class Settings:
 
     bands * rows / 2 permutations give a minimum and a maximum each; half of the bands are made of minima, half of
     maxima. At similarity 0.8 a pair shares no band with a probability of (1 - 0.8**5)**30, 7 in a million.
-    first: pivots of a bucket in the second round (the first has one), and growth their increase in each round; in
-    buckets of at most small nodes all are pivots from the second round on. filter_rows: ids of wanted texts that are broadcast at most.
+    ahead: bands of the first round. In buckets that stay open, about one node is a pivot, then first ones; in that round
+    all nodes of buckets of at most small ones are pivots, and from there on growth is their increase. share: pairs of one
+    pivot that one copy of its set serves. filter_rows: ids of wanted texts that are broadcast at most.
     bits: of the bitmap of a set, by which pairs are ruled out before their sets are read; a multiple of 64.
     """
 
@@ -28,17 +30,19 @@ class Settings:
     percent: int = 80
     bands: int = 30
     rows: int = 5
+    ahead: int = 3
     first: int = 4
-    growth: int = 16
+    growth: int = 4_096
     small: int = 24
+    share: int = 4_096
     filter_rows: int = 1_000_000
-    bits: int = 1024
+    bits: int = 2048
     seed: int = 11
 
 
-def digest(found: np.ndarray) -> int:
-    """64 bits that depend only on the set; two different sets among n share one with a probability of n * n / 2**65."""
-    return int(mix(np.array([mix(found).sum(dtype=np.uint64) + np.uint64(len(found))], dtype=np.uint64)).view(np.int64)[0])
+def digest(found: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +79,8 @@ def stamped(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, stamp (64-bit hash of the text, which tells rows of one doc_id apart), n (size of the shingle set), node (64-bit digest of the set, null if empty), map (its bitmap), bands (a key for each band)."""
+    """doc_id, stamp (64-bit hash of the text, which tells rows of one doc_id apart), n (size of the shingle set), digest
+    (of the set, null if empty), map (its bitmap), bands (a key for each band)."""
     half = s.bands // 2 * s.rows
     a = (seeded(s.seed, half) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     b = (seeded(s.seed + 1, half) >> np.uint64(32)).astype(np.uint32)
@@ -84,34 +89,43 @@ def profiles(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         for batch in tidied(batches):
-            n, nodes, maps, keys = [], [], [], []
+            n, sets, maps, keys = [], [], [], []
             for _, found in shingle_sets(batch.column("text"), s.words):
                 n.append(len(found))
                 maps.append(bitmap(found, s.bits))
                 if len(found):
                     sign = signature(found, a, b).astype(np.uint64).reshape(s.bands, s.rows)
                     keys.append(mix((mix(sign + salt[:, None]) * fold).sum(axis=1, dtype=np.uint64)).view(np.int64))
-                    nodes.append(digest(found))
+                    sets.append(digest(found))
                 else:
                     keys.append(np.zeros(0, np.int64))
-                    nodes.append(None)
+                    sets.append(None)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stamp"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), lists], names=["doc_id", "stamp", "n", "node", "map", "bands"])
+            columns = [batch.column("doc_id"), batch.column("stamp"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(maps, pa.list_(pa.int64())), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "stamp", "n", "digest", "map", "bands"])
 
-    return stamped(docs).mapInArrow(run, "doc_id long, stamp long, n long, node long, map array<long>, bands array<long>")
+    return stamped(docs).mapInArrow(run, "doc_id long, stamp long, n long, digest binary, map array<long>, bands array<long>")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """node and set (binary, sorted 64-bit hashes) of the wanted nodes, from one row of each: of the smallest doc_id, or
-    of a null one where the node has no other."""
-    some = nodes.join(rows.select("node", "doc_id", "stamp"), "node").groupBy("node", "doc_id", "stamp").agg(F.count("*").alias("times"))
-    chosen = cut(some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp", "times")).alias("r")).select("node", F.col("r.doc_id").alias("w_id"), F.col("r.stamp").alias("w_stamp"), F.col("r.times").alias("times")))
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """A row with a number (node) for each set: its digest, n, map and bands, and the row that stands for it: none, doc_id,
+    stamp and the times that this one occurs. That is the one of the smallest doc_id, or of a null one if there is no other."""
+    full = rows.where(F.col("digest").isNotNull())
+    times = full.groupBy("digest", "doc_id", "stamp").agg(F.count("*").alias("times"))
+    chosen = times.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp", "times")).alias("r"))
+    some = full.select("digest", "n", "map", "bands").dropDuplicates(["digest"])
+    return some.join(chosen, "digest").select(F.monotonically_increasing_id().alias("node"), "digest", "n", "map", "bands", "r.*")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, s: Settings, work: Scratch) -> DataFrame:
+    """node and set (binary, sorted 64-bit hashes) of the wanted nodes, from the text that stands for each."""
+    chosen = work.cut(nodes.select("node", "digest", F.col("doc_id").alias("w_id"), F.col("stamp").alias("w_stamp"), "times").join(wanted, "node"))
     small = chosen.count() <= s.filter_rows
 
-    def met(wanted: DataFrame) -> DataFrame:
-        wanted = F.broadcast(wanted) if small else wanted
-        return stamped(docs).join(wanted, (F.col("stamp") == F.col("w_stamp")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "node")
+    def met(some: DataFrame) -> DataFrame:
+        some = F.broadcast(some) if small else some
+        return stamped(docs).join(some, (F.col("stamp") == F.col("w_stamp")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "node", "digest")
 
     texts, again = met(chosen.where("times = 1")), chosen.where("times > 1")
     if not again.isEmpty():
@@ -122,14 +136,17 @@ def full_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, s: Settings) -
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 sets = [found for _, found in shingle_sets(some.column("text"), s.words)]
-                kept = pa.array([digest(x) == n for x, n in zip(sets, some.column("node").to_pylist())], pa.bool_())  # another text may have that stamp
+                kept = pa.array([digest(x) == d for x, d in zip(sets, some.column("digest").to_pylist())], pa.bool_())  # another text may have that stamp
                 yield pa.RecordBatch.from_arrays([some.column("node"), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["node", "set"]).filter(kept)
 
-    return cut(texts.mapInArrow(run, "node long, set binary"))
+    return work.cut(texts.mapInArrow(run, "node long, set binary"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose full sets reach the similarity: a, b."""
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    A node may be end a of very many pairs (the pivot of a large group), so its pairs are dealt over copies of its set,
+    one for about s.share pairs, and no task gets them all."""
 
     def run(batches):
         for batch in tidied(batches):
@@ -141,17 +158,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
             yield kept.filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / s.share).cast("int").alias("copies"))
+    dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    left = sets.join(copies.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.col("set").alias("left"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    met = dealt.join(left, ["a", "copy"]).join(right, "b")
+    return met.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
     """labels (node, label) after more links: only the labels that these connect are looked at again."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-    again = cut(components(ends)).withColumnRenamed("label", "l_new")
+    again = work.cut(components(ends, work)).withColumnRenamed("label", "l_new")
     old = labels.join(again.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("l_new", "label").alias("label"))
-    return old.unionByName(again.select("node", F.col("l_new").alias("label"))).distinct()
+    return work.cut(old.unionByName(again.select("node", F.col("l_new").alias("label"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -163,71 +184,93 @@ def judged(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each of docs: doc_id, stamp, n_shingles, component_id (the smallest doc_id reachable by links), kept.
 
     Texts with equal sets are one node, so exact copies cost nothing further. Nodes that share a band's key form a
-    bucket. In rounds, its first node and then a growing share of its first ones by hash are pivots, and each is compared
-    with the nodes after it that it isn't known to be connected with; sizes and bitmaps rule out pairs first, then full
-    sets decide.
-    Rounds go on until every bucket is connected or all its pairs are compared, so no link is lost, and a bucket of
-    thousands of near copies costs a few comparisons for each instead of all pairs.
+    bucket. Its nodes are compared with its first node by number, which near copies agree on in most buckets: at first
+    in s.ahead bands, then in all of them where labels still differ. Sizes and bitmaps rule out pairs first, then full
+    sets decide. In the buckets that still hold several labels, a growing share of the nodes
+    are pivots for all others, until every bucket is connected or all its pairs are compared. So no link is lost, and a
+    bucket of thousands of near copies costs a few comparisons for each instead of all pairs.
     Null texts, empty ones and such of white space have no shingles, are linked with nothing and are kept. Rows that
     repeat a doc_id each get a row; equal texts get one component. Of each component one text (doc_id and stamp) is
     kept: of the smallest doc_id, or of a null one if there is no other, that with the smallest stamp; rows that repeat
-    it are kept as well. An empty table gives no rows.
+    it are kept as well. An empty table gives no rows, and columns other than doc_id and text don't matter.
     """
-    rows = cut(profiles(docs, s))
-    entries = rows.where(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    entries = cut(entries.join(shared, "key").distinct())
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead"))
-    # node is a hash itself, so its place between the least and the greatest long picks a share of any bucket
-    nth = (F.col("node").cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")
-    maps = rows.where(F.col("node").isNotNull()).select("node", "map").dropDuplicates(["node"])
-    entries = cut(entries.join(sizes, "key").join(maps, "node").withColumn("nth", nth).withColumn("lead", F.col("node") == F.col("lead")))
-    labels = compared = None
-    before, now = 0.0, float(s.first)
+    work = Scratch()
+    rows = work.cut(profiles(docs, s))
+    nodes = work.cut(distinct_sets(rows))
+    labels = None
+
+    def entries(bands: int) -> DataFrame:
+        """node, n, label and key of the first so many bands."""
+        some = nodes.select("node", "n", F.slice("bands", 1, bands).alias("bands"))
+        some = some.withColumn("label", F.col("node")) if labels is None else some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return some.select("node", "n", "label", F.explode("bands").alias("key"))
+
+    def with_pivots(some: DataFrame, pivots: DataFrame, after, sets: DataFrame | None = None) -> None:
+        """Compares the nodes of buckets with their pivots (p_key, p_node, p_n, p_label and, if it is at hand, p_map), and
+        brings labels up to date. Full sets are read from docs unless given."""
+        nonlocal labels
+        near = may_link(s) if "map" in some.columns else 100 * F.least("n", "p_n") >= s.percent * F.greatest("n", "p_n")
+        met = some.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("label") != F.col("p_label")) & near & after)
+        pairs = met.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct()
+        if "map" not in some.columns:
+            end = lambda c, mark: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{mark}n"), F.col("map").alias(f"{mark}map"))
+            pairs = pairs.join(end("b", ""), "b").join(end("a", "p_"), "a").where(may_link(s)).select("a", "b")
+        pairs = work.cut(pairs)
+        if sets is None:
+            wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            sets = full_sets(docs, wanted, nodes, s, work)
+        found = work.cut(confirmed(pairs, sets, s))
+        labels = work.cut(components(found, work)) if labels is None else joined(labels, found, work)
+
+    for bands in (s.ahead, s.bands):
+        some = entries(bands)
+        ends = some.groupBy("key").agg(F.min(F.struct("node", "n", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        lead = ends.select(F.col("key").alias("p_key"), F.col("lead.node").alias("p_node"), F.col("lead.n").alias("p_n"), F.col("lead.label").alias("p_label"))
+        with_pivots(some, lead, F.col("node") > F.col("p_node"))
+    open_ = lambda some: some.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("key", "size")
+    some = entries(s.bands)
+    spread = F.xxhash64("node")  # its place between the least and the greatest long picks a share of any bucket
+    nth = (spread.cast("double") + float(1 << 63)) / float(1 << 64) * F.col("size")
+    left = some.drop("label").join(open_(some), "key").join(nodes.select("node", "map"), "node")
+    left = work.cut(left.withColumns({"spread": spread, "nth": nth}))
+    sets = full_sets(docs, left.select("node").distinct(), nodes, s, work)
+    before, now = 0.0, 1.0
     while True:
-        if labels is None:
-            marked, fits = entries.withColumn("label", F.col("node")), F.col("lead")
-        else:
-            marked = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            undone = F.lit(True) if before == 0 else F.col("most") > F.greatest(F.lit(before), F.lit(s.small))
-            ends = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("most"))
-            marked = cut(marked.join(ends.where((F.col("most") > 2) & (F.col("low") != F.col("high")) & undone).select("key"), "key"))
-            if marked.isEmpty():
-                break
-            fits = F.when(F.col("size") <= s.small, F.lit(before == 0)).otherwise((F.col("nth") < now) & (F.col("nth") >= before))
-        pivots = marked.where(fits).select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "map", "label")))
-        met = marked.join(pivots, "key").where((F.col("label") != F.col("p_label")) & (F.col("node") > F.col("p_node")) & may_link(s))
-        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        found = cut(confirmed(pairs, full_sets(docs, nodes, rows, s), s))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        if labels is None:
-            labels = cut(components(found))
-        else:
-            labels, before, now = cut(joined(labels, found)), now, now * s.growth
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp")
-    whole = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(first).alias("least"))
-    whole = whole.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        some = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        undone = open_(some).where(F.lit(now <= s.first) | (F.col("size") > F.greatest(F.lit(before), F.lit(s.small)))).select("key")
+        share = (F.col("nth") < now) & (F.col("nth") >= before)
+        fits = share if now < s.first else F.when(F.col("size") <= s.small, F.lit(now == s.first)).otherwise(share)
+        pivots = work.cut(some.where(fits).join(undone, "key").select(*(F.col(c).alias(f"p_{c}") for c in ("key", "node", "n", "map", "label", "spread"))))
+        if not pivots.isEmpty():
+            with_pivots(some, pivots, F.struct("spread", "node") > F.struct("p_spread", "p_node"), sets)
+        elif undone.isEmpty():
+            break
+        before, now = now, s.first if now < s.first else now * s.growth
+    first = F.struct("none", "doc_id", "stamp")
+    whole = nodes.select("node", "digest", first.alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("least").alias("first"))
-    of_node = whole.join(least, "label").select("node", F.col("first.doc_id").alias("component"), F.col("first.stamp").alias("first"))
-    out = rows.select("doc_id", "stamp", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    kept = F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("stamp") == F.col("first"))
-    return out.select("doc_id", "stamp", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    of_set = whole.join(least, "label").select("digest", F.col("first.doc_id").alias("component"), F.col("first.stamp").alias("first"))
+    out = rows.select("doc_id", "stamp", "n", "digest").join(of_set, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+    kept = F.col("digest").isNull() | F.col("doc_id").eqNullSafe(F.col("component")) & (F.col("stamp") == F.col("first"))
+    return work.kept(out.select("doc_id", "stamp", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")))
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs without those that are linked, directly or not, to one that judged() keeps, and without repeated rows.
 
     Rows are told by doc_id and stamp, so other texts of the same or of no doc_id stay. What goes is broadcast up to
-    s.filter_rows and joined beyond; so is what rows repeat."""
-    told = cut(judged(docs, s))
-    gone = told.where(~F.col("kept")).select("doc_id", "stamp").distinct()
-    twice = told.where("kept").groupBy("doc_id", "stamp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stamp")
+    s.filter_rows and joined beyond; so is what rows repeat. All columns of docs are returned, whatever their names."""
+    told = judged(docs, s)
+    names = {"doc_id": "w_id", "stamp": "w_stamp"}
+    gone = cut(told.where(~F.col("kept")).select("doc_id", "stamp").distinct().withColumnsRenamed(names))
+    twice = cut(told.where("kept").groupBy("doc_id", "stamp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stamp").withColumnsRenamed(names))
     hint = lambda rows: F.broadcast(rows) if rows.count() <= s.filter_rows else rows
-    gone, twice = hint(cut(gone)), hint(cut(twice))
-    same = lambda rows: docs["doc_id"].eqNullSafe(rows["doc_id"]) & (F.xxhash64(docs["text"]) == rows["stamp"])
+    same = lambda rows: docs["doc_id"].eqNullSafe(rows["w_id"]) & (F.xxhash64(docs["text"]) == rows["w_stamp"])
+    gone, again = hint(gone), not twice.isEmpty()
     kept = docs.join(gone, same(gone), "left_anti")
+    if not again:
+        return kept
+    twice = hint(twice)
     return kept.join(twice, same(twice), "left_anti").unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
