@@ -22,7 +22,7 @@ def coded_rows(spark, d):
 def stored_services(spark, d):
     """Services that the catalogue already has: every third code, and some without a code."""
     key = F.col("p_partkey")
-    rows = domain.read(spark, d, "part").where("p_partkey <= 400 AND p_partkey % 3 = 0")  # the store's own rows, not a subset of a table
+    rows = domain.read(spark, d, "part").where("p_partkey % 3 = 0")  # the store's own rows, not a subset of a table
     code = F.when(key <= 199, key)
     return rows.select(code.alias("code"), F.when(code.isNull(), F.concat(F.lit("Stored "), key.cast("string"))).otherwise(F.col("p_name")).alias("service_name"), F.array("p_name").alias("synonyms"), F.lit("OLD").alias("icd_code"), (key % 2 == 0).alias("is_active"))
 
@@ -230,14 +230,14 @@ SOURCE = """src0 AS (
 ), have AS (
   SELECT *, CASE WHEN code IS NOT NULL THEN 'code:' || code ELSE 'name:' || lower(service_name) END AS k FROM (
     SELECT CASE WHEN p_partkey <= 199 THEN p_partkey END AS code, CASE WHEN p_partkey > 199 THEN 'Stored ' || p_partkey ELSE p_name END AS service_name, p_name AS synonyms, 'OLD' AS icd_code, p_partkey % 2 = 0 AS is_active
-    FROM part WHERE p_partkey <= 400 AND p_partkey % 3 = 0)
+    FROM part WHERE p_partkey % 3 = 0)
 ), last AS (SELECT k, max(code) AS code, arg_max(name, row) AS name, arg_max(icd, row) FILTER (icd IS NOT NULL) AS icd FROM src GROUP BY k
 ), done AS (
   SELECT coalesce(h.k, l.k) AS service_key, coalesce(h.code, l.code) AS code, coalesce(l.name, service_name) AS service_name, CASE WHEN l.name IS NOT NULL THEN l.name ELSE synonyms END AS synonyms,
     coalesce(l.icd, icd_code) AS icd_code, l.name IS NOT NULL OR coalesce(is_active, false) AS is_active, l.name IS NOT NULL AND h.service_name IS NULL AS created
   FROM have h FULL JOIN last l ON h.k = l.k
 ), old AS (SELECT DISTINCT k, specialty FROM src WHERE row % 7 = 0
-), new AS (SELECT k AS service_key, specialty, arg_min(specialty_id, row) AS specialty_id FROM (SELECT * FROM src) s WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k = s.k AND old.specialty = s.specialty) GROUP BY k, specialty
+), new AS (SELECT k AS service_key, specialty, arg_min_null(specialty_id, row) AS specialty_id FROM (SELECT * FROM src) s WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k = s.k AND old.specialty = s.specialty) GROUP BY k, specialty
 )"""
 WORD = """CASE {0} WHEN 0 THEN 'Стоматология' WHEN 1 THEN 'Лучевая диагностика' WHEN 2 THEN 'Физиотерапия и реабилитация' WHEN 3 THEN 'Лабораторная диагностика' ELSE 'Прочие медицинские услуги' END"""
 SQL = {
