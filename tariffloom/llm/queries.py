@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op5_ann
 from .bpe import op8_bpe
 from .html import op9_html
+from .language import op11_language
 from .neardup import op2_neardup
 from .packing import op3_packing
 from .sharding import op6_sharding
@@ -13,7 +14,7 @@ from .tokenfiles import op7_tokenfiles
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html, op10_substrings, op11_language)}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP2_SQL = rf"""
 WITH RECURSIVE d AS (
