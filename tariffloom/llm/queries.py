@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op5_ann
 from .bpe import op8_bpe
+from .codes import OP13_SQL, op13_codes
 from .conversations import OP12_SQL, op12_conversations
 from .html import op9_html
 from .language import op11_language
@@ -15,7 +16,7 @@ from .tokenfiles import op7_tokenfiles
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html, op10_substrings, op11_language, op12_conversations)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_packing, op4_toxicity, op5_ann, op6_sharding, op7_tokenfiles, op8_bpe, op9_html, op10_substrings, op11_language, op12_conversations, op13_codes)}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP2_SQL = rf"""
 WITH RECURSIVE d AS (
@@ -41,4 +42,4 @@ WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents
 ), r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
 """
-SQL = {"op1_topk": OP1_SQL, "op2_neardup": OP2_SQL, "op10_substrings": OP10_SQL, "op12_conversations": OP12_SQL}
+SQL = {"op1_topk": OP1_SQL, "op2_neardup": OP2_SQL, "op10_substrings": OP10_SQL, "op12_conversations": OP12_SQL, "op13_codes": OP13_SQL}
