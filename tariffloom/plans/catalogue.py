@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ingestion, lists, matching, pricing, reading, upkeep
+from . import ingestion, lists, matching, pricelists, pricing, reading, upkeep
 
-MODULES = (pricing, lists, matching, ingestion, reading, upkeep)
+MODULES = (pricing, pricelists, lists, matching, ingestion, reading, upkeep)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

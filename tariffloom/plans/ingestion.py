@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import prices
-from ..operators import assistant, tables
+from ..operators import assistant, tables, versioning
+from ..session import workspace
 from ..sources import files
+from ..sources.keyed import KeyedTable
 from ..streaming import ingest
 from . import domain, lists
 
 
-def workspace(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "tariffloom-shared")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stream_ingest(spark, d):
     at = workspace(spark)
     rows = domain.items_of(ingest.parquet_stream(spark, f"{d}/lineitem.parquet"))
-    path = ingest.ingest(rows, f"{at}/table", f"{at}/checkpoint")
-    return spark.read.parquet(path).select("item_id", "is_active")
+    schema = versioning.reconcile(domain.items(spark, d).withColumns({"is_active": F.lit(True), "version": F.lit(1)})).schema
+    table = KeyedTable(spark, f"{at}/table", schema, ("partner_id",), parts=16)
+    return ingest.ingest(rows, table, f"{at}/checkpoint").read().select("item_id", "is_active")
 
 
 def detect_format(spark, d):

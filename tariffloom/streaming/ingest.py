@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import versioning
+from ..operators import upserts, versioning
+from ..sources.keyed import Change, KeyedTable
 
 
-def reconciled(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Rows after a batch: repeated item_ids of the batch are dropped, and the lines that it touches are reconciled anew."""
+def reconciled(stored: DataFrame | None, batch: DataFrame, part: Column) -> DataFrame:
+    """Rows of the parts that a batch touches: repeated item_ids are dropped, and these parts' lines are reconciled anew."""
     fresh = batch.dropDuplicates(["item_id"]).withColumns({"is_active": F.lit(True), "version": F.lit(1)})
     if stored is None:
         return versioning.reconcile(fresh)
     fresh = fresh.join(stored.select("item_id"), "item_id", "left_anti")
-    lines = fresh.select("partner_id").distinct()
-    touched = stored.join(lines, "partner_id", "left_semi").unionByName(fresh.select(stored.columns))
-    return stored.join(lines, "partner_id", "left_anti").unionByName(versioning.reconcile(touched))
+    return versioning.reconcile(stored.unionByName(fresh.select(stored.columns)))
 
 
-def ingest(stream: DataFrame, table_dir: str, checkpoint_dir: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame] = reconciled):
-    """Runs the stream over all that is there now; returns the table's last path, or None without any batch.
+def upserted(stored: DataFrame | None, batch: DataFrame, part: Column) -> DataFrame:
+    """Rows of the parts that a batch of whole documents touches, these upserted in order."""
+    return upserts.upsert(stored, batch, part)
 
-    Each batch reads the state of the one before and writes its own, so a batch that is run again gives the same."""
+
+def ingest(stream: DataFrame, table: KeyedTable, checkpoint_dir: str, change: Change = reconciled) -> KeyedTable:
+    """Runs the stream over all that is there now, each batch a commit of the table. A batch that is run again changes nothing.
+
+    A table is fed by one checkpoint only, as its batches are numbered from there."""
 
     def step(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.parquet(f"{table_dir}/state-{number - 1}") if number else None
-        merge(stored, batch).write.mode("overwrite").parquet(f"{table_dir}/state-{number}")
+        replace(table, spark=batch.sparkSession).merge(batch, number, change)
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     query.awaitTermination()
-    seen = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
-    return f"{table_dir}/state-{max(seen)}" if seen else None
+    return table
 
 
 def queue_counts(events: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
