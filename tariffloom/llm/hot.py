@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SHARE = 512
 
 
-def with_values(rows: DataFrame, values: DataFrame, key: str, count: str, share: int = SHARE) -> DataFrame:
+def with_values(rows: DataFrame, values: DataFrame, key: str, count: str, share: int = SHARE, how: str = "inner") -> DataFrame:
     """rows with the columns of their key's row in values, in which each key (also a null one) has one row and count, the
     number of rows that have it.
 
@@ -19,5 +19,5 @@ def with_values(rows: DataFrame, values: DataFrame, key: str, count: str, share:
     often, seldom = told.where(F.col(count) * share > total), told.where(F.col(count) * share <= total)
     same = F.col(key).eqNullSafe(F.col("_key"))
     met = rows.join(F.broadcast(often), same).drop("_key")
-    rest = rows.join(F.broadcast(often.select("_key")), same, "left_anti").join(seldom, same).drop("_key")
+    rest = rows.join(F.broadcast(often.select("_key")), same, "left_anti").join(seldom, same, how).drop("_key")
     return met.unionByName(rest)

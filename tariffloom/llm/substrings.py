@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, cut, hashed, tidied
+from .hot import with_values
 
 U64, I64 = np.uint64, np.int64
 
@@ -374,14 +375,20 @@ def removed(s: Settings):
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 NO_ID = -(2**63)  # stands for a null doc_id, which is before all others
-SALTS = 16  # tasks over which the copies of one text are dealt
+
+
+def has_window(s: Settings, text: str = "text") -> Column:
+    """Whether a text has as many words as a window; only so many are looked at."""
+    word, gap = r"[^ \t-\r]++", r"[ \t-\r]++"
+    return F.coalesce(F.col(text).rlike(rf"\A[ \t-\r]*+(?:{word}{gap}){{{s.window - 1}}}[^ \t-\r]"), F.lit(False))
 
 
 def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of docs: doc_id, n_words, n_removed, kept_sha256, stamp (a hash of the text), and kept where words were removed.
 
     A text whose whole word sequence a smaller doc_id has too (told by SHA-256 over its words) loses all its words, if it
-    has a window at all, so groups of exact copies cost nothing more. All others are streamed through the automata of
+    has a window at all, so groups of exact copies cost nothing more. Texts with fewer words than a window lose none and are
+    not dealt out, nulls and empty ones among them. All others are streamed through the automata of
     their shard. Texts are dealt by their own hash, so neither one doc_id nor rows without any gather in a task; every
     batch and shard passes on one place for each phrase or window, so a passage in a third of all texts reaches a
     reducer once for each batch, not once for each text. A shard holds about s.group_bytes of text, or one longer text.
@@ -394,16 +401,14 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     shards = reducers = max(12, total // s.group_bytes)
     first = work.cut(rows.mapInArrow(scan(s, reducers, shards), PACKED))
     every = first.where(F.col("kind") == DOCUMENT).select("doc_id", "none", "stamp", "n_words", "sha256")
-    salt = F.pmod(F.xxhash64("doc_id", "stamp"), F.lit(SALTS)).cast("int")
-    origin = every.groupBy("sha256").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1")
-    origin = origin.select("sha256", "origin", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    every = every.withColumn("salt", salt).join(origin, ["sha256", "salt"], "left").withColumn("copy", F.coalesce((F.col("doc_id") > F.col("origin")) & (F.col("n_words") >= s.window), F.lit(False)))
-    every = work.cut(every.drop("origin", "salt"))
+    origin = work.cut(every.groupBy("sha256").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1"))
+    copy = F.coalesce((F.col("doc_id") > F.col("origin")) & (F.col("n_words") >= s.window), F.lit(False))
+    every = work.cut(with_values(every, origin, "sha256", "n", how="left").withColumn("copy", copy).drop("origin", "n"))
     hint = lambda keys: F.broadcast(keys) if keys.count() <= s.filter_rows else keys
     copies = hint(work.cut(every.where("copy").select("doc_id", "stamp").distinct()))
-    twice = work.cut(every.where("NOT copy").groupBy("doc_id", "stamp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stamp"))
+    twice = work.cut(every.where(f"NOT copy AND n_words >= {s.window}").groupBy("doc_id", "stamp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "stamp"))
     key = ["doc_id", "stamp"]
-    texts = rows.drop("none").join(copies, key, "left_anti")
+    texts = rows.where(has_window(s)).drop("none").join(copies, key, "left_anti")
     if not twice.isEmpty():
         twice = hint(twice)
         texts = texts.join(twice, key, "left_anti").unionByName(texts.join(twice, key, "left_semi").dropDuplicates(key))
@@ -422,11 +427,14 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     later = work.cut(packed_for(windows, ENTRIES, "hashes", "starts").groupBy("part").applyInArrow(lambda t: wanted(s, shards)(t), PACKED))
     work.free(windows, phrases)
     tiles = work.cut(packed_for(later, KNOWN, "starts").groupBy("part").applyInArrow(lambda t: tiles_of_shard(t), "part long, doc_id long, stamp long, tile int"))
-    of_text = hint(work.cut(tiles.groupBy("doc_id", "stamp").agg(F.collect_set("tile").alias("tiles"))))
+    of_text = tiles.groupBy("doc_id", "stamp").agg(F.collect_set("tile").alias("tiles"))
+    of_text = F.broadcast(of_text) if tiles.count() <= s.filter_rows else of_text
     taken = work.cut(texts.join(of_text, key).select("doc_id", "stamp", "text", "tiles").mapInArrow(passages(s), "doc_id long, stamp long, tile int, words string"))
     sent = tiles.join(taken, [*key, "tile"]).select("part", "doc_id", (F.col("tile") * s.tile).alias("start"), "words")
     changed = texts.select("*", shard).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(lambda a, b: removed(s)(a, b), "doc_id long, stamp long, sha256 string, n_removed long, kept string")
-    out = every.join(changed, [*key, "sha256"], "left")
+    whole = F.col("copy") | (F.col("n_words") < s.window)  # removed or kept as a whole
+    of_changed = {f.name: F.lit(None).cast(f.dataType) for f in changed.schema.fields if f.name in ("n_removed", "kept")}
+    out = every.where(~whole).join(changed, [*key, "sha256"], "left").unionByName(every.where(whole).withColumns(of_changed))
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return work.kept(out.select(
         F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_words", gone.cast("long").alias("n_removed"),
