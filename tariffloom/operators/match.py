@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.prices import is_item_header
 from ..functions.similarity import fuzzy_rounded
 from ..functions.text import business_id, normalise
+from .fuzzyjoin import best_entries
 
 AUTO, REVIEW, SPECIALTY, LEAST = 0.85, 0.60, 0.62, 2
 SMALL = 20_000  # catalogue texts that are broadcast at most
@@ -37,12 +38,12 @@ def exact_or_synonym(names: DataFrame, services: DataFrame, raw: str = "raw") ->
 def infer_specialty(sections: DataFrame, specialties: DataFrame, column: str = "section", least: float = SPECIALTY) -> DataFrame:
     """sections with specialty: the best-scoring one of at least that score (ties by name), or null.
 
-    Distinct texts are scored against the distinct specialties, of which a catalogue has a few hundred."""
-    names = specialties.select("specialty").where("specialty <> ''").distinct()
-    distinct = sections.select(F.col(column).alias("_s")).where(F.col(column).isNotNull()).distinct()
-    known = F.broadcast(names) if names.count() <= SMALL else names
-    scored = distinct.repartition("_s").crossJoin(known).withColumn("_score", fuzzy_rounded(normalise(F.col("_s")), normalise(F.col("specialty"))))
-    best = first_of(scored.where((F.col("_score") >= least) & (normalise(F.col("_s")) != "")), ["_s"], F.col("_score").desc(), "specialty").select("_s", "specialty")
+    Distinct texts are compared with the distinct specialties, most of them by bounds alone (fuzzyjoin)."""
+    known = specialties.select("specialty").where("specialty <> ''").distinct()
+    texts = known.select(normalise(F.col("specialty")).alias("text"), F.col("specialty").alias("owner"), F.col("specialty").alias("owner_name"))
+    distinct = sections.select(F.col(column).alias("_s"), normalise(F.col(column)).alias("_norm")).where("_norm <> ''").distinct()
+    told = best_entries(distinct, texts, 1, "_norm").where(F.col("score") >= least).select("_norm", F.col("owner").alias("specialty"))
+    best = distinct.join(told, "_norm").select("_s", "specialty")
     return sections.join(best, sections[column] == best["_s"], "left").drop("_s")
 
 
@@ -82,9 +83,10 @@ def enriched(hits: DataFrame, paths: DataFrame) -> DataFrame:
 def cascade(names: DataFrame, services: DataFrame, raw: str = "raw", allowed: DataFrame | None = None, vector_hits: DataFrame | None = None, top: int = 5) -> DataFrame:
     """norm, service_id, method, confidence, status, candidates of each distinct name.
 
-    Exact and synonym matches are hash joins; only distinct names that miss both are scored, against all texts of the
-    catalogue, or of the service set that ``allowed`` (norm, service_id) gives. A score is a service's best text's; vector_hits (norm, service_id, score) override a lower one. Scores are rounded before the
-    status is told; an unmatched name keeps its candidates and has no service."""
+    Exact and synonym matches are hash joins; only distinct names that miss both are compared with all texts of the
+    catalogue (best_entries scores few of these pairs), or with those of the services that ``allowed`` (norm, service_id)
+    gives. A score is a service's best text's; vector_hits (norm, service_id, score) override a lower one. Scores are
+    rounded before the status is told; an unmatched name keeps its candidates and has no service."""
     quick = exact_or_synonym(names.select(raw).distinct(), services, raw)
     texts = catalogue_texts(services)
     open_ = quick.where((F.col("method") == "none") & (F.length("norm") >= LEAST)).select("norm").distinct()
@@ -94,15 +96,21 @@ def cascade(names: DataFrame, services: DataFrame, raw: str = "raw", allowed: Da
         bound = pairs.where("_only IS NOT NULL").join(texts, F.col("_only") == F.col("service_id")).select("norm", "text", "service_id", "service_name")
     else:
         free, bound = open_, None
-    # names are dealt anew: Spark may have read few of them in one task, but each costs a pass over the catalogue
-    met = free.repartition("norm").crossJoin(texts.select("text").distinct())
-    pairs = met.withColumn("score", fuzzy_rounded("norm", "text")).join(texts, "text").select("norm", "service_id", "service_name", "score")
+    given = texts.select("text", F.col("service_id").alias("owner"), F.col("service_name").alias("owner_name"))
+    scored = best_entries(free, given, top).select("norm", F.col("owner").alias("service_id"), F.col("owner_name").alias("service_name"), "score")
     if bound is not None:
-        pairs = pairs.unionByName(bound.withColumn("score", fuzzy_rounded("norm", "text")).select("norm", "service_id", "service_name", "score"))
-    scored = pairs.groupBy("norm", "service_id", "service_name").agg(F.max("score").alias("score")).withColumn("method", F.lit("fuzzy"))
+        scored = scored.unionByName(bound.withColumn("score", fuzzy_rounded("norm", "text")).groupBy("norm", "service_id", "service_name").agg(F.max("score").alias("score")))
+    scored = scored.withColumn("method", F.lit("fuzzy"))
     if vector_hits is not None:
-        hits = vector_hits.groupBy("norm", "service_id").agg(F.max("score").alias("v"))
-        scored = scored.join(hits, ["norm", "service_id"], "left").withColumn("method", F.when(F.col("v") > F.col("score"), "embedding").otherwise("fuzzy")).withColumn("score", F.greatest("score", F.coalesce("v", F.lit(0.0)))).drop("v")
+        # a hit on a service outside a name's list counts only if it beats the list, so its lower fuzzy score isn't needed
+        open_hits = vector_hits.join(open_, "norm", "left_semi").groupBy("norm", "service_id").agg(F.max("score").alias("v"))
+        if allowed is not None:
+            only = allowed.select("norm", "service_id").distinct()
+            open_hits = open_hits.join(free, "norm", "left_semi").unionByName(open_hits.join(only, ["norm", "service_id"], "left_semi"))
+        called = texts.select("service_id", "service_name").distinct()
+        both = scored.join(open_hits, ["norm", "service_id"], "full").drop("service_name").join(called, "service_id")
+        better = F.col("v") > F.coalesce("score", F.lit(-1.0))
+        scored = both.select("norm", "service_id", "service_name", F.when(better, F.col("v")).otherwise(F.col("score")).alias("score"), F.when(better, "embedding").otherwise("fuzzy").alias("method"))
     order = Window.partitionBy("norm").orderBy(F.col("score").desc(), "service_name", "service_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     listed = ranked.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("rank", "service_id", "score", "method"))).alias("candidates"))
