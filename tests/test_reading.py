@@ -47,6 +47,40 @@ def test_running_names(spark):
     assert geometry.priced_lines(df.limit(0)).count() == 0
 
 
+def page_of(spark, lines):
+    rows = []
+    for k, (text, price) in enumerate(lines):
+        for x, part in ((10.0, text), (400.0, price or "")):
+            for word in part.split():
+                rows.append((1, x, x + 6 * len(word), 30.0 * k, word))
+                x += 6 * len(word) + (4 if part is text else 40)
+    found = geometry.priced_lines(spark.createDataFrame(rows, "page_id long, x0 double, x1 double, top double, text string"))
+    return [(r.service_name_raw, r.price_resident, r.price_nonresident) for r in sorted(found.collect(), key=lambda r: r.line)]
+
+
+def test_small_numbers(spark):
+    """A small number goes only from before a price that is 10 or more."""
+    assert page_of(spark, [("Осмотр врача", "3 4000 5000"), ("Прием врача", "3 4 5000"), ("Снимок кисти", "5"), ("Массаж спины", "70 80")]) == [
+        ("Осмотр врача", 4000.0, 5000.0), ("Прием врача", 3.0, 4.0), ("Массаж спины", 70.0, 80.0),
+    ]
+
+
+def test_names_above(spark):
+    """The last waiting name serves; a bare number joins what is below it; a number with a name and a section end the wait."""
+    assert [n for n, _, _ in page_of(spark, [("Первое имя", None), ("Второе имя", None), ("", "5000")])] == ["Второе имя"]
+    assert [n for n, _, _ in page_of(spark, [("Первое имя", None), ("1 услуга", None), ("второе имя", None), ("третье имя", "5000"), ("", "6000")])] == ["Первое имя второе имя третье имя"]
+    assert [n for n, _, _ in page_of(spark, [("Первое имя", None), ("2 Другое имя", None), ("", "5000")])] == ["Другое имя"]
+    assert page_of(spark, [("Первое имя", None), ("РАЗДЕЛ", None), ("", "5000")]) == []
+    assert [n for n, _, _ in page_of(spark, [("Первое имя", None), ("Своё имя", "5000")])] == ["Своё имя"]
+
+
+def test_lines_anchor_to_their_first_word(spark):
+    tops = [0.0, 2.0, 2.9, 3.2, 5.9, 6.3, 10.0, None]
+    rows = [(1, 10.0 * k, 10.0 * k + 5, t, f"w{k}") for k, t in enumerate(tops) if t is not None] + [(2, 0.0, 1.0, 5.0, "x"), (2, 0.0, 1.0, 5.0, "x"), (2, 3.0, 4.0, 5.0, " ")]
+    found = geometry.lines(spark.createDataFrame(rows, "page_id long, x0 double, x1 double, top double, text string")).collect()
+    assert sorted((r.page_id, r.top, r.line, r.line_top) for r in found) == [(1, 0.0, 0, 0.0), (1, 2.0, 0, 0.0), (1, 2.9, 0, 0.0), (1, 3.2, 1, 3.2), (1, 5.9, 1, 3.2), (1, 6.3, 2, 6.3), (1, 10.0, 3, 10.0), (2, 5.0, 0, 5.0), (2, 5.0, 0, 5.0)]
+
+
 def test_hints(spark):
     text = "Прайс-лист от 05.03.2024\n\nТОО «Медлаб»\nБИН 123456789012 тел 8 701 123 45 67\na.b@c.kz\nг. Шымкент, ул. Мира, д. 5"
     h = values(spark, [text, None, "просто текст"], hints.header_hints)
