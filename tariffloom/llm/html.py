@@ -32,12 +32,20 @@ ASIDE = frozenset("nav header footer aside form button dialog menu fieldset".spl
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus topbar toolbar "
     "breadcrumb breadcrumbs sidebar sidebars side aside rail header masthead footer foot cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
-    "login search share sharing social related recommended recommendations widget widgets comment comments commentlist reply replies disqus respond discussion pagination pager complementary contentinfo".split()
+    "login search share sharing social related recommended recommendations widget widgets comment comments commentlist reply replies responses remarks disqus respond discussion pagination pager complementary contentinfo".split()
 )
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Names of the page's layout (has-sidebar), and of an article's own heading or head (post-header), say nothing against an element.
 LAYOUT_WORDS = frozenset("no has with without layout".split())
 OWN_WORDS, OWN_HEAD = frozenset("post entry article story".split()), frozenset("header head masthead".split())
+#: Of these, the ones that name readers' remarks, which are never taken for the article, however long.
+REMARK_WORDS = frozenset("comment comments commentlist reply replies responses remarks disqus discussion".split())
+#: Blocks of prose, which no name alone takes out of what is kept.
+PROSE = HEADINGS | frozenset("p pre blockquote".split())
+LINKS = 0.5  # share of links from which such a block goes for its name
+COMMAS = 5  # of a block that count at most, and one for COMMA_LETTERS
+COMMA_LETTERS = 20
+NEAR = 0.5  # share of the best score that a second article needs
 LONG = 80  # letters of a text outside paragraphs that counts as one
 MOST, LITTLE = 0.5, 0.25  # shares of the unlinked paragraph text, see wrappers()
 DISCOUNT = 0.1
@@ -51,7 +59,7 @@ class Node:
 
     __slots__ = ("tag", "parent", "kids", "named", "score", "length", "linked", "off", "side", "prose", "own", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, off: bool, named: str = "", side: bool = False):
+    def __init__(self, tag: str, parent: Node | None, off: bool, named: str = "", side: int = 0):
         self.tag, self.parent, self.off, self.named, self.side = tag, parent, off, named, side
         self.kids: list[Node | str] = []
         self.score = 0.0
@@ -60,19 +68,20 @@ class Node:
         self.kept = False
 
 
-def sideways(value: str) -> bool:
-    """Whether a class, id or role names an element that is no part of the article."""
+def sideways(value: str, within_article: bool = False) -> int:
+    """1 if a class, id or role names an element that is no part of the article, 2 if it names readers' remarks, else 0. A
+    head within an article is its own."""
     for name in value.split():
         words = {w.lower() for w in WORD.findall(name)}
         found = words & ASIDE_WORDS
-        if found and not words & LAYOUT_WORDS and not (words & OWN_WORDS and found <= OWN_HEAD):
-            return True
-    return False
+        if found and not words & LAYOUT_WORDS and not ((within_article or words & OWN_WORDS) and found <= OWN_HEAD):
+            return 2 if found & REMARK_WORDS else 1
+    return 0
 
 
-def aside(tag: str, attrs: str, within_article: bool) -> tuple[bool, str, bool]:
+def aside(tag: str, attrs: str, within_article: bool) -> tuple[bool, str, int]:
     """Whether an element is hidden, its class, and whether tag or names say that it is no part of the article. An article's own header holds its heading."""
-    named, side = "", tag in ASIDE and not (tag == "header" and within_article)
+    named, side = "", int(tag in ASIDE and not (tag == "header" and within_article))
     if attrs and not attrs.isspace():
         for name, *values in ATTRIBUTE.findall(attrs):
             value, name = next((v for v in values if v), ""), name.lower()
@@ -80,7 +89,7 @@ def aside(tag: str, attrs: str, within_article: bool) -> tuple[bool, str, bool]:
                 return True, "", side
             if name in ("class", "id", "role"):
                 named = named or value if name == "class" else named
-                side = side or tag not in ("body", "html") and sideways(value)
+                side = max(side, sideways(value, within_article) if tag not in ("body", "html") else 0)
     return False, named, side
 
 
@@ -99,7 +108,7 @@ def wrappers(order: list[Node]) -> None:
 
     These are elements around articles and mains with at least MOST of the unlinked paragraph text of all of these. On
     pages without such, if all that is not put aside holds less than LITTLE of the text, the outermost marked one with the
-    most of it loses its mark, until enough is left. article and main are not marked for their names, but don't count if
+    most of it loses its mark, until enough is left, but for readers' remarks. article and main are not marked for their names, but don't count if
     these put them aside.
     """
     root, link, para = order[0], {}, {}
@@ -117,7 +126,8 @@ def wrappers(order: list[Node]) -> None:
         node.parent.prose += node.prose
         node.parent.own += node.own
     for node in order:
-        node.side = node.side and node.tag not in ("article", "main") and not (root.own and node.own >= MOST * root.own)
+        if node.tag in ("article", "main") or root.own and node.own >= MOST * root.own:
+            node.side = 0
     while root.prose and not root.own:
         outer, within = [], set()
         for node in order:
@@ -126,10 +136,10 @@ def wrappers(order: list[Node]) -> None:
             elif node.side:
                 within.add(node)
                 outer.append(node)
-        best = max(outer, key=lambda n: n.prose, default=None)
+        best = max((n for n in outer if n.side == 1), key=lambda n: n.prose, default=None)
         if best is None or not best.prose or root.prose - sum(n.prose for n in outer) >= LITTLE * root.prose:
             break
-        best.side = False
+        best.side = 0
 
 
 def tree(html: str) -> Node:
@@ -236,7 +246,7 @@ def main_text(html: str | None) -> str:
     """The article's text: the best-scored container's blocks, and those of its siblings that score like it.
 
     Of equal scores the container whose text begins first wins. Elements put aside pass on DISCOUNT of their points, and
-    are left out where they stand in what is kept."""
+    are left out where they stand in what is kept; headings, paragraphs and such only if they are mostly links as well."""
     if not html:
         return ""
     root = tree(html)
@@ -255,7 +265,7 @@ def main_text(html: str | None) -> str:
         owner.length += len(text)
         owner.linked += linked
         container = owner.parent if (owner.tag in PARAGRAPHS or owner.tag in HEADINGS) and owner.parent is not None else owner
-        points = min(len(text) / 100, 3.0) + text.count(",") + (owner.tag not in HEADINGS)
+        points = min(len(text) / 100, 3.0) + min(text.count(","), COMMAS, len(text) // COMMA_LETTERS) + (owner.tag not in HEADINGS)
         share = DISCOUNT if owner in aside_ else 1.0
         least = share / 10
         while container is not None and share >= least:
@@ -278,10 +288,13 @@ def main_text(html: str | None) -> str:
         for k, n in enumerate(siblings):
             dense = n.linked / max(1, n.length)
             alike = n in scored and worth(n) >= max(2.0, 0.2 * worth(best)) or n.named and n.named == best.named and worth(n) >= 0.1 * worth(best)
+            if n.tag == "article" and n.named != best.named:
+                alike = worth(n) >= NEAR * worth(best)
             if not n.side and n.length and dense < 0.25 and (alike or n.tag == "p" and n.length >= 80 or n.tag in HEADINGS and k < place):
                 n.kept = True
     for node in order[1:]:
-        node.kept = node.kept or node.parent.kept and not node.side
+        leaves = node.side and (node.tag not in PROSE or node.linked >= LINKS * max(1, node.length))
+        node.kept = node.kept or node.parent.kept and not leaves
     return " ".join(text for owner, text, _ in found if owner.kept)
 
 
