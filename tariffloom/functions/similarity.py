@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -103,23 +102,7 @@ def search_base(a: str, b: str) -> float:
     return max(token_set(a, b), partial(a, b))
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy(x or "", y or "") for x, y in zip(a, b)])
-
-
 @F.pandas_udf(T.DoubleType())
 def fuzzy_rounded(a: pd.Series, b: pd.Series) -> pd.Series:
     """fuzzy() to four places, rounded from its binary value."""
     return pd.Series([round(fuzzy(x or "", y or ""), 4) for x, y in zip(a, b)])
-
-
-@F.pandas_udf(T.DoubleType())
-def search_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([search_base(x or "", y or "") for x, y in zip(a, b)])
-
-
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility forms folded, which no built-in does."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

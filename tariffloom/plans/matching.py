@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices, text
 from ..operators import match, search
-from . import domain, lists
+from . import domain, lists, scores
 
 
 def normalize_text(spark, d):
@@ -56,7 +56,7 @@ def match_exact_synonym(spark, d):
 
 def match_cascade(spark, d):
     found = match.cascade(raw_names(spark, d), domain.services(spark, d))
-    return found.select("raw", "norm", "service_id", "method", "confidence", "status", F.size("candidates").alias("n_candidates"))
+    return found.select("raw", "norm", F.coalesce("service_id", F.lit(-1)).alias("service_id"), "method", "confidence", "status", F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"))
 
 
 def promote_unmatched(spark, d):
@@ -88,6 +88,18 @@ def search_fuzzy(spark, d):
     return search.services("smal gizmo", domain.services(spark, d), lists.active_items(spark, d)).select("service_id", "service_name", "score", "partner_count")
 
 
+def misspelt(spark, d):
+    """Queries as people type them: the catalogue's names with a letter of the first word left out."""
+    name = F.col("p_name")
+    rows = domain.read(spark, d, "part").select("p_partkey", F.concat(F.substring(name, 1, 1), F.expr("substring(p_name, 3)")).alias("query"))
+    return rows.groupBy("query").agg(F.min("p_partkey").alias("query_id"))
+
+
+def search_many(spark, d):
+    found = search.services_of(misspelt(spark, d), domain.services(spark, d), lists.active_items(spark, d))
+    return found.select("query_id", "rank", "service_id", "score", "partner_count", F.col("min_price").cast("double").alias("min_price"), F.col("max_price").cast("double").alias("max_price"))
+
+
 def search_providers(spark, d):
     return search.providers("supplier#000000001", domain.partners(spark, d), lists.active_items(spark, d)).select("partner_id", "partner_name", "score", "service_count")
 
@@ -107,11 +119,30 @@ def neighbours(spark, d, asked):
     return found.select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, language_detect, parse_price_cells, header_hints, match_exact_synonym, match_cascade, promote_unmatched, catalog_upsert, partner_resolve, search_ranked, search_fuzzy, search_providers, embedding_topk, embedding_topk_all)}
+QUERIES = {f.__name__: f for f in (normalize_text, language_detect, parse_price_cells, header_hints, match_exact_synonym, match_cascade, promote_unmatched, catalog_upsert, partner_resolve, search_ranked, search_fuzzy, search_many, search_providers, embedding_topk, embedding_topk_all)}
 
 D = f"WITH {domain.SQL}"
 NORM = "array_to_string(regexp_extract_all(translate(lower({}), 'ё', 'е'), '[a-z0-9\\x{{0400}}-\\x{{04FF}}]+'), ' ')"
 RAW = "SELECT service_id AS name_id, CASE service_id % 4 WHEN 0 THEN service_name WHEN 1 THEN '  ' || upper(service_name) || '!! ' WHEN 2 THEN synonyms[1] ELSE substr(service_name, 1, 3) || 'x' || substr(service_name, 5) END AS raw FROM services"
+SERVICE_TEXTS = "SELECT service_id AS owner, service_name AS owner_name, unnest([service_name, category] || synonyms) AS text, unnest([true, false] || list_transform(synonyms, lambda x: false)) AS is_name FROM services WHERE is_active"
+PARTNER_TEXTS = "SELECT partner_id AS owner, partner_name AS owner_name, unnest([partner_name, city]) AS text, unnest([true, false]) AS is_name FROM partners WHERE is_active"
+
+
+def hits(queries: str, texts: str) -> str:
+    """CTEs that give hits (query_id, rank, owner, owner_name, score) of all queries over all texts, every pair scored."""
+    return f"""q AS (SELECT query_id, lower(trim(query)) AS q, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+') AS tokens FROM ({queries})
+), x AS (SELECT owner, owner_name, lower(text) AS text, is_name FROM ({texts}) WHERE text <> ''
+), pairs AS (SELECT q AS a, text AS b FROM (SELECT DISTINCT q FROM q), (SELECT DISTINCT text FROM x)
+), {scores.ctes("pairs", always_parts=True)}, base AS (
+  SELECT a, b, greatest(token_set, part) AS s, CASE WHEN b = a THEN 130 WHEN starts_with(b, a) THEN 115 WHEN contains(b, a) THEN 100 ELSE 0 END AS boost FROM scored
+), owners AS (
+  SELECT query_id, owner, owner_name, round(max(greatest(s, boost)), 2)::DOUBLE AS score, bool_or(len(list_filter(tokens, lambda w: contains(text, w))) > 0) AS gate, max(CASE WHEN is_name THEN s END) AS own
+  FROM q JOIN base ON a = q JOIN x ON text = b GROUP BY query_id, owner, owner_name
+), hits AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, owner_name, owner) AS INTEGER) AS rank, owner, owner_name, score FROM owners WHERE (gate OR own >= 90) AND score >= 60 QUALIFY rank <= 25
+)"""
+
+
 COUNT = "length(regexp_replace(lower(coalesce(text, '')), '[^{}]', '', 'g'))"
 WHOLE = "CAST(CAST(floor(p) AS BIGINT) AS VARCHAR)"
 
@@ -129,6 +160,25 @@ SELECT document_id, CASE k WHEN 0 THEN 'Клиника ' || batch_id WHEN 1 THEN
 texts AS (SELECT {NORM.format('service_name')} AS text, 0 AS kind, service_id, service_name FROM a UNION ALL SELECT {NORM.format('s')}, 1, service_id, service_name FROM (SELECT unnest(synonyms) AS s, service_id, service_name FROM a)),
 best AS (SELECT * FROM texts WHERE length(text) >= 2 QUALIFY row_number() OVER (PARTITION BY text ORDER BY kind, service_name, service_id) = 1), n AS (SELECT name_id, {NORM.format('raw')} AS norm FROM raw)
 SELECT name_id, norm, coalesce(b.service_id, -1) AS service_id, CASE b.kind WHEN 0 THEN 'exact' WHEN 1 THEN 'synonym' ELSE 'none' END AS method FROM n LEFT JOIN best b ON n.norm = b.text""",
+    "match_cascade": D + f""", raw AS ({RAW}), a AS (SELECT * FROM services WHERE is_active),
+texts AS (SELECT * FROM (SELECT {NORM.format('service_name')} AS text, 0 AS kind, service_id, service_name FROM a UNION ALL SELECT {NORM.format('s')}, 1, service_id, service_name FROM (SELECT unnest(synonyms) AS s, service_id, service_name FROM a)) WHERE length(text) >= 2),
+best AS (SELECT * FROM texts QUALIFY row_number() OVER (PARTITION BY text ORDER BY kind, service_name, service_id) = 1), n AS (SELECT DISTINCT raw, {NORM.format('raw')} AS norm FROM raw),
+quick AS (SELECT n.*, b.service_id AS own, b.kind FROM n LEFT JOIN best b ON n.norm = b.text),
+pairs AS (SELECT norm AS a, text AS b FROM (SELECT DISTINCT norm FROM quick WHERE own IS NULL AND length(norm) >= 2), (SELECT DISTINCT text FROM texts)), {scores.ctes("pairs")},
+each AS (SELECT a AS norm, service_id, service_name, max(round(greatest(token_set, weighted) / 100, 4)) AS score FROM scored JOIN texts ON b = text GROUP BY a, service_id, service_name),
+top AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, service_name, service_id) AS rank FROM each QUALIFY rank <= 5),
+lists AS (SELECT norm, min(service_id) FILTER (rank = 1) AS first, max(score) AS score, CAST(count(*) AS INTEGER) AS n FROM top GROUP BY norm),
+told AS (SELECT q.*, l.first, l.n, CASE WHEN own IS NOT NULL THEN 1.0 ELSE l.score END::DOUBLE AS confidence FROM quick q LEFT JOIN lists l ON l.norm = q.norm AND own IS NULL)
+SELECT raw, norm, CASE WHEN own IS NOT NULL THEN own WHEN confidence >= 0.6 THEN first ELSE -1 END AS service_id, CASE WHEN kind = 0 THEN 'exact' WHEN kind = 1 THEN 'synonym' WHEN first IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS method,
+  confidence, CASE WHEN confidence >= 0.85 THEN 'matched_auto' WHEN confidence >= 0.6 THEN 'needs_review' ELSE 'unmatched' END AS status, coalesce(n, 0) AS n_candidates FROM told""",
+    "search_fuzzy": lists.ACTIVE + f""", {hits("SELECT 0 AS query_id, 'smal gizmo' AS query", SERVICE_TEXTS)}
+SELECT h.owner AS service_id, any_value(owner_name) AS service_name, any_value(score) AS score, count(DISTINCT act.partner_id) AS partner_count FROM hits h LEFT JOIN act ON act.service_id = h.owner GROUP BY h.owner""",
+    "search_many": lists.ACTIVE + f""", {hits("SELECT min(p_partkey) AS query_id, substr(p_name, 1, 1) || substr(p_name, 3) AS query FROM part GROUP BY 2", SERVICE_TEXTS)}
+, sums AS (SELECT service_id, count(DISTINCT partner_id) AS n, min(resident_kzt) AS low, max(resident_kzt) AS high FROM act GROUP BY service_id)
+SELECT query_id, rank, owner AS service_id, score, coalesce(n, 0) AS partner_count, CAST(low AS DOUBLE) AS min_price, CAST(high AS DOUBLE) AS max_price FROM hits LEFT JOIN sums ON service_id = owner""",
+    "search_providers": lists.ACTIVE + f""", {hits("SELECT 0 AS query_id, 'supplier#000000001' AS query", PARTNER_TEXTS)}
+, sums AS (SELECT partner_id, count(DISTINCT service_id) AS n FROM act WHERE service_id IS NOT NULL GROUP BY partner_id)
+SELECT owner AS partner_id, owner_name AS partner_name, score, coalesce(n, 0) AS service_count FROM hits LEFT JOIN sums ON partner_id = owner""",
     "promote_unmatched": D + f""", r AS (SELECT *, {NORM.format('service_name_raw')} AS norm, 'Section ' || (document_id % 7) AS section FROM items WHERE match_status IN ('unmatched', 'needs_review')),
 s AS (SELECT norm, section, count(*) AS n, min(item_id) AS f FROM r GROUP BY norm, section QUALIFY row_number() OVER (PARTITION BY norm ORDER BY count(*) DESC, min(item_id)) = 1),
 m AS (SELECT norm, service_name_raw, count(*) AS n, min(item_id) AS f FROM r GROUP BY norm, service_name_raw QUALIFY row_number() OVER (PARTITION BY norm ORDER BY count(*) DESC, min(item_id)) = 1)
