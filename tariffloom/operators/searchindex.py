@@ -1,7 +1,9 @@
 """Many searches at once over an index of letter runs: a search looks up few runs, and only texts that have them are scored.
 
-Runs are of one to three letters. A text that holds a word of a query holds the word's rarest run; a name that scores SURE or
-more without one shares, as its edits are few, one of a number of the query's pairs of letters, so the rarest of these do.
+Runs are of one to three letters. A text that holds a word of a query holds the word's rarest run. A name that scores SURE or
+more without one is few edits away, so of the shorter one's pairs of letters most are in the longer one, and any number of
+them beyond those that edits can spoil has one that is: the rarest so many do. So a query's rarest pairs are looked up among
+all pairs of names, and all of its pairs among the rarest ones of shorter names.
 """
 
 from __future__ import annotations
@@ -41,12 +43,26 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("text", F.explode(found).alias("run"))
 
 
+def few_words(text: Column) -> Column:
+    return (F.length(text) >= 4) & (F.size(F.split(text, r"\s+")) < SPARSE * F.length(text))
+
+
+def rarest(names: DataFrame) -> DataFrame:
+    """run, text of the rarest pairs of letters of distinct names, as many as can't all be spoilt; of short names, and such
+    of very short words, all letters."""
+    t = F.col("text")
+    each = names.select("text", F.when(few_words(t), F.ceil(F.length(t) * LOST) + 1).otherwise(F.length(t)).alias("take"), F.posexplode(F.when(few_words(t), runs_of(t, 2)).otherwise(runs_of(t, 1))).alias("at", "run"))
+    often = each.groupBy("run").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("text").orderBy("often", "at"))
+    return each.join(often, "run").withColumn("_k", rank).where("_k <= take").select("run", "text").distinct()
+
+
 def asked_runs(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, run, need (words or name) of the runs that a query looks up: the rarest, by how many texts have them. A run
     that no text has is looked up for a word, which then finds nothing."""
     q, n = F.col("q"), F.length("q")
     words = F.split(q, r"\s+")
-    few = (n >= 4) & (F.size(words) < SPARSE * n)
+    few = few_words(q)
     pairs = runs_of(q, 2)
     within = F.flatten(F.transform(words, lambda w: runs_of(w, 2)))
     name = F.when(few, F.array(pairs, within)).otherwise(F.array(runs_of(q, 1)))
@@ -91,8 +107,12 @@ def search(queries: DataFrame, texts: DataFrame, limit: int = MOST) -> DataFrame
     asked = small(asked, "q")
     met = index.join(small(wanted, "run"), "run").select("query_id", "text", "need").distinct().join(asked, "query_id")
     by_word = met.where((F.col("need") == "words") & holds_word(F.col("tokens"), F.col("text"))).select("query_id", "text")
-    names = met.where(F.col("need") == "name").join(known.where("is_name").select("text").distinct(), "text", "left_semi")
-    unsure = names.join(by_word, ["query_id", "text"], "left_anti").select("query_id", "text", "q")
+    called = known.where("is_name").select("text").distinct()
+    longer = met.where(F.col("need") == "name").join(called, "text", "left_semi").select("query_id", "text", "q")
+    every = asked.select("query_id", F.explode(F.array_distinct(F.concat(runs_of(F.col("q"), 1), runs_of(F.col("q"), 2)))).alias("run"))
+    shorter = rarest(called).join(small(every, "run"), "run").select("query_id", "text").distinct().join(asked, "query_id").where(F.length("text") < F.length("q"))
+    names = longer.unionByName(shorter.select("query_id", "text", "q")).distinct()
+    unsure = names.join(by_word, ["query_id", "text"], "left_anti")
     by_name = unsure.where(base_score("q", "text") >= SURE).select("query_id", "text")
     owners = by_word.join(known.select("owner", "text"), "text").select("query_id", "owner").unionByName(by_name.join(known.where("is_name").select("owner", "text"), "text").select("query_id", "owner")).distinct()
     theirs = owners.join(known, "owner")
