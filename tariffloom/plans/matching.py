@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import prices, text
-from ..operators import match, search
+from ..operators import match, providers, search
 from . import domain, lists, scores
 
 
@@ -79,6 +79,24 @@ def partner_resolve(spark, d):
     return match.resolve_partners(docs, known).select("document_id", F.coalesce("partner_id", F.lit(-1)).alias("partner_id"), "by", "partner_confidence")
 
 
+def price_list_heads(spark, d):
+    """Documents with the names and numbers of known providers, of new ones, of both at odds, or without either."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.when(key % 7 == 0, F.lit("  ")).when(key % 11 == 0, "!!").when(key % 3 != 0, F.concat(F.lit(" supplier#"), F.lpad((cust % 120).cast("string"), 9, "0"), F.when(key % 5 == 0, "!").otherwise("")))
+    number = F.when(key % 4 == 0, F.concat(F.lit("BIN "), F.lpad((cust % 130).cast("string"), 12, "7"))).when(key % 4 == 1, F.when(key % 8 == 1, "123").otherwise(F.lpad((cust % 90).cast("string"), 12, "3")))
+    return domain.read(spark, d, "orders").select(key.alias("document_id"), name.alias("name"), number.alias("bin"))
+
+
+def known_providers(spark, d):
+    number = F.when(F.col("s_suppkey") % 3 != 0, F.lpad(F.col("s_suppkey").cast("string"), 12, "7"))
+    return domain.read(spark, d, "supplier").select(F.col("s_suppkey").alias("partner_id"), F.col("s_name").alias("partner_name"), number.alias("bin"))
+
+
+def partner_create(spark, d):
+    done, _ = providers.resolve_or_create(price_list_heads(spark, d), known_providers(spark, d))
+    return done.select("document_id", "partner_id", "by", "partner_confidence")
+
+
 def search_ranked(spark, d):
     found = search.services("ring", domain.services(spark, d), lists.active_items(spark, d), fuzzy=False)
     return found.select("service_id", "service_name", "score", "partner_count", F.col("min_price").cast("double").alias("min_price"), F.col("max_price").cast("double").alias("max_price"))
@@ -119,7 +137,7 @@ def neighbours(spark, d, asked):
     return found.select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, language_detect, parse_price_cells, header_hints, match_exact_synonym, match_cascade, promote_unmatched, catalog_upsert, partner_resolve, search_ranked, search_fuzzy, search_many, search_providers, embedding_topk, embedding_topk_all)}
+QUERIES = {f.__name__: f for f in (normalize_text, language_detect, parse_price_cells, header_hints, match_exact_synonym, match_cascade, promote_unmatched, catalog_upsert, partner_resolve, partner_create, search_ranked, search_fuzzy, search_many, search_providers, embedding_topk, embedding_topk_all)}
 
 D = f"WITH {domain.SQL}"
 NORM = "array_to_string(regexp_extract_all(translate(lower({}), 'ё', 'е'), '[a-z0-9\\x{{0400}}-\\x{{04FF}}]+'), ' ')"
@@ -190,6 +208,24 @@ SELECT coalesce(service_name, name) AS service_name, CASE WHEN name IS NOT NULL
 d AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'supplier#' || lpad(CAST(o_custkey % 120 AS VARCHAR), 9, '0') END AS name, CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_custkey % 130 AS VARCHAR), 12, '7') END AS bin FROM orders)
 SELECT document_id, coalesce(b.s_suppkey, n.s_suppkey, -1) AS partner_id, CASE WHEN b.s_suppkey IS NOT NULL THEN 'bin' WHEN n.s_suppkey IS NOT NULL THEN 'name' ELSE 'new' END AS by, CASE WHEN d.bin IS NOT NULL THEN 0.9 WHEN d.name IS NOT NULL THEN 0.6 ELSE 0.3 END::DOUBLE AS partner_confidence
 FROM d LEFT JOIN (SELECT bin, min(s_suppkey) AS s_suppkey FROM k GROUP BY bin) b ON d.bin = b.bin LEFT JOIN k n ON d.name = n.name""",
+    "partner_create": f"""WITH RECURSIVE known AS (SELECT s_suppkey AS partner, {NORM.format('s_name')} AS n, CASE WHEN s_suppkey % 3 <> 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 12, '7') END AS b FROM supplier),
+raw AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 7 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN '!!' WHEN o_orderkey % 3 <> 0 THEN 'supplier#' || lpad(CAST(o_custkey % 120 AS VARCHAR), 9, '0') END AS name,
+  CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_custkey % 130 AS VARCHAR), 12, '7') WHEN o_orderkey % 4 = 1 AND o_orderkey % 8 <> 1 THEN lpad(CAST(o_custkey % 90 AS VARCHAR), 12, '3') END AS b FROM orders),
+docs AS (SELECT *, {NORM.format("coalesce(nullif(trim(name), ''), 'неизвестный партнер')")} AS n FROM raw), base AS (SELECT max(s_suppkey) AS base FROM supplier),
+ev AS (SELECT *, row_number() OVER (ORDER BY document NULLS FIRST, partner) AS i FROM (SELECT partner, NULL AS document, b, n FROM known UNION ALL SELECT NULL, min(document), b, n FROM docs WHERE b IS NOT NULL OR n <> '' GROUP BY b, n)),
+r AS (
+  SELECT 0::BIGINT AS i, MAP {{'': 0::BIGINT}} AS bins, MAP {{'': 0::BIGINT}} AS since, MAP {{'': 0::BIGINT}} AS names, []::BIGINT[] AS numbered
+  UNION ALL
+  SELECT i, CASE WHEN gives AND bins[b] IS NULL THEN map_concat(bins, MAP {{b: found}}) ELSE bins END, CASE WHEN gives AND bins[b] IS NULL THEN map_concat(since, MAP {{b: coalesce(document, -1)}}) ELSE since END,
+    CASE WHEN (partner IS NOT NULL OR made) AND n <> '' AND names[n] IS NULL THEN map_concat(names, MAP {{n: found}}) ELSE names END, CASE WHEN gives THEN list_append(numbered, found) ELSE numbered END
+  FROM (SELECT *, b IS NOT NULL AND NOT list_contains(numbered, found) AS gives FROM (
+    SELECT ev.*, bins, since, names, numbered, coalesce(partner, bins[b], CASE WHEN n <> '' THEN names[n] END, base + document) AS found, bins[b] IS NULL AND (n = '' OR names[n] IS NULL) AS made
+    FROM r JOIN ev ON ev.i = r.i + 1, base))
+), last AS (SELECT * FROM r ORDER BY i DESC LIMIT 1),
+told AS (SELECT d.*, bins[b] AS owner, since[b] AS since, CASE WHEN n <> '' THEN names[n] END AS called, base + document AS own FROM docs d, last, base),
+done AS (SELECT *, owner IS NOT NULL AND since <= document AS had FROM told)
+SELECT document AS document_id, CASE WHEN had THEN owner ELSE coalesce(called, own) END AS partner_id, CASE WHEN CASE WHEN had THEN owner ELSE coalesce(called, own) END = own THEN 'new' WHEN had AND since < document THEN 'bin' ELSE 'name' END AS by,
+  CASE WHEN b IS NOT NULL THEN 0.9 WHEN trim(coalesce(name, '')) <> '' THEN 0.6 ELSE 0.3 END::DOUBLE AS partner_confidence FROM done""",
     "search_ranked": lists.ACTIVE + """, t AS (SELECT service_id, service_name, list_filter([service_name, category, synonyms[1]], lambda x: x IS NOT NULL AND x <> '') AS texts FROM services WHERE is_active),
 s AS (SELECT service_id, service_name, list_max(list_transform(texts, lambda x: CASE WHEN lower(x) = 'ring' THEN 130.0 WHEN starts_with(lower(x), 'ring') THEN 115.0 WHEN contains(lower(x), 'ring') THEN 100.0 ELSE 0.0 END))::DOUBLE AS score FROM t),
 top AS (SELECT * FROM s WHERE score >= 60 ORDER BY score DESC, service_name, service_id LIMIT 25)
