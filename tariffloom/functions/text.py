@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folding import compatible
+
 #: Shown for what has no category or city.
 NO_CATEGORY, NO_CITY = "Без категории", "Неизвестно"
 KAZAKH_LETTERS = "әғқңөұүһі"
 
 
 def normalise(text: Column) -> Column:
-    """Lower case, ё as е, tokens of Latin letters, digits and Cyrillic letters joined by one space; null is empty.
-
-    Compatibility forms (full-width letters, ligatures) are not folded; see similarity.nfkc for those."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е")
+    """Compatibility forms folded, lower case, ё as е, tokens of Latin letters, digits and Cyrillic letters joined by one space;
+    null is empty."""
+    folded = F.translate(F.lower(compatible(F.coalesce(text, F.lit("")))), "ё", "е")
     return F.array_join(F.regexp_extract_all(folded, F.lit("[a-z0-9\\u0400-\\u04FF]+"), F.lit(0)), " ")
 
 
 def tokens(text: Column) -> Column:
     """The tokens of normalise(); an empty array without any."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), "ё", "е")
+    folded = F.translate(F.lower(compatible(F.coalesce(text, F.lit("")))), "ё", "е")
     return F.regexp_extract_all(folded, F.lit("[a-z0-9\\u0400-\\u04FF]+"), F.lit(0))
 
 

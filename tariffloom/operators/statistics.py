@@ -80,9 +80,9 @@ def recent(rows: DataFrame, n: int, *keys: str) -> DataFrame:
 
 
 def grouped(rows: DataFrame, label: str) -> DataFrame:
-    """label, n and place: groups in order of their labels, what has none last. There are as few rows as labels."""
+    """label, n and place: groups in the Russian order of their labels, what has none last. There are as few rows as labels."""
     counts = rows.groupBy(F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit(NO_CATEGORY)).alias(label)).agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col(label) == NO_CATEGORY, label)))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col(label) == NO_CATEGORY, F.collate(label, "ru"), label)))
 
 
 def recognition_quality(words: DataFrame) -> DataFrame:

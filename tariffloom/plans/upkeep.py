@@ -92,6 +92,16 @@ def grouped_services(spark, d):
     return statistics.grouped(domain.services(spark, d).where("is_active"), "category").select("category", "n", "place")
 
 
+RUSSIAN = ("Ёлка", "еж", "Жук", "ель", "Абв", "абв", "ёж", "Яма", "zeta", "Alpha", " ")
+
+
+def grouped_russian(spark, d):
+    """Services by labels of mixed case and letters."""
+    label = F.concat(F.element_at(F.array(*map(F.lit, RUSSIAN)), (F.col("p_partkey") % 11 + 1).cast("int")), F.when(F.col("p_partkey") % 11 == 10, "").otherwise((F.col("p_size") % 4).cast("string")))
+    found = statistics.grouped(domain.read(spark, d, "part").select(label.alias("category")), "category")
+    return found.select("category", "n", "place")
+
+
 def ocr_quality(spark, d):
     """Words of scanned documents with a confidence; which cells hold prices follows from the key."""
     rows = domain.read(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("document_id"), (F.col("l_discount") * 100).cast("double").alias("confidence"), (F.col("l_partkey") % 3 == 0).alias("priced"))
@@ -218,7 +228,7 @@ def original_names(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     match_events, partner_backfill, format_report, original_names,
-    catalog_coded, catalog_links, catalog_counts, categorize_services, clean_categories, verify_matched, best_decimals, recent_batches, grouped_services, ocr_quality, parse_times, point_lookup, enriched_hits,
+    catalog_coded, catalog_links, catalog_counts, categorize_services, clean_categories, verify_matched, best_decimals, recent_batches, grouped_services, grouped_russian, ocr_quality, parse_times, point_lookup, enriched_hits,
     specialty_prior, header_specialties, assistant_requests, assistant_reply, city_providers, price_glyphs, text_functions,
 )}
 D = f"WITH {domain.SQL}"
@@ -269,7 +279,9 @@ SELECT item_id, match_status = 'needs_review' AND NOT act AS needs_review, is_ve
     "best_decimals": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 5 IN (0, 4) THEN CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS DOUBLE) END AS value FROM lineitem",
     "recent_batches": "SELECT o_custkey % 50 AS batch_id, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS created_at, count(*) AS n_documents FROM orders GROUP BY 1 ORDER BY max(CAST(o_orderdate AS DATE)) DESC, 1 LIMIT 5",
     "grouped_services": D + """, g AS (SELECT coalesce(nullif(trim(category), ''), 'Без категории') AS category, count(*) AS n FROM services WHERE is_active GROUP BY 1)
-SELECT category, n, CAST(row_number() OVER (ORDER BY category = 'Без категории', category) AS INTEGER) AS place FROM g""",
+SELECT category, n, CAST(row_number() OVER (ORDER BY category = 'Без категории', category COLLATE ru, category) AS INTEGER) AS place FROM g""",
+    "grouped_russian": f"""WITH g AS (SELECT coalesce(nullif(trim({list(RUSSIAN)}[p_partkey % 11 + 1] || CASE WHEN p_partkey % 11 = 10 THEN '' ELSE CAST(p_size % 4 AS VARCHAR) END), ''), 'Без категории') AS category, count(*) AS n FROM part GROUP BY 1)
+SELECT category, n, CAST(row_number() OVER (ORDER BY category = 'Без категории', category COLLATE ru, category) AS INTEGER) AS place FROM g""",
     "ocr_quality": "SELECT l_orderkey % 40 AS document_id, round(avg(CAST(l_discount AS DOUBLE) * 100), 6) AS mean_confidence, round(avg(CASE WHEN l_partkey % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS priced_share FROM lineitem GROUP BY 1",
     "parse_times": D + " SELECT max(CASE WHEN file_format <> 'scan_pdf' THEN (document_id % 1000) / 100.0 END)::DOUBLE AS text_seconds, max(CASE WHEN file_format = 'scan_pdf' THEN (document_id % 1000) / 100.0 END)::DOUBLE AS scan_seconds FROM docs",
     "point_lookup": D + " SELECT service_id, service_name, replace(coalesce(category, 'Без категории'), ' ', '/') AS path FROM services WHERE service_id = 42",
