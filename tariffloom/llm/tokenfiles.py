@@ -94,7 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, s: Settings = Settings(),
     """Writes the ids of all documents in ascending doc_id order (null first; ties by content).
 
     Files are Spark's, so that any store works; each row is one segment: part and segment number it in order, documents
-    and ids count it, data holds its bytes. Rows are dealt by ranges of doc_id and a hash of the text, so rows repeating
+    and ids count it, inside counts the ids before it in its part, data holds its bytes. Rows are dealt by ranges of doc_id and a hash of the text, so rows repeating
     one id spread over tasks; one segment and its documents are in memory at a time, a segment that one very long text
     fills beyond s.segment included. Null ids come back null; null texts have the end id alone; an empty table gives
     files without rows.
@@ -110,10 +110,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, s: Settings = Settings(),
 
         part, coder = TaskContext.get().partitionId(), Encoder.of(tokenizer)
         end = np.array([s.end_id], dtype="<u4").tobytes()
-        held, size, number = [], 0, 0
+        held, size, number, inside = [], 0, 0, 0
 
         def segment():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "documents": [len(held)], "ids": [size], "data": [write_segment(held, s)]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "documents": [len(held)], "ids": [size], "inside": [inside], "data": [write_segment(held, s)]})
 
         for b in tidied(batches):
             for at in range(0, b.num_rows, 200):
@@ -122,24 +122,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, s: Settings = Settings(),
                     size += len(x) // 4 + 1
                     if size >= s.segment:
                         yield segment()
+                        inside += size
                         held, size, number = [], 0, number + 1
         if held:
             yield segment()
 
-    ahead.mapInArrow(run, "part int, segment int, documents long, ids long, data binary").write.parquet(path)
+    ahead.mapInArrow(run, "part int, segment int, documents long, ids long, inside long, data binary").write.parquet(path)
+
+
+PARTS = 1_000_000
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of such files: doc_id, start (ids of all documents before it), n_tokens, ids (binary).
 
-    Starts come from the segments' counts: a running sum inside each part and one over parts, of which there are as many
-    as tasks that wrote."""
+    A segment's start is the ids before it in its part, which its row holds, and those of the parts before. Of these there are
+    as many as tasks that wrote: one row each, broadcast up to PARTS."""
     files = spark.read.parquet(path)
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    segments = files.select("part", "segment", "ids").withColumn("inside", F.coalesce(F.sum("ids").over(inside), F.lit(0)))
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
-    before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    first = segments.join(before.drop("n"), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("first"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if parts.count() <= PARTS else before
 
     def run(batches):
         for b in tidied(batches):
@@ -149,8 +151,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids = pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in found], pa.int64()), "start": first + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": ids})
 
-    # starts are known before anything is decoded, so only small rows, one for each segment, are joined to the files' rows
-    return files.join(first, ["part", "segment"]).select("data", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(before, "part").select("data", (F.col("before") + F.col("inside")).alias("first")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
