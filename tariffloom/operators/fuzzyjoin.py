@@ -137,3 +137,22 @@ def best_entries(names: DataFrame, texts: DataFrame, top: int, name: str = "norm
         lists = lists.groupBy(name, "owner", "owner_name").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(name).orderBy(F.col("score").desc(), "owner_name", "owner"))
     return lists.withColumn("_k", rank).where(F.col("_k") <= top).drop("_k") if blocks > 1 else lists
+
+
+def rematched(kept: DataFrame, names: DataFrame, old: DataFrame, new: DataFrame, top: int, name: str = "norm") -> DataFrame:
+    """best_entries(names, new) from kept, the lists that names had with the texts of old, where catalogues differ little.
+
+    Names that have a list keep it and are compared with the texts that came in only. Names without one, and such whose list
+    holds an owner that lost a text or its name, are compared with all texts. Lists of names that are no longer asked go.
+    kept: name, owner, owner_name, score, as best_entries() gives them."""
+    columns = ["text", "owner", "owner_name"]
+    old, new = (t.select(columns).where("text IS NOT NULL").distinct() for t in (old, new))
+    added, lost = new.join(old, columns, "left_anti"), old.join(new, columns, "left_anti").select("owner").distinct()
+    names = names.where(F.col(name).isNotNull()).select(name).distinct()
+    spoilt = kept.join(lost, "owner", "left_semi").select(name).distinct()
+    steady = names.join(kept.select(name).distinct(), name, "left_semi").join(spoilt, name, "left_anti")
+    whole = best_entries(names.join(steady, name, "left_anti"), new, top, name)
+    both = kept.join(steady, name, "left_semi").select(name, "owner", "owner_name", "score").unionByName(best_entries(steady, added, top, name))
+    best = both.groupBy(name, "owner", "owner_name").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(name).orderBy(F.col("score").desc(), "owner_name", "owner"))
+    return whole.unionByName(best.withColumn("_k", rank).where(F.col("_k") <= top).drop("_k"))

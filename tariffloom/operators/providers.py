@@ -68,8 +68,10 @@ def fold(rows: Iterable[tuple], base: int) -> Iterator[tuple]:
             yield "name", name, partner, since
 
     for known, document, number, name in rows:
-        found = known if known is not None else (by_bin.get(number) if number else None) or (by_name.get(name) if name else None)
-        partner = base + document if found is None else found
+        found = by_bin.get(number) if known is None and number else known
+        if found is None and name:
+            found = by_name.get(name)
+        partner = base + 1 + document if found is None else found
         yield from owns(number, partner, document)
         if known is not None or found is None:
             yield from called(name, partner, document)
@@ -84,8 +86,8 @@ def resolve_or_create(documents: DataFrame, partners: DataFrame) -> tuple[DataFr
     that misses falls back to the name even if the provider of that name has another number. Only the first document of each
     number and name changes anything, so these are reduced to one row each before they are grouped and folded; all
     documents then look up who had their number, if it was had by then, or else their name. Names without letters or digits
-    find nothing: each such document without a number makes a provider of its own. A new provider's id is its first
-    document's added to the greatest known one. Documents need distinct, positive ids. Empty tables are fine."""
+    find nothing: each such document without a number makes a provider of its own. A new provider's id is one
+    more than its first document's added to the greatest known one. Documents need distinct ids from 0 on. Empty tables are fine."""
     base = partners.agg(F.coalesce(F.max("partner_id"), F.lit(0))).first()[0]
     name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit(UNNAMED))
     docs = documents.withColumns({"_b": business_id(F.col("bin")), "_called": name}).withColumn("_n", normalise(F.col("_called")))
@@ -120,7 +122,7 @@ def resolve_or_create(documents: DataFrame, partners: DataFrame) -> tuple[DataFr
     facts = documents.sparkSession.read.schema(KNOWN).parquet(at)
     of = lambda kind, key: facts.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("partner_id").alias(f"_by_{kind}"), F.col("since").alias(f"_since_{kind}"))
     told = docs.join(of("bin", "_kb"), F.col("_b") == F.col("_kb"), "left").join(of("name", "_kn"), F.col("_n") == F.col("_kn"), "left")
-    own = F.lit(base) + F.col("document_id")
+    own = F.lit(base + 1) + F.col("document_id")
     had = F.col("_by_bin").isNotNull() & (F.col("_since_bin").isNull() | (F.col("_since_bin") <= F.col("document_id")))
     partner = F.when(had, F.col("_by_bin")).when(F.col("_by_name").isNotNull(), F.col("_by_name")).otherwise(own)
     first = F.col("partner_id") == own

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import prices, text
-from ..operators import match, providers, search
+from ..session import workspace
+from ..operators import fuzzyjoin, match, providers, search
 from . import domain, lists, scores
 
 
@@ -59,6 +60,18 @@ def match_cascade(spark, d):
     return found.select("raw", "norm", F.coalesce("service_id", F.lit(-1)).alias("service_id"), "method", "confidence", "status", F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"))
 
 
+def rematch_queue(spark, d):
+    """Names that miss the catalogue, with lists kept from before an upload that added and dropped services."""
+    services = domain.services(spark, d)
+    given = lambda some: match.catalogue_texts(services.where(some)).select("text", F.col("service_id").alias("owner"), F.col("service_name").alias("owner_name"))
+    names = raw_names(spark, d).where("name_id % 4 = 3").select(text.normalise(F.col("raw")).alias("norm"))
+    old, new = given("service_id % 3 <> 0"), given("service_id % 7 <> 0")
+    at = workspace(spark)
+    fuzzyjoin.best_entries(names.where("norm NOT LIKE 'c%'"), old, 5).write.parquet(at)  # before, fewer names were asked
+    found = fuzzyjoin.rematched(spark.read.parquet(at), names, old, new, 5)
+    return found.select("norm", F.col("owner").alias("service_id"), "score")
+
+
 def promote_unmatched(spark, d):
     rows = domain.items(spark, d).withColumn("section", F.concat(F.lit("Section "), (F.col("document_id") % 7).cast("string")))
     found = match.promote(rows, domain.services(spark, d))
@@ -82,8 +95,8 @@ def partner_resolve(spark, d):
 def price_list_heads(spark, d):
     """Documents with the names and numbers of known providers, of new ones, of both at odds, or without either."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    name = F.when(key % 7 == 0, F.lit("  ")).when(key % 11 == 0, "!!").when(key % 3 != 0, F.concat(F.lit(" supplier#"), F.lpad((cust % 120).cast("string"), 9, "0"), F.when(key % 5 == 0, "!").otherwise("")))
-    number = F.when(key % 4 == 0, F.concat(F.lit("BIN "), F.lpad((cust % 130).cast("string"), 12, "7"))).when(key % 4 == 1, F.when(key % 8 == 1, "123").otherwise(F.lpad((cust % 90).cast("string"), 12, "3")))
+    name = F.when(key % 7 == 0, F.lit("  ")).when(key % 11 == 0, "!!").when(key % 3 != 0, F.concat(F.lit(" supplier#"), F.lpad((cust % 40 + 80).cast("string"), 9, "0"), F.when(key % 5 == 0, "!").otherwise("")))
+    number = F.when(key % 4 == 0, F.concat(F.lit("BIN "), F.lpad((cust % 30 + 85).cast("string"), 12, "7"))).when(key % 4 == 1, F.when(key % 8 == 1, "123").otherwise(F.lpad((cust % 20).cast("string"), 12, "3")))
     return domain.read(spark, d, "orders").select(key.alias("document_id"), name.alias("name"), number.alias("bin"))
 
 
@@ -137,7 +150,7 @@ def neighbours(spark, d, asked):
     return found.select("query", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, language_detect, parse_price_cells, header_hints, match_exact_synonym, match_cascade, promote_unmatched, catalog_upsert, partner_resolve, partner_create, search_ranked, search_fuzzy, search_many, search_providers, embedding_topk, embedding_topk_all)}
+QUERIES = {f.__name__: f for f in (normalize_text, language_detect, parse_price_cells, header_hints, match_exact_synonym, match_cascade, rematch_queue, promote_unmatched, catalog_upsert, partner_resolve, partner_create, search_ranked, search_fuzzy, search_many, search_providers, embedding_topk, embedding_topk_all)}
 
 D = f"WITH {domain.SQL}"
 NORM = "array_to_string(regexp_extract_all(translate(lower({}), 'ё', 'е'), '[a-z0-9\\x{{0400}}-\\x{{04FF}}]+'), ' ')"
@@ -197,6 +210,11 @@ SELECT query_id, rank, owner AS service_id, score, coalesce(n, 0) AS partner_cou
     "search_providers": lists.ACTIVE + f""", {hits("SELECT 0 AS query_id, 'supplier#000000001' AS query", PARTNER_TEXTS)}
 , sums AS (SELECT partner_id, count(DISTINCT service_id) AS n FROM act WHERE service_id IS NOT NULL GROUP BY partner_id)
 SELECT owner AS partner_id, owner_name AS partner_name, score, coalesce(n, 0) AS service_count FROM hits LEFT JOIN sums ON partner_id = owner""",
+    "rematch_queue": D + f""", raw AS ({RAW}), a AS (SELECT * FROM services WHERE is_active AND service_id % 7 <> 0),
+texts AS (SELECT * FROM (SELECT {NORM.format('service_name')} AS text, service_id, service_name FROM a UNION ALL SELECT {NORM.format('s')}, service_id, service_name FROM (SELECT unnest(synonyms) AS s, service_id, service_name FROM a)) WHERE length(text) >= 2),
+pairs AS (SELECT norm AS a, text AS b FROM (SELECT DISTINCT {NORM.format('raw')} AS norm FROM raw WHERE name_id % 4 = 3), (SELECT DISTINCT text FROM texts)), {scores.ctes("pairs")},
+each AS (SELECT a AS norm, service_id, service_name, max(round(greatest(token_set, weighted) / 100, 4)) AS score FROM scored JOIN texts ON b = text GROUP BY a, service_id, service_name)
+SELECT norm, service_id, CAST(score AS DOUBLE) AS score FROM each QUALIFY row_number() OVER (PARTITION BY norm ORDER BY score DESC, service_name, service_id) <= 5""",
     "promote_unmatched": D + f""", r AS (SELECT *, {NORM.format('service_name_raw')} AS norm, 'Section ' || (document_id % 7) AS section FROM items WHERE match_status IN ('unmatched', 'needs_review')),
 s AS (SELECT norm, section, count(*) AS n, min(item_id) AS f FROM r GROUP BY norm, section QUALIFY row_number() OVER (PARTITION BY norm ORDER BY count(*) DESC, min(item_id)) = 1),
 m AS (SELECT norm, service_name_raw, count(*) AS n, min(item_id) AS f FROM r GROUP BY norm, service_name_raw QUALIFY row_number() OVER (PARTITION BY norm ORDER BY count(*) DESC, min(item_id)) = 1)
@@ -209,8 +227,8 @@ d AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'supp
 SELECT document_id, coalesce(b.s_suppkey, n.s_suppkey, -1) AS partner_id, CASE WHEN b.s_suppkey IS NOT NULL THEN 'bin' WHEN n.s_suppkey IS NOT NULL THEN 'name' ELSE 'new' END AS by, CASE WHEN d.bin IS NOT NULL THEN 0.9 WHEN d.name IS NOT NULL THEN 0.6 ELSE 0.3 END::DOUBLE AS partner_confidence
 FROM d LEFT JOIN (SELECT bin, min(s_suppkey) AS s_suppkey FROM k GROUP BY bin) b ON d.bin = b.bin LEFT JOIN k n ON d.name = n.name""",
     "partner_create": f"""WITH RECURSIVE known AS (SELECT s_suppkey AS partner, {NORM.format('s_name')} AS n, CASE WHEN s_suppkey % 3 <> 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 12, '7') END AS b FROM supplier),
-raw AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 7 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN '!!' WHEN o_orderkey % 3 <> 0 THEN 'supplier#' || lpad(CAST(o_custkey % 120 AS VARCHAR), 9, '0') END AS name,
-  CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_custkey % 130 AS VARCHAR), 12, '7') WHEN o_orderkey % 4 = 1 AND o_orderkey % 8 <> 1 THEN lpad(CAST(o_custkey % 90 AS VARCHAR), 12, '3') END AS b FROM orders),
+raw AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 7 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN '!!' WHEN o_orderkey % 3 <> 0 THEN 'supplier#' || lpad(CAST(o_custkey % 40 + 80 AS VARCHAR), 9, '0') END AS name,
+  CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_custkey % 30 + 85 AS VARCHAR), 12, '7') WHEN o_orderkey % 4 = 1 AND o_orderkey % 8 <> 1 THEN lpad(CAST(o_custkey % 20 AS VARCHAR), 12, '3') END AS b FROM orders),
 docs AS (SELECT *, {NORM.format("coalesce(nullif(trim(name), ''), 'неизвестный партнер')")} AS n FROM raw), base AS (SELECT max(s_suppkey) AS base FROM supplier),
 ev AS (SELECT *, row_number() OVER (ORDER BY document NULLS FIRST, partner) AS i FROM (SELECT partner, NULL AS document, b, n FROM known UNION ALL SELECT NULL, min(document), b, n FROM docs WHERE b IS NOT NULL OR n <> '' GROUP BY b, n)),
 r AS (
@@ -219,10 +237,10 @@ r AS (
   SELECT i, CASE WHEN gives AND bins[b] IS NULL THEN map_concat(bins, MAP {{b: found}}) ELSE bins END, CASE WHEN gives AND bins[b] IS NULL THEN map_concat(since, MAP {{b: coalesce(document, -1)}}) ELSE since END,
     CASE WHEN (partner IS NOT NULL OR made) AND n <> '' AND names[n] IS NULL THEN map_concat(names, MAP {{n: found}}) ELSE names END, CASE WHEN gives THEN list_append(numbered, found) ELSE numbered END
   FROM (SELECT *, b IS NOT NULL AND NOT list_contains(numbered, found) AS gives FROM (
-    SELECT ev.*, bins, since, names, numbered, coalesce(partner, bins[b], CASE WHEN n <> '' THEN names[n] END, base + document) AS found, bins[b] IS NULL AND (n = '' OR names[n] IS NULL) AS made
+    SELECT ev.*, bins, since, names, numbered, coalesce(partner, bins[b], CASE WHEN n <> '' THEN names[n] END, base + 1 + document) AS found, bins[b] IS NULL AND (n = '' OR names[n] IS NULL) AS made
     FROM r JOIN ev ON ev.i = r.i + 1, base))
 ), last AS (SELECT * FROM r ORDER BY i DESC LIMIT 1),
-told AS (SELECT d.*, bins[b] AS owner, since[b] AS since, CASE WHEN n <> '' THEN names[n] END AS called, base + document AS own FROM docs d, last, base),
+told AS (SELECT d.*, bins[b] AS owner, since[b] AS since, CASE WHEN n <> '' THEN names[n] END AS called, base + 1 + document AS own FROM docs d, last, base),
 done AS (SELECT *, owner IS NOT NULL AND since <= document AS had FROM told)
 SELECT document AS document_id, CASE WHEN had THEN owner ELSE coalesce(called, own) END AS partner_id, CASE WHEN CASE WHEN had THEN owner ELSE coalesce(called, own) END = own THEN 'new' WHEN had AND since < document THEN 'bin' ELSE 'name' END AS by,
   CASE WHEN b IS NOT NULL THEN 0.9 WHEN trim(coalesce(name, '')) <> '' THEN 0.6 ELSE 0.3 END::DOUBLE AS partner_confidence FROM done""",

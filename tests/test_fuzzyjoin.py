@@ -66,3 +66,17 @@ def test_empty(spark):
     names = spark.createDataFrame([("a b",)], "norm string")
     assert fuzzyjoin.best_entries(names, none, 5).count() == 0
     assert fuzzyjoin.best_entries(names.limit(0), spark.createDataFrame([("a", 1, "a")], none.schema), 5).count() == 0
+
+
+def test_rematch_equals_a_full_match(spark):
+    """After texts came, went and were renamed, and other names are asked."""
+    schema = "text string, owner long, owner_name string"
+    texts, names = made(21, 80), made(22, 30)
+    old = [(t, k % 50, f"service {k % 50}") for k, t in enumerate(texts[:60])]
+    new = [(t, o, "renamed" if o == 7 else c) for t, o, c in old if o % 9] + [(t, 100 + k, f"service {k}") for k, t in enumerate(texts[60:])] + [(texts[1], 11, "service 11"), (None, 1, "service 1")]
+    frame = lambda rows, s: spark.createDataFrame(rows, s)
+    asked = lambda some: frame([(n,) for n in some], "norm string")
+    kept = fuzzyjoin.best_entries(asked(names[:25]), frame(old, schema), 5).cache()
+    told = lambda found: sorted((r.norm, r.owner, r.owner_name, r.score) for r in found.collect())
+    assert told(fuzzyjoin.rematched(kept, asked(names[3:]), frame(old, schema), frame(new, schema), 5)) == told(fuzzyjoin.best_entries(asked(names[3:]), frame(new, schema), 5))
+    assert told(fuzzyjoin.rematched(kept, asked(names[:25]), frame(old, schema), frame(old, schema), 5)) == told(kept)
