@@ -6,11 +6,11 @@ import datetime as dt
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_filename, split_path, split_synonyms
@@ -18,6 +18,7 @@ from ..session import ship
 
 SUPPORTED = ("pdf", "docx", "xlsx", "xls")
 LARGEST = 200 * 1024 * 1024
+ENDS = 1 << 16  # bytes of a file's ends in which an archive's parts are looked for
 #: Column names of catalogue files by the field that they mean.
 CATALOGUE_NAMES = {
     "service_name": ("service_name", "name", "наименование", "название", "услуга", "атауы"), "synonyms": ("synonyms", "синонимы"), "category": ("category", "категория", "раздел"),
@@ -38,7 +39,8 @@ def extension(name: Column) -> Column:
 def detect_format(name: Column, content: Column) -> Column:
     """By the first bytes: pdf, docx or xlsx (by the parts that the archive names), xls; the extension decides between or instead."""
     head = F.hex(F.substring(content, 1, 8))
-    body = F.decode(content, "ISO-8859-1")
+    # the archive's directory, which names its parts, is at its end, and the first part's name at its start
+    body = F.decode(F.concat(F.substring(content, 1, ENDS), F.when(F.length(content) > ENDS, F.substring(content, -ENDS, ENDS)).otherwise(F.lit("").cast("binary"))), "ISO-8859-1")
     ext = extension(name)
     zipped = F.when(F.contains(body, F.lit("word/document.xml")), "docx").when(F.contains(body, F.lit("xl/")), "xlsx").when(ext.isin("docx", "xlsx"), ext).otherwise("unknown")
     return F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), zipped).when(head.startswith("D0CF11E0A1B11AE1"), F.when(ext == "xls", "xls").otherwise("unknown")).when(ext.isin(*SUPPORTED), ext).otherwise("unknown")
@@ -103,6 +105,17 @@ def cell_text(value) -> str:
     return value.isoformat() if isinstance(value, (dt.date, dt.datetime)) else str(value)
 
 
+def sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(sheet, member) in the workbook's order, sheets called by their file; in order of names if the workbook doesn't tell."""
+    found = sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(book.namelist()):
+        target = {e.get("Id"): e.get("Target", "").removeprefix("/xl/") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        ids = [v for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet") or e.tag == "sheet" for k, v in e.attrib.items() if k.endswith("}id")]
+        told = [f"xl/{target[i]}" for i in ids if f"xl/{target.get(i)}" in found]
+        found = told + [n for n in found if n not in told]
+    return [(n.rsplit("/", 1)[-1].removesuffix(".xml"), n) for n in found]
+
+
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
     """(sheet, row number, cells, level) of every sheet of an XLSX file; level is the first filled column plus indents."""
     book = zipfile.ZipFile(io.BytesIO(content))
@@ -110,7 +123,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if local(si) == "si"]
-    for name in sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
+    for sheet, name in sheets(book):
         for k, row in enumerate(e for e in ElementTree.fromstring(book.read(name)).iter() if local(e) == "row"):
             cells: list[str] = []
             for c in row:
@@ -133,7 +146,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
                 cells[column] = value
             first = next((i for i, c in enumerate(cells) if c.strip()), None)
             if first is not None:
-                yield name.rsplit("/", 1)[-1].removesuffix(".xml"), k, cells, first + (len(cells[first]) - len(cells[first].lstrip())) // 2
+                yield sheet, k, cells, first + (len(cells[first]) - len(cells[first].lstrip())) // 2
 
 
 def document_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
@@ -161,21 +174,75 @@ def document_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
                 nth += 1
 
 
-def tables(files: DataFrame) -> DataFrame:
-    """file, table_id, row_idx, cells, hint of the XLSX and DOCX files among files (name, content); broken ones give none."""
+#: What reads a format's content: rows of (table, row number, cells, level or None).
+READERS: dict[str, Callable[[bytes], Iterable[tuple]]] = {}
+
+
+def reads(file_format: str):
+    """Registers a function as the reader of a format; a later one takes its place."""
+
+    def register(reader: Callable[[bytes], Iterable[tuple]]):
+        READERS[file_format] = reader
+        return reader
+
+    return register
+
+
+reads("xlsx")(sheet_rows)
+reads("docx")(lambda content: ((table, k, cells, None) for table, k, cells, _ in document_rows(content)))
+
+
+def formats() -> list[str]:
+    """Formats that can be read."""
+    return sorted(READERS)
+
+
+def first_sheet(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
+    first = None
+    for row in sheet_rows(content):
+        first = first or row[0]
+        if row[0] != first:
+            return
+        yield row
+
+
+def tables(files: DataFrame, readers: dict[str, Callable[[bytes], Iterable[tuple]]] | None = None) -> DataFrame:
+    """file, table_id, row_idx, cells, hint of files (name, content, other columns but content are passed on) whose detected
+    format has a reader (one of READERS unless given); broken ones give none. Works on streams of files as well."""
+    kept = [f for f in files.schema.fields if f.name not in ("content", "name")]
+    readers = dict(READERS if readers is None else readers)
+    told = files.withColumn("_format", detect_format(F.col("name"), F.col("content"))).where(F.col("_format").isin(*readers))
+    names = [*(f.name for f in kept), "file", "table_id", "row_idx", "cells", "hint"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["name"], b["content"]):
+            for row in b.itertuples(index=False):
+                *passed, name, kind, content = row
                 try:
-                    read = document_rows if zipfile.ZipFile(io.BytesIO(content)).NameToInfo.get("word/document.xml") else sheet_rows
-                    rows = [(name, f"{name}#{t}", k, cells, level if read is sheet_rows else None) for t, k, cells, level in read(content)]
+                    rows = [(*passed, name, f"{name}#{t}", k, cells, level) for t, k, cells, level in readers[kind](content)]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
                     continue
                 if rows:
-                    yield pd.DataFrame(rows, columns=["file", "table_id", "row_idx", "cells", "hint"]).astype({"hint": "Int32"})
+                    yield pd.DataFrame(rows, columns=names).astype({"hint": "Int32"})
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["file string, table_id string, row_idx int, cells array<string>, hint int"])
+    return told.select(*(F.col(f"`{f.name}`") for f in kept), "name", "_format", "content").mapInPandas(run, schema)
+
+
+def catalogue_sheets(files: DataFrame) -> DataFrame:
+    """file, row, service_name, synonyms, category, icd_code, code of the first sheet of catalogue workbooks (name, content): its
+    first row names the columns, in any case; rows without a service's name are left out, and so are files without such a
+    column."""
+    rows = tables(files.select("name", "content"), {"xlsx": first_sheet})
+    first = Window.partitionBy("file").orderBy("row_idx")
+    rows = rows.withColumn("_header", F.transform(F.first("cells").over(first), lambda c: F.lower(F.trim(c)))).withColumn("_at", F.row_number().over(first)).where("_at > 1")
+
+    def cell(field: str) -> Column:
+        at = F.coalesce(*(F.nullif(F.array_position("_header", F.lit(n)), F.lit(0).cast("long")) for n in CATALOGUE_NAMES[field]))
+        return F.nullif(F.trim(F.get("cells", (at - 1).cast("int"))), F.lit(""))
 
-    return files.select("name", "content").mapInPandas(run, "file string, table_id string, row_idx int, cells array<string>, hint int")
+    told = rows.select("file", F.col("row_idx").alias("row"), cell("service_name").alias("service_name"), split_synonyms(cell("synonyms")).alias("synonyms"), cell("category").alias("category"), cell("icd_code").alias("icd_code"), cell("code").try_cast("int").alias("code"))
+    return told.where("service_name IS NOT NULL")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
