@@ -58,12 +58,13 @@ def snapshot_merge(stored: DataFrame, document: DataFrame, price: str = "price")
     return kept.select(stored.columns).unionByName(added.select(stored.columns))
 
 
-def reconcile(rows: DataFrame, tie: str = "item_id") -> DataFrame:
+def reconcile(rows: DataFrame, tie: str = "item_id", created: str = "created_at") -> DataFrame:
     """rows with is_active set anew: of each partner's service (or normalised raw name, if unmatched) with more than one row,
-    only the latest by date (null first), version and creation stays active; single rows keep what they have."""
+    only the latest by date (null first), version and, where rows have it, creation stays active; single rows keep what they
+    have."""
     key = F.coalesce(F.col("service_id").cast("string"), F.concat(F.lit("raw:"), normalise(F.col("service_name_raw"))))
     group = Window.partitionBy("partner_id", key)
-    order = group.orderBy(F.col("effective_date").desc_nulls_last(), F.col("version").desc(), tie)
+    order = group.orderBy(F.col("effective_date").desc_nulls_last(), F.col("version").desc_nulls_last(), *([F.col(created).desc_nulls_last()] if created in rows.columns else []), tie)
     return rows.withColumn("is_active", F.when(F.count("*").over(group) > 1, F.row_number().over(order) == 1).otherwise(F.col("is_active")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import upserts
+from ..operators import upserts, versioning
 from ..session import workspace
 from ..sources.keyed import KeyedTable
 from ..streaming import ingest
@@ -47,7 +47,15 @@ def stream_upsert(spark, d, arrivals=4):
     return table.read().select(*OUT)
 
 
-QUERIES = {f.__name__: f for f in (upsert_documents, stream_upsert)}
+def reconcile_created(spark, d):
+    """Unmatched rows whose names differ in case, marks and ё; of equal dates and versions the one made last stays active."""
+    n = F.regexp_extract("service_name_raw", r"\d+", 0).cast("long")
+    name = F.element_at(F.array(F.lit("Ёлка-"), F.lit(" елка  "), F.lit("ЕЛКА, ")), (n % 3 + 1).cast("int"))
+    rows = domain.items(spark, d).select("item_id", "partner_id", "service_id", F.concat(name, (n % 40).cast("string")).alias("service_name_raw"), F.trunc("effective_date", "year").alias("effective_date"), (n % 2 + 1).cast("int").alias("version"), F.lit(True).alias("is_active"), F.when(n % 5 != 0, F.col("document_id")).alias("created_at"))
+    return versioning.reconcile(rows).select("item_id", "is_active")
+
+
+QUERIES = {f.__name__: f for f in (upsert_documents, stream_upsert, reconcile_created)}
 
 
 def lists_sql() -> str:
@@ -74,4 +82,9 @@ def lists_sql() -> str:
 SELECT item_id, CAST(version AS INTEGER) AS version, previous_item_id, is_active, is_anomaly FROM s{LISTS}"""
 
 
-SQL = {"upsert_documents": lists_sql(), "stream_upsert": lists_sql()}
+SQL = {
+    "upsert_documents": lists_sql(), "stream_upsert": lists_sql(),
+    "reconcile_created": f"""WITH {domain.SQL}, r AS (SELECT *, CAST(regexp_extract(service_name_raw, '[0-9]+') AS BIGINT) AS n FROM items),
+k AS (SELECT item_id, partner_id, coalesce(CAST(service_id AS VARCHAR), 'raw:елка ' || (n % 40)) AS k, date_trunc('year', effective_date) AS date, n % 2 AS version, CASE WHEN n % 5 <> 0 THEN document_id END AS created FROM r)
+SELECT item_id, count(*) OVER (PARTITION BY partner_id, k) = 1 OR row_number() OVER (PARTITION BY partner_id, k ORDER BY date DESC NULLS LAST, version DESC, created DESC NULLS LAST, item_id) = 1 AS is_active FROM k""",
+}

@@ -158,10 +158,6 @@ def assistant_requests(spark, d):
     return assistant.parse_all(rows).select("p_partkey", p["intent"].alias("intent"), p["topic"].alias("topic"), p["city"].alias("city"), p["min_price"].alias("min_price"), p["max_price"].alias("max_price"), p["resident"].alias("resident"), p["sort"].alias("sort"), p["limit"].alias("limit_"), p["language"].alias("language"))
 
 
-def assistant_reply(spark, d):
-    return assistant.reply("привет", domain.services(spark, d), domain.partners(spark, d), lists.active_items(spark, d))
-
-
 def city_providers(spark, d):
     """The reply to a request for providers in a city that only part of a provider's city names."""
     partners = domain.partners(spark, d).withColumn("city", F.when(F.col("city") == "KENYA", "Астана (центр)").otherwise(F.col("city")))
@@ -229,7 +225,7 @@ def original_names(spark, d):
 QUERIES = {f.__name__: f for f in (
     match_events, partner_backfill, format_report, original_names,
     catalog_coded, catalog_links, catalog_counts, categorize_services, clean_categories, verify_matched, best_decimals, recent_batches, grouped_services, grouped_russian, ocr_quality, parse_times, point_lookup, enriched_hits,
-    specialty_prior, header_specialties, assistant_requests, assistant_reply, city_providers, price_glyphs, text_functions,
+    specialty_prior, header_specialties, assistant_requests, city_providers, price_glyphs, text_functions,
 )}
 D = f"WITH {domain.SQL}"
 SOURCE = """src0 AS (
@@ -299,7 +295,6 @@ SELECT p_partkey, CASE k WHEN 3 THEN 'compare' WHEN 4 THEN 'find_partner' WHEN 5
   CASE k WHEN 0 THEN 5000.0 WHEN 1 THEN 50000.0 WHEN 2 THEN 8000.0 WHEN 3 THEN 10000.0 END::DOUBLE AS max_price, CASE k WHEN 6 THEN 'nonresident' WHEN 7 THEN 'resident' END AS resident,
   CASE k WHEN 0 THEN 'cheapest' WHEN 1 THEN 'cheapest' WHEN 2 THEN 'cheapest' WHEN 3 THEN 'cheapest' WHEN 6 THEN 'cheapest' WHEN 7 THEN 'cheapest' ELSE 'relevance' END AS sort, CAST(CASE k WHEN 1 THEN 3 ELSE 5 END AS INTEGER) AS limit_,
   CASE WHEN k IN (1, 6) THEN 'en' WHEN k IN (4, 5) THEN 'ru' WHEN length(regexp_replace(lower(CASE k WHEN 0 THEN 'найди в Алматы до тг' WHEN 2 THEN 'от до в астане' WHEN 3 THEN 'сравни не дороже' ELSE 'не дешевле для граждан' END), '[^а-яё]', '', 'g')) >= length(regexp_replace(t, '[^a-z]', '', 'g')) THEN 'ru' ELSE 'en' END AS language FROM r""",
-    "assistant_reply": "SELECT 'Опишите услугу и бюджет — например: «анализ крови в Алматы дешевле 5000 ₸».' AS reply",
     "city_providers": lists.ACTIVE + """, c AS (SELECT p.partner_id, p.partner_name, count(DISTINCT service_id) AS n FROM partners p LEFT JOIN act a ON a.partner_id = p.partner_id AND service_id IS NOT NULL WHERE city = 'KENYA' GROUP BY ALL ORDER BY n DESC, 1 LIMIT 4)
 SELECT CASE WHEN count(*) = 0 THEN 'Клиник по запросу, в Астана не нашлось.' ELSE 'Нашёл ' || count(*) || ' клиник, в Астана: ' || array_to_string(list(partner_name ORDER BY n DESC, partner_id)[1:3], ', ') || '.' END AS reply FROM c""",
     "price_glyphs": """WITH r AS (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS n, l_partkey % 10 AS k FROM lineitem)
