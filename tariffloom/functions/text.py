@@ -49,6 +49,14 @@ def effective_path(path: Column, fallback: Column) -> Column:
     return F.when(F.size(own) > 0, own).when(F.trim(fallback) != "", F.array(fallback)).otherwise(F.array(F.lit(NO_CATEGORY)))
 
 
+def catalogue_path(path: Column, category: Column, specialties: Column) -> Column:
+    """Where a catalogue entry stands: its path or category, else the first of its specialties without case, else the catch-all."""
+    named = F.filter(F.transform(F.coalesce(specialties, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    first = F.array_min(F.transform(named, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))["x"]
+    own = F.filter(F.coalesce(path, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    return F.when((F.size(own) > 0) | F.coalesce(F.trim(category) != "", F.lit(False)), effective_path(path, category)).otherwise(F.array(F.coalesce(first, F.lit(NO_CATEGORY))))
+
+
 def or_unknown(value: Column, shown: str = NO_CATEGORY) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(shown))
 

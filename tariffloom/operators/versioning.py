@@ -88,12 +88,12 @@ def batch_status(documents: DataFrame) -> DataFrame:
 def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Operators' decisions overlaid on rows: the latest decision of an item sets service, status, verification and review.
 
-    decisions: item_id, action (approve, reject or match), service_id, operator, decided_at. A rejected item stays under
+    decisions: item_id, action (approve, reject, match or create), service_id, operator, decided_at. A rejected item stays under
     review; an approved or matched one is verified, and a given service makes the match a manual one of confidence 1.
     """
     last = Window.partitionBy("item_id").orderBy(F.col("decided_at").desc_nulls_last(), "action")
     d = decisions.withColumn("_k", F.row_number().over(last)).where("_k = 1").select("item_id", F.col("action").alias("_a"), F.col("service_id").alias("_s"), F.col("operator").alias("_o"), F.col("decided_at").alias("_t"))
-    accepted = F.col("_a").isin("approve", "match")
+    accepted = F.col("_a").isin("approve", "match", "create")
     linked = accepted & F.col("_s").isNotNull()
     return rows.join(d, "item_id", "left").withColumns({
         "service_id": F.when(linked, F.col("_s")).otherwise(F.col("service_id")), "match_status": F.when(linked, "matched_manual").otherwise(F.col("match_status")),
@@ -103,6 +103,25 @@ def decide(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     }).drop("_a", "_s", "_o", "_t")
 
 
+def create_services(decisions: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions with the service_id of the service that each creates, services with the new ones).
+
+    decisions: those of decide() with new_service (a name, or null). One that names a service, whatever its action was, is a
+    create: a service of exactly that name is used, the smallest id of several, else one is made and active, once for all
+    decisions that name it. New ids follow the greatest known one in the order of names; they are as few as operators' new
+    names, so these are numbered in one task."""
+    name = F.nullif(F.trim("new_service"), F.lit(""))
+    rows = decisions.withColumn("_new", name)
+    have = services.groupBy(F.col("service_name").alias("_name")).agg(F.min("service_id").alias("_id"))
+    fresh = rows.where("_new IS NOT NULL").select(F.col("_new").alias("_name")).distinct().join(have, "_name", "left_anti")
+    base = services.agg(F.coalesce(F.max("service_id"), F.lit(0))).first()[0]
+    made = fresh.select("_name", (F.row_number().over(Window.orderBy("_name")) + base).cast(services.schema["service_id"].dataType).alias("_id"))
+    told = rows.join(have.unionByName(made), F.col("_new") == F.col("_name"), "left")
+    given = {"service_id": F.when(F.col("_new").isNotNull(), F.col("_id")).otherwise(F.col("service_id")), "action": F.when(F.col("_new").isNotNull(), "create").otherwise(F.col("action"))}
+    added = made.select(F.col("_id").alias("service_id"), F.col("_name").alias("service_name"), F.lit(True).alias("is_active"))
+    return told.withColumns(given).drop("_new", "_name", "_id"), services.unionByName(added, allowMissingColumns=True)
+
+
 def match_events(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """item_id, old_service_id, new_service_id, action, operator, decided_at of every decision on an item, for an audit.
 

@@ -44,6 +44,26 @@ def decided_items(spark, d):
     return done.select("item_id", F.coalesce("service_id", F.lit(-1)).alias("service_id"), "match_status", "match_confidence", "is_verified", "needs_review", F.coalesce("verified_by", F.lit("-")).alias("verified_by"))
 
 
+def created_matches(spark, d):
+    """Decisions that name services, some of which the catalogue has, others that several decisions name."""
+    items = domain.items(spark, d).select("item_id", "partner_id", "document_id", "service_id", "match_status", F.lit(0.5).alias("match_confidence"), "is_verified", F.lit(True).alias("needs_review"))
+    services = domain.services(spark, d).select("service_id", "service_name", "is_active")
+    named = F.when(F.col("partner_id") % 3 == 0, F.concat(F.lit(" New "), (F.col("partner_id") % 10).cast("string"))).when(F.col("partner_id") % 3 == 1, "hot ring")
+    told = items.where("document_id % 7 = 0").select("item_id", F.lit("match").alias("action"), F.when(named.isNull(), 5).cast("long").alias("service_id"), named.alias("new_service"), F.lit("ann").alias("operator"), F.lit(1).alias("decided_at"))
+    decided, known = versioning.create_services(told, services)
+    done = versioning.decide(items, decided.drop("new_service")).where("document_id % 7 = 0")
+    called = done.join(known.select("service_id", "service_name"), "service_id", "left")
+    return called.select("item_id", F.coalesce("service_id", F.lit(-1)).alias("service_id"), F.coalesce("service_name", F.lit("-")).alias("service_name"), "match_status", "needs_review")
+
+
+def catalogue_paths(spark, d):
+    key = F.col("service_id")
+    s = domain.services(spark, d)
+    path = F.when(key % 5 == 0, F.array(F.lit(" "), F.col("service_name"))).when(key % 5 == 1, F.array().cast("array<string>"))
+    specialties = F.when(key % 3 == 0, F.array(F.lit("b"), F.concat(F.lit(" A"), F.col("specialty")), F.lit("a"))).when(key % 3 == 1, F.array(F.lit(" ")))
+    return s.select("service_id", F.array_join(text.catalogue_path(path, F.when(key % 2 == 0, F.col("category")).otherwise(" "), specialties), "/").alias("path"))
+
+
 def pruned_tree(spark, d):
     leaves = domain.services(spark, d).select(F.split(F.coalesce("category", F.lit("")), " ").alias("path"), "service_name").where("category IS NOT NULL")
     return tree.pruned(leaves, F.contains("service_name", F.lit("ring"))).select("node", "depth", "n_leaves", "n_direct")
@@ -65,7 +85,7 @@ def json_report(spark, d):
     return sinks.as_json(counts, ["file_format", "documents"], F.col("file_format").desc())
 
 
-QUERIES = {f.__name__: f for f in (full_cascade, decided_items, pruned_tree, text_filter, catalogue_changes, json_report)}
+QUERIES = {f.__name__: f for f in (full_cascade, decided_items, created_matches, catalogue_paths, pruned_tree, text_filter, catalogue_changes, json_report)}
 D = f"WITH {domain.SQL}"
 NORM = matching.NORM
 SQL = {
@@ -89,6 +109,12 @@ SELECT norm, coalesce(own, CASE WHEN c >= 0.6 THEN top END, -1) AS service_id, C
 SELECT item_id, coalesce(CASE WHEN told AND again THEN 9 WHEN told AND k = 2 THEN 7 END, service_id, -1) AS service_id, CASE WHEN told AND (again OR k = 2) THEN 'matched_manual' ELSE match_status END AS match_status,
   CASE WHEN told AND (again OR k = 2) THEN 1.0 ELSE 0.5 END::DOUBLE AS match_confidence, is_verified OR (told AND (again OR k <> 1)) AS is_verified, NOT (told AND (again OR k <> 1)) AS needs_review,
   CASE WHEN told AND again THEN 'bob' WHEN told AND k <> 1 THEN 'ann' ELSE '-' END AS verified_by FROM r""",
+    "created_matches": D + """, r AS (SELECT *, CASE partner_id % 3 WHEN 0 THEN 'New ' || partner_id % 10 WHEN 1 THEN 'hot ring' END AS named FROM items WHERE document_id % 7 = 0),
+fresh AS (SELECT DISTINCT named FROM r WHERE named IS NOT NULL AND named NOT IN (SELECT service_name FROM services)),
+known AS (SELECT min(service_id) AS id, service_name AS name FROM services GROUP BY 2 UNION ALL SELECT row_number() OVER (ORDER BY named) + (SELECT max(service_id) FROM services), named FROM fresh)
+SELECT item_id, coalesce(k.id, 5) AS service_id, coalesce(k.name, s.service_name, '-') AS service_name, 'matched_manual' AS match_status, false AS needs_review FROM r LEFT JOIN known k ON k.name = r.named LEFT JOIN services s ON s.service_id = 5 AND r.named IS NULL""",
+    "catalogue_paths": D + """ SELECT service_id, CASE WHEN service_id % 5 = 0 THEN service_name WHEN service_id % 2 = 0 AND category IS NOT NULL THEN category
+  WHEN service_id % 3 = 0 THEN CASE WHEN lower('A' || specialty) < 'a' THEN 'A' || specialty ELSE 'a' END ELSE 'Без категории' END AS path FROM services""",
     "pruned_tree": D + """, l AS (SELECT string_split(category, ' ') AS p FROM services WHERE category IS NOT NULL AND contains(service_name, 'ring')),
 n AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM l)
 SELECT array_to_string(p[1:depth], ' / ') AS node, CAST(depth AS INTEGER) AS depth, count(*) AS n_leaves, count(*) FILTER (depth = len(p)) AS n_direct FROM n GROUP BY 1, 2""",
