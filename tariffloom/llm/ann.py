@@ -134,13 +134,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10, s: Settings
     groups = max(12, -(-total * s.tables // s.group_rows))
     cuts = max(1, -(-wanted // s.group_queries))
 
+    most_cells = max(len(c) for c in index.cells) + 2
+    most_pieces = int(np.ceil(max([0.05, *(x.max() for x in index.shares if len(x))]) * total / s.group_rows)) + 1
+
     def pieces(table: int, buckets: np.ndarray) -> np.ndarray:
         share = np.append(held.value.shares[table], 0.05)[buckets]
         return np.maximum(1, np.ceil(share * total / s.group_rows)).astype(np.int64)
 
     def emit(ids, numbers, vectors, tables, buckets, piece, cut):
         flat = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), size).cast(pa.list_(pa.float64()))
-        key = ((buckets + 1).astype(np.int64) * 1_000_003 + tables) * 1_009 + piece * 31 + cut
+        key = ((tables * most_cells + buckets + 1).astype(np.int64) * most_pieces + piece) * cuts + cut  # one number for each choice
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, numbers, ((buckets.astype(np.int64) + 1) * 64 + tables))] + [flat], names=["key", "id", "row", "cell", "vector"])
 
     def stored(batches):
