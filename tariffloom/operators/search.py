@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workspace
 from .searchindex import search
 
 LEAST, MOST, SURE = 60.0, 25, 90.0
@@ -38,7 +39,16 @@ def services_of(queries: DataFrame, catalogue: DataFrame, items: DataFrame | Non
     """query_id, rank, service_id, service_name, score of many queries (query_id, query), and of active items partner_count,
     min_price, max_price."""
     top = search(queries, service_texts(catalogue), limit).select("query_id", "rank", F.col("owner").alias("service_id"), F.col("owner_name").alias("service_name"), "score")
-    return top if items is None else priced(top, items)
+    if items is None:
+        return top
+    at = workspace(queries.sparkSession)  # hits are read twice from here on, and found once
+    top.write.parquet(at)
+    return priced(queries.sparkSession.read.schema(top.schema).parquet(at), items)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """The hits of one query, which its limit bounds, as a table of their own: whatever uses them doesn't search again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
 def priced(top: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,7 +65,8 @@ def services(query: str, catalogue: DataFrame, items: DataFrame | None = None, f
     query finds nothing."""
     if fuzzy:
         asked = catalogue.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-        found = services_of(asked, catalogue, items, limit).drop("query_id", "rank").join(catalogue.select("service_id", "category"), "service_id")
+        top = few(services_of(asked, catalogue, None, limit).drop("query_id", "rank").join(catalogue.select("service_id", "category"), "service_id"))
+        found = top if items is None else priced(top, items)
         return found.orderBy(F.col("score").desc(), "service_name", "service_id")
     rows = catalogue.where("is_active").withColumn("_texts", texts_of(F.col("service_name"), F.col("category"), lists=(F.col("synonyms"),)))
     if not query.strip():
@@ -75,6 +86,6 @@ def providers(query: str, partners: DataFrame, items: DataFrame, limit: int = MO
     text = lambda c, own: F.struct(F.col(c).alias("text"), F.lit(own).alias("is_name"))
     texts = partners.where("is_active").select(F.col("partner_id").alias("owner"), F.col("partner_name").alias("owner_name"), F.explode(F.array(text("partner_name", True), text("city", False))).alias("t")).select("owner", "owner_name", "t.*")
     asked = partners.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    top = search(asked, texts, limit).select(F.col("owner").alias("partner_id"), "score").join(partners.select("partner_id", "partner_name", "city"), "partner_id").select("partner_id", "partner_name", "city", "score")
+    top = few(search(asked, texts, limit).select(F.col("owner").alias("partner_id"), "score")).join(partners.select("partner_id", "partner_name", "city"), "partner_id").select("partner_id", "partner_name", "city", "score")
     counts = items.where("is_active AND service_id IS NOT NULL").groupBy("partner_id").agg(F.countDistinct("service_id").alias("service_count"))
     return top.join(counts, "partner_id", "left").withColumn("service_count", F.coalesce("service_count", F.lit(0))).orderBy(F.col("score").desc(), "partner_name", "partner_id")

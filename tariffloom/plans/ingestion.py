@@ -10,7 +10,7 @@ from ..session import workspace
 from ..sources import files
 from ..sources.keyed import KeyedTable
 from ..streaming import ingest
-from . import domain, lists
+from . import domain, lists, matching
 
 
 def stream_ingest(spark, d):
@@ -65,5 +65,7 @@ h AS (SELECT *, last_value(CASE WHEN k = 0 THEN row_idx END IGNORE NULLS) OVER w
   last_value(CASE WHEN k = 0 THEN l_partkey END IGNORE NULLS) OVER w AS p0, last_value(CASE WHEN k = 1 THEN l_partkey END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN k = 2 THEN l_partkey END IGNORE NULLS) OVER w AS p2
   FROM r WINDOW w AS (PARTITION BY table_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT table_id, row_idx, concat_ws('/', 'A' || p0, CASE WHEN i1 > coalesce(i0, -1) THEN 'B' || p1 END, CASE WHEN i2 > greatest(coalesce(i0, -1), coalesce(i1, -1)) THEN 'C' || p2 END) AS path FROM h""",
+    "assistant_answer": lists.ACTIVE + f""", {matching.hits("SELECT 0 AS query_id, 'small gizmo' AS query", matching.SERVICE_TEXTS)}
+SELECT owner AS service_id, any_value(owner_name) AS service_name, count(*) AS n_offers, CAST(min(price) AS DOUBLE) AS min_price FROM hits JOIN offers ON service_id = owner WHERE price <= 50000000 GROUP BY owner ORDER BY min(price), owner LIMIT 3""",
     "item_headers": "SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 6 IN (0, 1, 2, 5) AS is_header FROM part",
 }
