@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-CHUNK_BYTES = 1 << 20  # of text hashed at a time
+CHUNK_BYTES = 1 << 19  # of text hashed at a time
+ROW_GROUP = 16 << 20  # bytes of a table's row group that a task holds while it writes a step's table
 SHORT = 32  # bytes of the longest word that is hashed by prefix sums
 U64 = np.uint64
 
@@ -33,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_ROWS, BATCH_BYTES = 2_000, "4m"  # of one Arrow batch: texts may be long
+BATCH_ROWS, BATCH_BYTES = 2_000, "2m"  # of one Arrow batch: texts may be long
 
 
 def ship(spark: SparkSession) -> None:
@@ -82,7 +83,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def read_back(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

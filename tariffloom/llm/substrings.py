@@ -37,9 +37,9 @@ class Settings:
     window: int = 20
     phrase: int = 6
     tile: int = 64
-    group_bytes: int = 4 << 20
-    automaton_words: int = 200_000
-    pairs: int = 500_000
+    group_bytes: int = 2 << 20
+    automaton_words: int = 100_000
+    pairs: int = 200_000
     filter_rows: int = 1_000_000
 
     @property
