@@ -59,13 +59,31 @@ def tidied(batches: Iterator[pa.RecordBatch], every: int = 4) -> Iterator[pa.Rec
 
 
 def trim() -> None:
+    """Gives freed memory back, and has the C library give back every larger block as soon as it is freed."""
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(MMAP_THRESHOLD, LARGE_BLOCK)
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+MMAP_THRESHOLD, LARGE_BLOCK = -3, 1 << 18  # mallopt's name of the bound from which blocks are mapped by themselves
+
+
+def trimmed(of_group):
+    """A function of a group's tables that gives back what it used; a worker keeps running for the next groups."""
+
+    def run(*tables):
+        try:
+            return of_group(*tables)
+        finally:
+            trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset, a local run (tests) gets a temporary folder; a
     cluster, whose machines share none, an error."""

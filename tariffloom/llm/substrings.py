@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, cut, hashed, tidied
+from .common import Scratch, Words, cut, hashed, tidied, trimmed
 from .hot import with_values
 
 U64, I64 = np.uint64, np.int64
@@ -416,22 +416,22 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     def packed_for(df: DataFrame, kind: int, *columns: str):
         return df.where(F.col("kind") == kind).select("part", "who", "docs", *columns)
 
-    found = work.cut(packed_for(first, ENTRIES, "hashes", "starts").groupBy("part").applyInArrow(lambda t: recurring(t, shards), PACKED))
+    found = work.cut(packed_for(first, ENTRIES, "hashes", "starts").groupBy("part").applyInArrow(lambda t: trimmed(recurring)(t, shards), PACKED))
     phrases = packed_for(first, KNOWN, "hashes").unionByName(packed_for(found, KNOWN, "hashes"))
-    phrases = work.cut(phrases.groupBy("part").applyInArrow(lambda t: phrases_of_documents(t), "part long, doc_id long, stamp long, hashes binary").join(copies, key, "left_anti"))
+    phrases = work.cut(phrases.groupBy("part").applyInArrow(lambda t: trimmed(phrases_of_documents)(t), "part long, doc_id long, stamp long, hashes binary").join(copies, key, "left_anti"))
     work.free(first, found)
     keys = hint(phrases.select("doc_id", "stamp"))
     shard = F.pmod("stamp", F.lit(shards)).alias("part")
     held = texts.join(keys, key, "left_semi").select("*", shard).groupBy("part")
-    windows = work.cut(held.cogroup(phrases.groupBy("part")).applyInArrow(lambda a, b: candidates(s, reducers)(a, b), PACKED))
-    later = work.cut(packed_for(windows, ENTRIES, "hashes", "starts").groupBy("part").applyInArrow(lambda t: wanted(s, shards)(t), PACKED))
+    windows = work.cut(held.cogroup(phrases.groupBy("part")).applyInArrow(lambda a, b: trimmed(candidates(s, reducers))(a, b), PACKED))
+    later = work.cut(packed_for(windows, ENTRIES, "hashes", "starts").groupBy("part").applyInArrow(lambda t: trimmed(wanted(s, shards))(t), PACKED))
     work.free(windows, phrases)
-    tiles = work.cut(packed_for(later, KNOWN, "starts").groupBy("part").applyInArrow(lambda t: tiles_of_shard(t), "part long, doc_id long, stamp long, tile int"))
+    tiles = work.cut(packed_for(later, KNOWN, "starts").groupBy("part").applyInArrow(lambda t: trimmed(tiles_of_shard)(t), "part long, doc_id long, stamp long, tile int"))
     of_text = tiles.groupBy("doc_id", "stamp").agg(F.collect_set("tile").alias("tiles"))
     of_text = F.broadcast(of_text) if tiles.count() <= s.filter_rows else of_text
     taken = work.cut(texts.join(of_text, key).select("doc_id", "stamp", "text", "tiles").mapInArrow(passages(s), "doc_id long, stamp long, tile int, words string"))
     sent = tiles.join(taken, [*key, "tile"]).select("part", "doc_id", (F.col("tile") * s.tile).alias("start"), "words")
-    changed = texts.select("*", shard).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(lambda a, b: removed(s)(a, b), "doc_id long, stamp long, sha256 string, n_removed long, kept string")
+    changed = texts.select("*", shard).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(lambda a, b: trimmed(removed(s))(a, b), "doc_id long, stamp long, sha256 string, n_removed long, kept string")
     whole = F.col("copy") | (F.col("n_words") < s.window)  # removed or kept as a whole
     of_changed = {f.name: F.lit(None).cast(f.dataType) for f in changed.schema.fields if f.name in ("n_removed", "kept")}
     out = every.where(~whole).join(changed, [*key, "sha256"], "left").unionByName(every.where(whole).withColumns(of_changed))
