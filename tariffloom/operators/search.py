@@ -65,7 +65,8 @@ def services(query: str, catalogue: DataFrame, items: DataFrame | None = None, f
     query finds nothing."""
     if fuzzy:
         asked = catalogue.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-        top = few(services_of(asked, catalogue, None, limit).drop("query_id", "rank").join(catalogue.select("service_id", "category"), "service_id"))
+        hits = few(services_of(asked, catalogue, None, limit).drop("query_id", "rank"))  # first, so that not the catalogue is broadcast
+        top = few(catalogue.select("service_id", "category").join(F.broadcast(hits), "service_id").select("service_id", "service_name", "score", "category"))
         found = top if items is None else priced(top, items)
         return found.orderBy(F.col("score").desc(), "service_name", "service_id")
     rows = catalogue.where("is_active").withColumn("_texts", texts_of(F.col("service_name"), F.col("category"), lists=(F.col("synonyms"),)))
@@ -86,6 +87,6 @@ def providers(query: str, partners: DataFrame, items: DataFrame, limit: int = MO
     text = lambda c, own: F.struct(F.col(c).alias("text"), F.lit(own).alias("is_name"))
     texts = partners.where("is_active").select(F.col("partner_id").alias("owner"), F.col("partner_name").alias("owner_name"), F.explode(F.array(text("partner_name", True), text("city", False))).alias("t")).select("owner", "owner_name", "t.*")
     asked = partners.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    top = few(search(asked, texts, limit).select(F.col("owner").alias("partner_id"), "score")).join(partners.select("partner_id", "partner_name", "city"), "partner_id").select("partner_id", "partner_name", "city", "score")
+    top = partners.select("partner_id", "partner_name", "city").join(F.broadcast(few(search(asked, texts, limit).select(F.col("owner").alias("partner_id"), "score"))), "partner_id").select("partner_id", "partner_name", "city", "score")
     counts = items.where("is_active AND service_id IS NOT NULL").groupBy("partner_id").agg(F.countDistinct("service_id").alias("service_count"))
     return top.join(counts, "partner_id", "left").withColumn("service_count", F.coalesce("service_count", F.lit(0))).orderBy(F.col("score").desc(), "partner_name", "partner_id")

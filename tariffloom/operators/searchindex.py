@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.similarity import search_base
+from ..session import workspace
 
 LEAST, MOST, SURE = 60.0, 25, 90.0
 #: Of a query's pairs of letters, for each of its letters, so many are lost at most in a text that scores SURE: edits are a
@@ -91,17 +92,30 @@ def base_score(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([search_base(a, b) for a, b in zip(q, t)], dtype="float64")
 
 
+def alike(known: DataFrame, limit: int) -> DataFrame:
+    """first, owner, said (owner_name, text, is_name): owners of equal names and texts have equal scores for every query, so the
+    first of them stands for all. Of each such group the first so many owners are kept, which are all that can enter a list,
+    and written as a table of its own: what reads it knows its size, which that of a repetitive file hides."""
+    own = known.where("owner IS NOT NULL").groupBy("owner").agg(F.sort_array(F.collect_set(F.struct("owner_name", "text", "is_name"))).alias("said"))
+    order = Window.partitionBy("said").orderBy("owner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = own.withColumns({"_k": F.row_number().over(order), "first": F.first("owner").over(order)}).where(F.col("_k") <= limit).select("first", "owner", "said")
+    at = workspace(known.sparkSession)
+    kept.write.parquet(at)
+    return known.sparkSession.read.schema(kept.schema).parquet(at)
+
+
 def search(queries: DataFrame, texts: DataFrame, limit: int = MOST) -> DataFrame:
     """query_id, owner, owner_name, score of each query's best owners, with their rank.
 
     queries: query_id, query. texts: owner, owner_name, text, is_name. An owner passes if any of its texts holds a word
     (letters and digits) of the query, or its name scores SURE; its score is the best of its texts', 130, 115 or 100 for one
     that equals, begins with or holds the query, else the base score. Scores under LEAST are left out, ties go by owner_name,
-    then owner. Blank and null queries find nothing, nor are blank texts found. Queries and the
+    then owner. Owners of equal names and texts are searched as one. Blank and null queries find nothing, nor are blank texts found. Queries and the
     runs they look up are broadcast up to ROWS and LETTERS and joined beyond; only texts that share a looked-up run are read
     further, and each is scored once for each query."""
     asked = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where("q <> ''").withColumn("tokens", F.array_distinct(F.regexp_extract_all("q", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    known = texts.select("owner", "owner_name", F.lower("text").alias("text"), "is_name").where("text <> ''")
+    groups = alike(texts.select("owner", "owner_name", F.lower("text").alias("text"), "is_name").where("text <> ''"), limit)
+    known = groups.where("owner = first").select("owner", F.inline("said"))
     index = postings(known.select("text").distinct())
     wanted = asked_runs(asked, index)
     asked = small(asked, "q")
@@ -121,4 +135,6 @@ def search(queries: DataFrame, texts: DataFrame, limit: int = MOST) -> DataFrame
     rest = pairs.where("boost IS NULL").select("query_id", "text", base_score("q", "text").alias("score"))
     scored = theirs.join(sure.unionByName(rest), ["query_id", "text"]).groupBy("query_id", "owner", "owner_name").agg(F.round(F.max("score"), 2).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "owner_name", "owner")
-    return scored.where(F.col("score") >= LEAST).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    first = scored.where(F.col("score") >= LEAST).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    listed = first.select("query_id", F.col("owner").alias("first"), "owner_name", "score").join(groups.select("first", "owner"), "first")
+    return listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "owner", "owner_name", "score", "rank")

@@ -83,3 +83,17 @@ def test_scores_in_sql(always):
     for a, b, token_set, part, weighted in found:
         assert abs(token_set - similarity.token_set(a, b)) < 1e-9 and abs(weighted - similarity.weighted(a, b)) < 1e-9
         assert not always or abs(part - similarity.partial(a, b)) < 1e-9
+
+
+def test_owners_of_equal_texts_are_searched_as_one(spark, rows):
+    """Copies of a catalogue under other keys give the lists that scoring every text gives; the tables met don't grow with them."""
+    many = [(owner + 1000 * k, *rest) for k in range(30) for owner, *rest in rows]
+    texts = spark.createDataFrame(many, "owner int, owner_name string, text string, is_name boolean")
+    groups = searchindex.alike(texts.where("text <> ''"), 25)
+    assert groups.where("owner = first").count() <= 90 and groups.count() <= 25 * 90
+    queries = ["анализ крови", "аналз крови", "ab", "консультация"]
+    found = {}
+    for r in searchindex.search(spark.createDataFrame(list(enumerate(queries)), "query_id int, query string"), texts).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.owner, r.score))
+    for k, query in enumerate(queries):
+        assert found.get(k, []) == brute(query, many), query
