@@ -34,3 +34,16 @@ def test_whole_price_lists(spark, name):
     rows = domain.items(spark, SF)
     old, new = pricing.stored(spark, SF).count(), pricing.incoming(spark, SF, whole=True).count()
     assert old + new == rows.count() + old and len(found) == (old + new if name == "snapshot_merge_all" else new)
+
+
+def test_tiles_equal_all_pairs(spark, monkeypatch):
+    """Equal vectors, null and zero ones, null components and other lengths; pairs are scored in arrays, not by a fold for each."""
+    vectors = [[1.0, 0.0], [1.0, 0.0], [0.0, 0.0], None, [None, 1.0], [1.0, 2.0, 3.0], [2.0, 0.0], [-1.0, 0.5], [], [0.3, 0.4]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(match, "SMALL", 4)
+    found = match.cosine_top_k(df.where("vec_id IN (0, 2, 3, 5)"), df, 4)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["vec_id"], round(r["score"], 3)))
+    assert got == {0: [(1, 1.0), (6, 1.0), (9, 0.6), (2, 0.0)], 2: [(0, 0.0), (1, 0.0), (3, 0.0), (4, 0.0)], 3: [(0, 0.0), (1, 0.0), (2, 0.0), (4, 0.0)], 5: [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]}
