@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tariffloom.functions import prices
+from tariffloom.plans import reading
 from tariffloom.operators import assistant, catalogue, geometry, hints, match, tables
 
 
@@ -146,3 +147,11 @@ def test_tables_without_a_name(spark):
     rows = [(1, 0, ["Цена", ""]), (1, 1, ["500", "Осмотр врача"]), (1, 2, ["Приём", "7"]), (2, 0, ["x1", "-"]), (2, 1, ["Снимок кисти", "1 200"]), (3, 0, ["Услуга", "Цена"]), (3, 1, ["УЗИ", "длинное слово 5"])]
     found = tables.priced_rows(spark.createDataFrame([(t, n, c, None) for t, n, c in rows], "table_id long, row_idx int, cells array<string>, hint int"))
     assert sorted((r.table_id, r.row_idx, r.service_name_raw, r.price_resident) for r in found.collect()) == [(1, 1, "Осмотр врача", 500.0), (2, 0, "x1", None), (2, 1, "Снимок кисти", 1200.0), (3, 1, "УЗИ", 5.0)]
+
+
+def test_words_meet_once(spark, sf):
+    """Words are shuffled once, by page; the queries over made pages shuffle keys only, once as well."""
+    words = spark.createDataFrame([(1, 1.0, 2.0, 3.0, "a")], "page_id long, x0 double, x1 double, top double, text string")
+    for found in (geometry.priced_lines(words), geometry.scanned_rows(words), reading.geometry_rows(spark, sf), reading.scanned_rows(spark, sf)):
+        plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 0 and found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
