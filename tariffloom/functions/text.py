@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .folding import compatible
+from .prices import let
 
 #: Shown for what has no category or city.
 NO_CATEGORY, NO_CITY = "Без категории", "Неизвестно"
@@ -64,9 +65,10 @@ def or_unknown(value: Column, shown: str = NO_CATEGORY) -> Column:
 def language(text: Column) -> Column:
     """kk for any Kazakh letter; ru if Cyrillic letters are as many as Latin ones or more; else en; null without letters."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    count = lambda kind: F.length(F.regexp_replace(low, f"[^{kind}]", ""))
-    cyrillic, latin = count("а-яё"), count("a-z")
-    return F.when(count(KAZAKH_LETTERS) > 0, "kk").when((cyrillic == 0) & (latin == 0), None).when(cyrillic >= latin, "ru").otherwise("en")
+    count = lambda t, kind: F.length(F.regexp_replace(t, f"[^{kind}]+", ""))
+    told = lambda n: F.when((n["cyrillic"] == 0) & (n["latin"] == 0), None).when(n["cyrillic"] >= n["latin"], "ru").otherwise("en")
+    counted = lambda t: let(F.struct(count(t, "а-яё").alias("cyrillic"), count(t, "a-z").alias("latin")), told)
+    return let(low, lambda t: F.when(t.rlike(f"[{KAZAKH_LETTERS}]"), "kk").otherwise(counted(t)))
 
 
 def business_id(text: Column) -> Column:

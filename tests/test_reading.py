@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tariffloom.functions import prices
+from tariffloom.functions import prices, text
 from tariffloom.plans import reading
 from tariffloom.operators import assistant, catalogue, geometry, hints, match, tables
 
@@ -155,3 +155,10 @@ def test_words_meet_once(spark, sf):
     for found in (geometry.priced_lines(words), geometry.scanned_rows(words), reading.geometry_rows(spark, sf), reading.scanned_rows(spark, sf)):
         plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Join") == 0 and found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_language_lowers_once(spark):
+    cases = {"Привет": "ru", "hello, МИР": "en", "ҚАЗАҚ тілі": "kk", "12 !": None, None: None, "ab вг": "ru", "İi": "en"}
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(cases)], "n long, t string").select("n", text.language(F.col("t")).alias("v"))
+    assert [r.v for r in sorted(rows.collect(), key=lambda r: r.n)] == list(cases.values())
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
