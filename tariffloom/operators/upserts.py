@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
-from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEPT = ("item_id", "partner_id", "service_name_raw", "effective_date", "price", "version", "is_active", "previous_item_id", "is_anomaly")
-LIMIT = Decimal("0.5")
+TIMES = 2  # a price is an anomaly if this many times its change is more than the price before
 
 
 class Line:
@@ -71,7 +71,7 @@ class Line:
             before = old if old is not None else prior
             row[5:] = [1, True, None, False] if before is None else [before[self.VERSION] + 1, True, before[self.ID], False]
             if prior is not None and prior[self.PRICE] and row[self.PRICE] is not None:
-                row[8] = abs(row[self.PRICE] - prior[self.PRICE]) > LIMIT * abs(prior[self.PRICE])
+                row[8] = TIMES * abs(row[self.PRICE] - prior[self.PRICE]) > abs(prior[self.PRICE])
         for row in off.values():
             date, row[self.ACTIVE] = row[self.DATE], False
             self.active[date].remove((-row[self.VERSION], row[self.ID], row))
@@ -89,6 +89,43 @@ class Line:
             yield from (row for _, _, row in rows)
 
 
+def numbered(kind: pa.DataType) -> bool:
+    return pa.types.is_date32(kind) or pa.types.is_decimal128(kind) and kind.precision <= 18
+
+
+def plain(column: pa.Array) -> list:
+    """A column's values, made all at once where numpy can; dates as days and decimals as whole numbers of their last digit,
+    which sort and compare alike."""
+    kind, n = column.type, len(column)
+    if column.null_count == n:
+        return [None] * n
+    if pa.types.is_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if numbered(kind) and pa.types.is_decimal128(kind):
+        low = np.frombuffer(column.buffers()[1], "<i8")[::2][column.offset : column.offset + n]
+    elif numbered(kind) or pa.types.is_integer(kind) or pa.types.is_boolean(kind):
+        whole = column.cast(pa.int32()) if numbered(kind) else column
+        low = whole.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False)
+    else:
+        return column.to_pylist()
+    if column.null_count:
+        low = low.astype(object)
+        low[np.asarray(column.is_null())] = None
+    return low.tolist()
+
+
+def column_of(values: tuple, kind: pa.DataType) -> pa.Array:
+    """The column whose plain values these are."""
+    if not numbered(kind):
+        return pa.array(values, kind)
+    if pa.types.is_date32(kind):
+        return pa.array(values, pa.int32()).cast(kind)
+    whole = pa.array(values, pa.int64())
+    low = np.asarray(whole.fill_null(0))
+    halves = np.stack([low, low >> 63], axis=1)  # low and high 64 bits
+    return pa.Array.from_buffers(kind, len(whole), [whole.buffers()[0], pa.py_buffer(halves.tobytes())], whole.null_count)
+
+
 def folded(rows: Iterator[tuple]) -> Iterator[list]:
     """rows: (key of the line, whether stored, document, values) in order. Gives each row once: as soon as it is inactive, or at
     its line's end."""
@@ -147,17 +184,17 @@ def upsert(stored: DataFrame | None, rows: DataFrame, deal: Column | None = None
         def told():
             for b in batches:
                 kinds[:] = [b.column(c).type for c in KEPT]
-                partner, names, old, number = (b.column(c).to_pylist() for c in ("partner_id", "_name", "_stored", "document_no"))
-                for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in KEPT))):
+                partner, names, old, number = (plain(b.column(c)) for c in ("partner_id", "_name", "_stored", "document_no"))
+                for k, row in enumerate(zip(*(plain(b.column(c)) for c in KEPT))):
                     yield (partner[k], names[k]), old[k], number[k], list(row)
 
         out = []
         for row in folded(told()):
             out.append(row)
             if len(out) == 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=list(KEPT))
+                yield pa.RecordBatch.from_arrays([column_of(c, t) for c, t in zip(zip(*out), kinds)], names=list(KEPT))
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=list(KEPT))
+            yield pa.RecordBatch.from_arrays([column_of(c, t) for c, t in zip(zip(*out), kinds)], names=list(KEPT))
 
     return dealt.mapInArrow(run, ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in KEPT))
