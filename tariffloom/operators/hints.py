@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prices import ANY_CASE, SPACE, let
+from .once import told
 
 #: Words of a provider's line, known cities, and the forms of the other hints.
 PROVIDER_WORDS = (
@@ -42,7 +43,7 @@ def first_line(lines: Column, keep) -> Column:
 
 def provider_line(lines: Column) -> Column:
     """The first line of the first PROVIDER_LINES with an organisation's word, else the first title-like one."""
-    named = first_line(F.slice(lines, 1, PROVIDER_LINES), lambda x: (F.length(x) <= 120) & F.exists(F.array(*map(F.lit, PROVIDER_WORDS)), lambda w: F.contains(F.lower(x), w)))
+    named = first_line(F.slice(lines, 1, PROVIDER_LINES), lambda x: (F.length(x) <= 120) & let(F.lower(x), lambda low: F.exists(F.array(*map(F.lit, PROVIDER_WORDS)), lambda w: F.contains(low, w))))
     title = first_line(F.slice(lines, 1, TITLE_LINES), lambda x: (F.length(x) <= 100) & x.rlike("\\p{L}"))
     return F.regexp_replace(F.coalesce(named, title), "^[ «»\"']+|[ «»\"']+$", "")
 
@@ -63,10 +64,11 @@ def header_hints(text: Column) -> Column:
     first known city in the order of the list that occurs anywhere there."""
 
     def read(lines: Column) -> Column:
-        head = F.array_join(F.slice(lines, 1, HEAD), "\n")
-        marked = F.lower(found(head, CITY, 1))
-        any_city = first_line(F.array(*map(F.lit, KNOWN_CITIES)), lambda c: F.contains(F.lower(head), c))
-        city = F.when(marked.isin(*KNOWN_CITIES), marked).otherwise(any_city)
+        return let(F.array_join(F.slice(lines, 1, HEAD), "\n"), lambda head: told_of(lines, head))
+
+    def told_of(lines: Column, head: Column) -> Column:
+        any_city = let(F.lower(head), lambda low: first_line(F.array(*map(F.lit, KNOWN_CITIES)), lambda c: F.contains(low, c)))
+        city = let(F.lower(found(head, CITY, 1)), lambda marked: F.when(marked.isin(*KNOWN_CITIES), marked).otherwise(any_city))
         titled = F.array_join(F.transform(F.split(city, "-"), lambda w: F.initcap(w)), "-")
         return F.struct(
             provider_line(lines).alias("partner_name"), found(head, BUSINESS_NUMBER, 1).alias("bin"), found(head, EMAIL).alias("email"), found(head, PHONE).alias("phone"),
@@ -79,7 +81,7 @@ def header_hints(text: Column) -> Column:
 
 def with_header_hints(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the hints as columns; a hint that a document already has stays."""
-    hints = documents.withColumn("_hints", header_hints(F.col(text)))
+    hints = told(documents, documents.columns, _hints=header_hints(F.col(text)))
     names = ("partner_name", "bin", "email", "phone", "city", "address", "effective_date")
     return hints.withColumns({n: F.coalesce(n, f"_hints.{n}") if n in documents.columns else F.col(f"_hints.{n}") for n in names}).drop("_hints")
 

@@ -162,3 +162,10 @@ def test_language_lowers_once(spark):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(cases)], "n long, t string").select("n", text.language(F.col("t")).alias("v"))
     assert [r.v for r in sorted(rows.collect(), key=lambda r: r.n)] == list(cases.values())
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_hints_lower_once(spark):
+    """No text is lowered anew for each word that it is searched for."""
+    rows = hints.with_header_hints(spark.createDataFrame([("Клиника «Ёж»\nг. нур-султан",), (None,)], "text string"))
+    assert "contains(lower(" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r.partner_name, r.city) for r in rows.collect()] == [("Клиника «Ёж", "Нур-Султан"), (None, None)]
