@@ -39,23 +39,45 @@ def snapshot_merge(stored: DataFrame, document: DataFrame, price: str = "price")
 
     Rows of the document see the snapshot before it, not each other, so equal keys inside it all become active. A row
     replaces the active stored row of its key and date; whether or not it has one, its price is compared with the best
-    prior row of its key with another date (a null date counts as other than any; for a null date, any date), the active,
-    latest and highest version first; that one is its predecessor if nothing was replaced, and is deactivated.
+    prior row of its key with another date (for a null date, any date), the active, latest and highest version first; that
+    one is its predecessor if nothing was replaced, and is deactivated. Rows of the document that repeat an item_id of their
+    key and date are one.
     stored needs item_id, partner_id, service_name_raw, effective_date, version, is_active, previous_item_id, is_anomaly.
+
+    A line's rows meet once, sorted by date. Of its stored rows two can be anyone's prior: the best, and the best of another
+    date than that one's, for rows of the best one's date. So no row meets all of its line.
     """
-    new = same_day(document, stored).withColumn("_name", F.trim("service_name_raw"))
-    prior = stored.select(F.col("partner_id").alias("_pp"), F.trim("service_name_raw").alias("_pn"), F.col("effective_date").alias("_pd"), F.col("item_id").alias("prior_id"), F.col("version").alias("prior_version"), F.col(price).alias("prior_price"), F.col("is_active").alias("prior_active"))
-    other = F.when(F.col("effective_date").isNull(), F.col("_pd").isNotNull()).otherwise(F.col("_pd") != F.col("effective_date"))
-    met = new.join(prior, F.col("partner_id").eqNullSafe(F.col("_pp")) & (F.col("_name") == F.col("_pn")) & other, "left")
-    best = Window.partitionBy("item_id").orderBy(F.col("prior_active").desc_nulls_last(), F.col("_pd").desc_nulls_last(), F.col("prior_version").desc_nulls_last(), "prior_id")
-    top = met.withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    added = top.withColumns({
-        "is_anomaly": anomaly(F.col(price), F.col("prior_price")), "is_active": F.lit(True),
-        "version": F.coalesce(F.col("old_version") + 1, F.col("prior_version") + 1, F.lit(1)).cast("int"), "previous_item_id": F.coalesce("old_item_id", "prior_id"),
+    own = ["version", "is_active", "previous_item_id", "is_anomaly"]
+    both = stored.withColumn("_new", F.lit(False)).unionByName(document.select(*(c for c in stored.columns if c not in own), F.lit(True).alias("_new")), allowMissingColumns=True)
+    day = F.col("effective_date")
+    line = Window.partitionBy("partner_id", "_name")
+    same = line.partitionBy("partner_id", "_name", "effective_date").orderBy("_new", F.col("is_active").desc_nulls_last(), F.col("version").desc_nulls_last(), "item_id")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = both.withColumn("_name", F.trim("service_name_raw")).withColumns({
+        "_replaced": F.first(F.when(~F.col("_new") & F.col("is_active"), F.struct("item_id", "version")), ignorenulls=True).over(whole), "_hit": F.max("_new").over(whole),
+        "_again": F.col("_new") & F.coalesce(F.lag("_new").over(same) & F.lag("item_id").over(same).eqNullSafe(F.col("item_id")), F.lit(False)),
+    }).where("NOT _again")
+    # fields in the order of preference, the least first
+    ranked = F.struct(
+        F.when(F.col("is_active"), 0).when(~F.col("is_active"), 1).otherwise(2).alias("idle"), (-F.unix_date(day)).alias("early"), F.col("version").isNull().alias("unversioned"), (-F.col("version").cast("long")).alias("low"),
+        F.col("item_id").alias("item_id"), day.alias("day"), F.col("version").alias("version"), F.col(price).alias("price"), F.col("is_active").alias("is_active"),
+    )
+    prior = ~F.col("_new") & day.isNotNull() & F.col("_name").isNotNull()
+    met = met.withColumn("_best", F.min(F.when(prior, ranked)).over(line))
+    its_day = day.eqNullSafe(F.col("_best.day"))
+    met = met.withColumns({
+        "_next": F.min(F.when(prior & ~its_day, ranked)).over(line),
+        "_hit_best": F.max(F.col("_new") & ~its_day).over(line), "_hit_next": F.max(F.col("_new") & its_day).over(line),
     })
-    off = added.select(F.col("old_item_id").alias("item_id")).unionByName(added.where("prior_active").select(F.col("prior_id").alias("item_id"))).where("item_id IS NOT NULL").distinct().withColumn("_off", F.lit(True))
-    kept = stored.join(off, "item_id", "left").withColumn("is_active", F.col("is_active") & F.col("_off").isNull())
-    return kept.select(stored.columns).unionByName(added.select(stored.columns))
+    met = met.withColumn("_prior", F.when(its_day, F.col("_next")).otherwise(F.col("_best")))
+    gone = lambda row, hit: F.coalesce(F.col(hit) & F.col(f"{row}.is_active") & (F.col(f"{row}.item_id") == F.col("item_id")), F.lit(False))
+    off = F.coalesce(F.col("_hit") & (F.col("_replaced.item_id") == F.col("item_id")), F.lit(False)) | gone("_best", "_hit_best") | gone("_next", "_hit_next")
+    told = {
+        "version": F.coalesce(F.col("_replaced.version") + 1, F.col("_prior.version") + 1, F.lit(1)).cast("int"), "is_active": F.lit(True),
+        "previous_item_id": F.coalesce("_replaced.item_id", "_prior.item_id"), "is_anomaly": anomaly(F.col(price), F.col("_prior.price")),
+    }
+    kept = {c: F.col(c) for c in own} | {"is_active": F.col("is_active") & ~off}
+    return met.select(*(F.when(F.col("_new"), told[c]).otherwise(kept[c]).alias(c) if c in own else c for c in stored.columns))
 
 
 def reconcile(rows: DataFrame, tie: str = "item_id", created: str = "created_at") -> DataFrame:
