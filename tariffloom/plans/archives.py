@@ -7,6 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -15,6 +16,7 @@ from . import domain
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 WORDS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+AT_ONCE = 200  # archives that a task holds
 
 
 def packed(parts: dict[str, str | bytes]) -> bytes:
@@ -53,14 +55,20 @@ def letter(rows: list[list[str]]) -> bytes:
 def archives(spark, d):
     """path, content: an archive for each fifty orders, with a workbook of two sheets, a letter, and what must be left out."""
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lines = [[f"Услуга {k}", float(c)] for k, c in sorted(zip(rows["o_orderkey"].tolist(), rows["o_custkey"].tolist()))]
+    def build(keys: list[int], prices: list[int]) -> bytes:
+        lines = [[f"Услуга {k}", float(c)] for k, c in zip(keys, prices)]
         book = workbook({"sheet2": [["Название", "Цена"], *lines], "sheet1": [[None, "Итого", len(lines)]]})
-        parts = {"price/list.xlsx": book, "письмо.docx": letter([[n, f"{int(p)} тг"] for n, p in lines]), "../evil.xlsx": book, "empty.xlsx": b"", "notes.txt": "x", "broken.docx": b"PK\x03\x04 no archive"}
-        return pd.DataFrame({"path": [f"archive{key[0]}.zip"], "content": [packed(parts)]})
+        return packed({"price/list.xlsx": book, "письмо.docx": letter([[n, f"{int(p)} тг"] for n, p in lines]), "../evil.xlsx": book, "empty.xlsx": b"", "notes.txt": "x", "broken.docx": b"PK\x03\x04 no archive"})
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(at, AT_ONCE) for at in range(0, whole.num_rows, AT_ONCE)):
+                groups = b.column("g").to_pylist()
+                made = [build(*row) for row in zip(b.column("keys").to_pylist(), b.column("prices").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([f"archive{g}.zip" for g in groups], pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
 
-    orders = domain.read(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr("o_orderkey div 50").alias("g"))
-    return orders.groupBy("g").applyInPandas(build, "path string, content binary")
+    orders = domain.read(spark, d, "orders").groupBy(F.expr("o_orderkey div 50").alias("g")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("rows"))
+    return orders.select("g", F.col("rows.o_orderkey").alias("keys"), F.col("rows.o_custkey").alias("prices")).mapInArrow(run, "path string, content binary")
 
 
 def archive_rows(spark, d):

@@ -7,9 +7,11 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from ..session import ship
 SUPPORTED = ("pdf", "docx", "xlsx", "xls")
 LARGEST = 200 * 1024 * 1024
 ENDS = 1 << 16  # bytes of a file's ends in which an archive's parts are looked for
+#: Entries, their bytes and rows after which a task passes on what it has read.
+ENTRIES, BYTES, ROWS = 500, 1 << 24, 5000
 #: Column names of catalogue files by the field that they mean.
 CATALOGUE_NAMES = {
     "service_name": ("service_name", "name", "наименование", "название", "услуга", "атауы"), "synonyms": ("synonyms", "синонимы"), "category": ("category", "категория", "раздел"),
@@ -78,11 +82,11 @@ def zip_counts(files: DataFrame) -> DataFrame:
 def zip_entries(files: DataFrame) -> DataFrame:
     """archive, name, content of each archive's members of a supported kind that are not empty; broken archives give none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
                 except zipfile.BadZipFile:
                     continue
                 for info in archive.infolist():
@@ -91,9 +95,39 @@ def zip_entries(files: DataFrame) -> DataFrame:
                         with archive.open(info) as f:
                             data = f.read(LARGEST + 1)
                         if 0 < len(data) <= LARGEST:
-                            yield pd.DataFrame({"archive": [path], "name": [name], "content": [data]})
+                            yield path, name, data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            columns = zip(zip(*out), (pa.string(), pa.string(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["archive", "name", "content"])
+
+        out, size = [], 0
+        for member in members(batches):
+            if out and (len(out) >= ENTRIES or size + len(member[2]) > BYTES):
+                yield packed()
+                out, size = [], 0
+            out.append(member)
+            size += len(member[2])
+        if out:
+            yield packed()
+
+    return files.select("path", "content").mapInArrow(run, "archive string, name string, content binary").withColumn("safe_name", safe_filename(F.col("name")))
+
+
+@lru_cache(1 << 12)
+def local(tag: str) -> str:
+    """An element's name without its namespace."""
+    return tag.rsplit("}", 1)[-1]
 
-    return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary").withColumn("safe_name", safe_filename(F.col("name")))
+
+@lru_cache(1 << 12)
+def column_number(letters: str) -> int:
+    """A column's place, from 0, by its letters."""
+    column = 0
+    for ch in letters:
+        column = 26 * column + ord(ch) - 64
+    return column - 1
 
 
 def cell_text(value) -> str:
@@ -116,25 +150,22 @@ def sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(n.rsplit("/", 1)[-1].removesuffix(".xml"), n) for n in found]
 
 
+LETTERS = re.compile("[A-Z]+")
+
+
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
     """(sheet, row number, cells, level) of every sheet of an XLSX file; level is the first filled column plus indents."""
     book = zipfile.ZipFile(io.BytesIO(content))
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if local(si) == "si"]
+        shared = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if local(si.tag) == "si"]
     for sheet, name in sheets(book):
-        for k, row in enumerate(e for e in ElementTree.fromstring(book.read(name)).iter() if local(e) == "row"):
+        for k, row in enumerate(e for e in ElementTree.fromstring(book.read(name)).iter() if local(e.tag) == "row"):
             cells: list[str] = []
             for c in row:
-                letters = re.match("[A-Z]+", c.get("r", ""))
-                column = len(cells)
-                if letters:
-                    column = 0
-                    for ch in letters[0]:
-                        column = 26 * column + ord(ch) - 64
-                    column -= 1
-                value = "".join(t.text or "" for t in c.iter() if local(t) in ("v", "t"))
+                letters = LETTERS.match(c.get("r", ""))
+                column = column_number(letters[0]) if letters else len(cells)
+                value = "".join([t.text or "" for t in c.iter() if local(t.tag) in ("v", "t")])
                 if c.get("t") == "s" and value:
                     value = shared[int(value)]
                 elif value and c.get("t") in (None, "n"):
@@ -152,22 +183,22 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
 def document_rows(content: bytes) -> Iterator[tuple[str, int, list[str], int]]:
     """(table, row number, cells, level) of a DOCX file's tables and headings, with tracked changes accepted."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
 
     def text(e) -> str:
-        if local(e) in ("del", "moveFrom", "delText"):
+        kind = local(e.tag)
+        if kind in ("del", "moveFrom", "delText"):
             return ""
-        return (e.text or "" if local(e) == "t" else "") + "".join(text(x) for x in e) + ("\n" if local(e) == "p" else "")
+        return (e.text or "" if kind == "t" else "") + "".join([text(x) for x in e]) + ("\n" if kind == "p" else "")
 
     tables, nth = 0, 0
-    for block in next((e for e in body if local(e) == "body"), body):
-        if local(block) == "tbl":
-            for row in (r for r in block if local(r) == "tr"):
-                yield f"table{tables}", nth, [text(c).strip() for c in row if local(c) == "tc"], 0
+    for block in next((e for e in body if local(e.tag) == "body"), body):
+        if local(block.tag) == "tbl":
+            for row in (r for r in block if local(r.tag) == "tr"):
+                yield f"table{tables}", nth, [text(c).strip() for c in row if local(c.tag) == "tc"], 0
                 nth += 1
             tables += 1
-        elif local(block) == "p":
-            style = next((v for s in block.iter() if local(s) == "pStyle" for k, v in s.attrib.items() if k.endswith("val")), "")
+        elif local(block.tag) == "p":
+            style = next((v for s in block.iter() if local(s.tag) == "pStyle" for k, v in s.attrib.items() if k.endswith("val")), "")
             m = re.search(r"(?i)(?:heading|заголовок)\s*(\d)", style)
             if m and text(block).strip():
                 yield f"table{tables}", nth, [text(block).strip()], int(m[1]) - 1
@@ -214,19 +245,29 @@ def tables(files: DataFrame, readers: dict[str, Callable[[bytes], Iterable[tuple
     told = files.withColumn("_format", detect_format(F.col("name"), F.col("content"))).where(F.col("_format").isin(*readers))
     names = [*(f.name for f in kept), "file", "table_id", "row_idx", "cells", "hint"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                *passed, name, kind, content = row
+            passed = b.columns[: len(kept)]
+
+            def packed() -> pa.RecordBatch:
+                at, *columns = zip(*out)
+                made = [pa.array(c, t, from_pandas=True) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32()))]
+                return pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int64())) for c in passed] + made, names=names)
+
+            out = []
+            for at, (name, kind) in enumerate(zip(b.column("name").to_pylist(), b.column("_format").to_pylist())):
                 try:
-                    rows = [(*passed, name, f"{name}#{t}", k, cells, level) for t, k, cells, level in readers[kind](content)]
+                    out += [(at, name, f"{name}#{t}", k, cells, level) for t, k, cells, level in readers[kind](b.column("content")[at].as_py())]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
                     continue
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"hint": "Int32"})
+                if len(out) >= ROWS:
+                    yield packed()
+                    out = []
+            if out:
+                yield packed()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["file string, table_id string, row_idx int, cells array<string>, hint int"])
-    return told.select(*(F.col(f"`{f.name}`") for f in kept), "name", "_format", "content").mapInPandas(run, schema)
+    return told.select(*(F.col(f"`{f.name}`") for f in kept), "name", "_format", "content").mapInArrow(run, schema)
 
 
 def catalogue_sheets(files: DataFrame) -> DataFrame:
