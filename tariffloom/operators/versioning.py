@@ -80,14 +80,15 @@ def snapshot_merge(stored: DataFrame, document: DataFrame, price: str = "price")
     return met.select(*(F.when(F.col("_new"), told[c]).otherwise(kept[c]).alias(c) if c in own else c for c in stored.columns))
 
 
-def reconcile(rows: DataFrame, tie: str = "item_id", created: str = "created_at") -> DataFrame:
+def reconcile(rows: DataFrame, tie: str = "item_id", created: str = "created_at", within: tuple[str, ...] = ()) -> DataFrame:
     """rows with is_active set anew: of each partner's service (or normalised raw name, if unmatched) with more than one row,
     only the latest by date (null first), version and, where rows have it, creation stays active; single rows keep what they
-    have."""
+    have. within: columns that follow from the partner and the service, by which rows come sorted first."""
     key = F.coalesce(F.col("service_id").cast("string"), F.concat(F.lit("raw:"), normalise(F.col("service_name_raw"))))
-    group = Window.partitionBy("partner_id", key)
+    group = Window.partitionBy(*within, "partner_id", key)
     order = group.orderBy(F.col("effective_date").desc_nulls_last(), F.col("version").desc_nulls_last(), *([F.col(created).desc_nulls_last()] if created in rows.columns else []), tie)
-    return rows.withColumn("is_active", F.when(F.count("*").over(group) > 1, F.row_number().over(order) == 1).otherwise(F.col("is_active")))
+    nth, more = F.row_number().over(order), F.lead(F.lit(True)).over(order).isNotNull()
+    return rows.withColumn("is_active", F.when((nth > 1) | more, nth == 1).otherwise(F.col("is_active")))
 
 
 def document_status(rows: DataFrame, documents: DataFrame) -> DataFrame:

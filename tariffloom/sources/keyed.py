@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Change = Callable[[DataFrame | None, DataFrame, Column], DataFrame]
+PART = "part"  # of data and log
 
 
 @dataclass(frozen=True)
@@ -57,22 +58,36 @@ class KeyedTable:
     def merge(self, batch: DataFrame, commit: int, change: Change) -> int:
         """Commits change(stored rows of the parts that the batch touches or None, batch, part), which gives all rows of these
         parts, and returns how many parts were written. A commit that the log has is not done again; one that failed before
-        that is done anew. Only one writer at a time. change may deal rows by the given expression, which saves a shuffle."""
+        that is done anew. Only one writer at a time. change may deal rows by the given expression, which saves a shuffle, and
+        give rows that come sorted by a column `part` of it, which saves a sort. What an empty table's first batch touches is
+        told by what was written, so such a batch is not kept."""
         if commit in self.commits():
             return 0
-        batch = batch.persist()
+        now, at = self.current(), f"{self.path}/data/{commit}"
+        if now:
+            batch = batch.persist()
         try:
-            touched = {r["part"] for r in batch.select(self.part().alias("part")).distinct().collect()}
-            if touched:
-                now = self.current()
-                rows = change(self.of({p: c for p, c in now.items() if p in touched}), batch, self.part())
-                rows.withColumn("part", self.part()).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/{commit}")
+            touched = {r["part"] for r in batch.select(self.part().alias("part")).distinct().collect()} if now else None
+            if touched or not now:
+                rows = change(self.of({p: c for p, c in now.items() if p in touched}) if now else None, batch, self.part())
+                dealt = PART in rows.columns and PART not in self.schema.names
+                (rows if dealt else rows.withColumn(PART, self.part())).write.mode("overwrite").partitionBy(PART).parquet(at)
+            if touched is None:
+                touched = self.written(at)
             entry = self.spark.createDataFrame([(commit, p) for p in sorted(touched)] or [(commit, None)], "commit long, part int")
             entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/{commit}")
         finally:
-            batch.unpersist()
+            if now:
+                batch.unpersist()
         return len(touched)
 
+    def written(self, folder: str) -> set[int]:
+        """Parts that have a folder there. Bounded by the number of parts."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
+        names = (f.getPath().getName() for f in found)
+        return {int(n.removeprefix(f"{PART}=")) for n in names if n.startswith(f"{PART}=")}
+
     def vacuum(self, keep: int = 1) -> int:
         """Deletes data that none of the last `keep` commits needs; returns how many parts went. Older commits can't be read then."""
         commits = self.commits()

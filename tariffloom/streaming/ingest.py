@@ -8,16 +8,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upserts, versioning
-from ..sources.keyed import Change, KeyedTable
+from ..sources.keyed import PART, Change, KeyedTable
+
+
+#: Hashes of repeated item_ids that the driver may hold.
+REPEATED = 10_000
+
+
+def distinct(batch: DataFrame) -> DataFrame:
+    """One row of each item_id. Rows are shuffled for it only if their item_id's hash is met again; of all others just the hash
+    is. Where too many are met again, all rows are shuffled."""
+    mark = F.xxhash64("item_id")
+    again = batch.groupBy(mark.alias("_mark")).agg(F.count("*").alias("_n")).where("_n > 1").select("_mark").limit(REPEATED + 1).collect()
+    if not again:
+        return batch
+    if len(again) > REPEATED:
+        return batch.dropDuplicates(["item_id"])
+    marks = F.broadcast(batch.sparkSession.createDataFrame(again, "_mark long"))
+    once = batch.join(marks, mark == F.col("_mark"), "left_anti")
+    return once.unionByName(batch.join(marks, mark == F.col("_mark"), "left_semi").dropDuplicates(["item_id"]))
 
 
 def reconciled(stored: DataFrame | None, batch: DataFrame, part: Column) -> DataFrame:
-    """Rows of the parts that a batch touches: repeated item_ids are dropped, and these parts' lines are reconciled anew."""
-    fresh = batch.dropDuplicates(["item_id"]).withColumns({"is_active": F.lit(True), "version": F.lit(1)})
-    if stored is None:
-        return versioning.reconcile(fresh)
-    fresh = fresh.join(stored.select("item_id"), "item_id", "left_anti")
-    return versioning.reconcile(stored.unionByName(fresh.select(stored.columns)))
+    """Rows of the parts that a batch touches: repeated item_ids are dropped, and these parts' lines are reconciled anew. Rows come
+    with their part and sorted by it."""
+    fresh = distinct(batch).withColumns({"is_active": F.lit(True), "version": F.lit(1)})
+    if stored is not None:
+        fresh = fresh.join(stored.select("item_id"), "item_id", "left_anti")
+        fresh = stored.unionByName(fresh.select(stored.columns))
+    return versioning.reconcile(fresh.withColumn(PART, part), within=(PART,))
 
 
 def upserted(stored: DataFrame | None, batch: DataFrame, part: Column) -> DataFrame:
