@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import business_id, normalise
 from ..session import workspace
+from . import once
 
 #: Fixed value: what a provider without a name is called.
 UNNAMED = "Неизвестный партнёр"
@@ -86,15 +87,21 @@ def resolve_or_create(documents: DataFrame, partners: DataFrame) -> tuple[DataFr
     that misses falls back to the name even if the provider of that name has another number. Only the first document of each
     number and name changes anything, so these are reduced to one row each before they are grouped and folded; all
     documents then look up who had their number, if it was had by then, or else their name. Names without letters or digits
-    find nothing: each such document without a number makes a provider of its own. A new provider's id is one
+    find nothing: each such document without a number makes a provider of its own. Documents are read twice, to be reduced by
+    what they say as it is written, so that the rest works on what differs, and to look up. A new provider's id is one
     more than its first document's added to the greatest known one. Documents need distinct ids from 0 on. Empty tables are fine."""
     base = partners.agg(F.coalesce(F.max("partner_id"), F.lit(0))).first()[0]
     name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit(UNNAMED))
     docs = documents.withColumns({"_b": business_id(F.col("bin")), "_called": name}).withColumn("_n", normalise(F.col("_called")))
-    met = docs.where("_b IS NOT NULL OR _n <> ''").groupBy("_b", "_n").agg(F.min("document_id").alias("document"))
+    written = documents.groupBy("bin", "name").agg(F.min("document_id").alias("document"))
+    keys = once.told(written, ["document"], _b=business_id(F.col("bin")), _n=normalise(name)).where("_b IS NOT NULL OR _n <> ''")
+    met = keys.groupBy("_b", "_n").agg(F.min("document").alias("document"))
     known = partners.select(F.col("partner_id").alias("partner"), F.lit(None).cast("long").alias("document"), business_id(F.col("bin")).alias("_b"), normalise(F.col("partner_name")).alias("_n"))
     rows = known.unionByName(met.withColumn("partner", F.lit(None).cast("long")), allowMissingColumns=True)
     keyed = rows.withColumns({"a": F.concat(F.lit("b"), "_b"), "b": F.when(F.col("_n") != "", F.concat(F.lit("n"), "_n"))})
+    at = workspace(documents.sparkSession)
+    keyed.write.parquet(f"{at}/keys")
+    keyed = documents.sparkSession.read.schema(keyed.schema).parquet(f"{at}/keys")
     found = groups(keyed.select("a", "b"))
     dealt = keyed.join(found, F.coalesce("a", "b") == found["node"]).select("label", "partner", F.col("document").cast("long").alias("document"), "_b", "_n")
 
@@ -117,9 +124,8 @@ def resolve_or_create(documents: DataFrame, partners: DataFrame) -> tuple[DataFr
 
     order = ["label", F.col("partner").asc_nulls_last(), "document"]
     facts = dealt.repartition("label").sortWithinPartitions(*order).mapInArrow(run, KNOWN)
-    at = workspace(documents.sparkSession)
-    facts.write.parquet(at)
-    facts = documents.sparkSession.read.schema(KNOWN).parquet(at)
+    facts.write.parquet(f"{at}/facts")
+    facts = documents.sparkSession.read.schema(KNOWN).parquet(f"{at}/facts")
     of = lambda kind, key: facts.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("partner_id").alias(f"_by_{kind}"), F.col("since").alias(f"_since_{kind}"))
     told = docs.join(of("bin", "_kb"), F.col("_b") == F.col("_kb"), "left").join(of("name", "_kn"), F.col("_n") == F.col("_kn"), "left")
     own = F.lit(base + 1) + F.col("document_id")
