@@ -91,22 +91,34 @@ RECOGNISED = {
     "O": "0", "o": "0", "О": "0", "о": "0", "Q": "0", "l": "1", "I": "1", "|": "1", "¡": "1", "З": "3", "z": "2", "Z": "2", "S": "5", "s": "5", "B": "8", "б": "6", "g": "9",
 }
 SHARE = 0.6
+#: What a text whose blanks are to be cleaned has somewhere.
+UNCLEAN = "[\\r\\n\\t\\u00A0\\u202F]|  |^ | $"
 
 
 def repaired_numbers(text: Column, letters: dict[str, str] = RECOGNISED) -> Column:
     """Tokens with a real digit that are digits and look-alikes to SHARE or more, but for points, get digits for these."""
     sources, digits = "".join(letters), "".join(letters.values())
 
+    def alike(core: Column) -> Column:
+        return F.length(F.regexp_replace(core, f"[^\\d{sources}]", "")) >= SHARE * F.length(core)
+
     def token(t: Column) -> Column:
-        core = F.regexp_replace(t, "[.,]", "")
-        alike = F.length(F.regexp_replace(core, f"[^\\d{sources}]", ""))
-        return F.when(t.rlike("\\d") & (alike >= SHARE * F.length(core)), F.translate(t, sources, digits)).otherwise(t)
+        return F.when(t.rlike("\\d") & let(F.regexp_replace(t, "[.,]", ""), alike), F.translate(t, sources, digits)).otherwise(t)
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?U)\\s+|\\S+"), F.lit(0)), token), "")
+    tokens = F.regexp_extract_all(text, F.lit("(?U)\\s+|\\S+"), F.lit(0))
+    return F.when(text.rlike("(?U)\\s"), F.array_join(F.transform(tokens, token), "")).otherwise(token(text))
 
 
 def cleaned_text(text: Column) -> Column:
-    """Recognised text with numbers repaired, runs of blanks as one, trimmed lines and no more than one empty line in a row."""
-    one = F.regexp_replace(F.regexp_replace(repaired_numbers(F.coalesce(text, F.lit(""))), "\\r\\n?", "\n"), "[ \\t\\u00A0\\u202F]+", " ")
-    lines = F.array_join(F.transform(F.split(one, "\n"), lambda x: F.trim(x)), "\n")
-    return F.regexp_replace(F.regexp_replace(lines, "^\\n+|\\n+$", ""), "\\n{3,}", "\n\n")
+    """Recognised text with numbers repaired, runs of blanks as one, trimmed lines and no more than one empty line in a row.
+
+    Texts without blanks to clean keep theirs, and only those with a digit and a look-alike have numbers to repair."""
+
+    def blanks(t: Column) -> Column:
+        one = F.regexp_replace(F.regexp_replace(t, "\\r\\n?", "\n"), "[ \\t\\u00A0\\u202F]+", " ")
+        lines = F.array_join(F.transform(F.split(one, "\n"), lambda x: F.trim(x)), "\n")
+        return F.regexp_replace(F.regexp_replace(lines, "^\\n+|\\n+$", ""), "\\n{3,}", "\n\n")
+
+    whole = F.coalesce(text, F.lit(""))
+    mended = F.when(whole.rlike("\\d") & whole.rlike(f"[{''.join(RECOGNISED)}]"), repaired_numbers(whole)).otherwise(whole)
+    return let(mended, lambda t: F.when(t.rlike(UNCLEAN), blanks(t)).otherwise(t))
