@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEPT = ("item_id", "partner_id", "service_name_raw", "effective_date", "price", "version", "is_active", "previous_item_id", "is_anomaly")
 TIMES = 2  # a price is an anomaly if this many times its change is more than the price before
@@ -152,7 +153,25 @@ def folded(rows: Iterator[tuple]) -> Iterator[list]:
         yield from line.rest()
 
 
-def upsert(stored: DataFrame | None, rows: DataFrame, deal: Column | None = None) -> DataFrame:
+def schema_of(rows: DataFrame) -> T.StructType:
+    """The schema of upsert()'s rows."""
+    given = [T.StructField(c, rows.schema[c].dataType) for c in KEPT[:5]]
+    made = (T.IntegerType(), T.BooleanType(), rows.schema["item_id"].dataType, T.BooleanType())
+    return T.StructType(given + [T.StructField(c, kind) for c, kind in zip(KEPT[5:], made)])
+
+
+def line_name() -> Column:
+    return F.coalesce(F.trim("service_name_raw"), F.lit("")).alias("_name")
+
+
+def unknown(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows but those whose item_id their line has stored."""
+    known = stored.select(F.col("partner_id").alias("_p"), line_name().alias("_n"), F.col("item_id").alias("_i"))
+    same = F.col("partner_id").eqNullSafe(F.col("_p")) & (line_name() == F.col("_n")) & (F.col("item_id") == F.col("_i"))
+    return rows.join(known, same, "left_anti")
+
+
+def upsert(stored: DataFrame | None, rows: DataFrame, deal: tuple[Column, int] | None = None) -> DataFrame:
     """All rows (KEPT) after the documents of rows have been upserted into stored ones, one after another by document_no.
 
     rows: item_id, partner_id, service_name_raw, effective_date, price, document_no. A line is a partner (a null one too)
@@ -163,20 +182,18 @@ def upsert(stored: DataFrame | None, rows: DataFrame, deal: Column | None = None
     all become active; a null document_no comes first. Rows whose item_id the line already has are left out, as are repeated
     ones, so a batch that is delivered twice changes nothing. Empty tables give what the other one makes. A line's documents
     follow on each other, so a line is one task's; it streams through sorted, and only its active rows are held. deal: an
-    expression of a line by which lines are dealt to tasks.
+    expression of a line that tells its task, and the number of tasks; rows are then known to be distinct and new.
     """
-    name = F.coalesce(F.trim("service_name_raw"), F.lit("")).alias("_name")
-    none = {"version": "int", "is_active": "boolean", "previous_item_id": rows.schema["item_id"].dataType, "is_anomaly": "boolean"}
-    ahead = rows.select(*KEPT[:5], "document_no", name, F.lit(False).alias("_stored")).dropDuplicates(["item_id"])
-    ahead = ahead.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    if deal is None:
+        rows = rows.dropDuplicates(["item_id"])
+        rows = rows if stored is None else unknown(stored, rows)
+    made = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema_of(rows).fields[5:]]
+    ahead = rows.select(*KEPT[:5], *made, F.lit(False).alias("_stored"), "document_no")
     if stored is not None:
-        have = stored.select(*KEPT, name, F.lit(None).cast(rows.schema["document_no"].dataType).alias("document_no"), F.lit(True).alias("_stored"))
-        known = have.select(F.col("partner_id").alias("_p"), F.col("_name").alias("_n"), F.col("item_id").alias("_i"))
-        same = F.col("partner_id").eqNullSafe(F.col("_p")) & (F.col("_name") == F.col("_n")) & (F.col("item_id") == F.col("_i"))
-        ahead = ahead.join(known, same, "left_anti").unionByName(have)
-    by = [deal] if deal is not None else ["partner_id", "_name"]
+        ahead = ahead.unionByName(stored.select(*KEPT, F.lit(True).alias("_stored"), F.lit(None).cast(rows.schema["document_no"].dataType).alias("document_no")))
     order = ["partner_id", "_name", F.col("_stored").desc(), F.col("document_no").asc_nulls_first(), "item_id"]
-    dealt = ahead.select(*KEPT, "_name", "_stored", "document_no").repartition(*by).sortWithinPartitions(*order)
+    met = ahead.repartition("partner_id", line_name()) if deal is None else ahead.repartitionById(deal[1], deal[0])
+    dealt = met.withColumn("_name", line_name()).sortWithinPartitions(*order)
 
     def run(batches):
         kinds: list[pa.DataType] = []

@@ -11,12 +11,17 @@ from ..streaming import ingest
 from . import domain
 
 LISTS = 8  # that arrive one after another
+PART_ROWS = 500_000  # of a part of the keyed table, about
 
 
 def price_lists(spark, d):
+    return price_lists_of(domain.items(spark, d))
+
+
+def price_lists_of(rows):
     """All items as rows of price lists: lines that come back in one list and in many, names with blanks around them, dates of
     quarters, so that lists repeat each other's."""
-    rows, blank = domain.items(spark, d), F.when(F.col("document_id") % 3 == 0, "  ").otherwise("")
+    blank = F.when(F.col("document_id") % 3 == 0, "  ").otherwise("")
     kind = F.regexp_extract("service_name_raw", r"\d+", 0).cast("long") % 25
     return rows.select(
         "item_id", "partner_id", F.concat(blank, F.lit("Service "), kind.cast("string"), blank).alias("service_name_raw"),
@@ -33,17 +38,19 @@ def upsert_documents(spark, d):
 
 def versions_table(spark, path, rows, parts=32):
     line = "coalesce(trim(service_name_raw), '')"
-    return KeyedTable(spark, path, upserts.upsert(None, rows).schema, ("partner_id", line), parts)
+    return KeyedTable(spark, path, upserts.schema_of(rows), ("partner_id", line), parts)
 
 
 def stream_upsert(spark, d, arrivals=4):
-    """The same lists, some at a time, through a stream into a keyed table."""
-    at, rows = workspace(spark), price_lists(spark, d)
-    table = versions_table(spark, f"{at}/table", rows)
+    """The same lists, some at a time, through a stream into a keyed table. Lists arrive as they are delivered, in parts of
+    which a task holds one."""
+    at, lines = workspace(spark), domain.read(spark, d, "lineitem")
+    table = versions_table(spark, f"{at}/table", price_lists(spark, d), max(32, -(-lines.count() // PART_ROWS)))
+    number = F.col("l_orderkey") % LISTS * arrivals
     for k in range(arrivals):
-        rows.where(F.col("document_no") * arrivals >= k * LISTS).where(F.col("document_no") * arrivals < (k + 1) * LISTS).write.mode("append").parquet(f"{at}/lists")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/lists")
-        ingest.ingest(stream, table, f"{at}/checkpoint", ingest.upserted)
+        lines.where((number >= k * LISTS) & (number < (k + 1) * LISTS)).write.mode("append").option("compression", "zstd").parquet(f"{at}/lists")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{at}/lists")
+        ingest.ingest(price_lists_of(domain.items_of(stream)), table, f"{at}/checkpoint", ingest.upserted)
     return table.read().select(*OUT)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-Change = Callable[[DataFrame | None, DataFrame, Column], DataFrame]
+Change = Callable[[DataFrame | None, DataFrame, Column, int], DataFrame]
 PART = "part"  # of data and log
 
 
@@ -56,29 +56,25 @@ class KeyedTable:
         return self.spark.createDataFrame([], self.schema) if found is None else found
 
     def merge(self, batch: DataFrame, commit: int, change: Change) -> int:
-        """Commits change(stored rows of the parts that the batch touches or None, batch, part), which gives all rows of these
-        parts, and returns how many parts were written. A commit that the log has is not done again; one that failed before
+        """Commits change(stored rows of the parts that the batch touches or None, batch, part, number of parts), which gives
+        all rows of these parts, and returns how many parts were written. A commit that the log has is not done again; one that failed before
         that is done anew. Only one writer at a time. change may deal rows by the given expression, which saves a shuffle, and
         give rows that come sorted by a column `part` of it, which saves a sort. What an empty table's first batch touches is
-        told by what was written, so such a batch is not kept."""
+        told by what was written. A batch is read anew by each step and not kept, in memory or on disks, so it has to give the
+        same rows each time, as a stream's does."""
         if commit in self.commits():
             return 0
         now, at = self.current(), f"{self.path}/data/{commit}"
-        if now:
-            batch = batch.persist()
-        try:
-            touched = {r["part"] for r in batch.select(self.part().alias("part")).distinct().collect()} if now else None
-            if touched or not now:
-                rows = change(self.of({p: c for p, c in now.items() if p in touched}) if now else None, batch, self.part())
-                dealt = PART in rows.columns and PART not in self.schema.names
-                (rows if dealt else rows.withColumn(PART, self.part())).write.mode("overwrite").partitionBy(PART).parquet(at)
-            if touched is None:
-                touched = self.written(at)
-            entry = self.spark.createDataFrame([(commit, p) for p in sorted(touched)] or [(commit, None)], "commit long, part int")
-            entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/{commit}")
-        finally:
-            if now:
-                batch.unpersist()
+        touched = {r["part"] for r in batch.select(self.part().alias("part")).distinct().collect()} if now else None
+        if touched or not now:
+            rows = change(self.of({p: c for p, c in now.items() if p in touched}) if now else None, batch, self.part(), self.parts)
+            dealt = PART in rows.columns and PART not in self.schema.names
+            rows = rows if dealt else rows.withColumn(PART, self.part())
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy(PART).parquet(at)
+        if touched is None:
+            touched = self.written(at)
+        entry = self.spark.createDataFrame([(commit, p) for p in sorted(touched)] or [(commit, None)], "commit long, part int")
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/{commit}")
         return len(touched)
 
     def written(self, folder: str) -> set[int]:

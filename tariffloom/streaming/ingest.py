@@ -29,7 +29,7 @@ def distinct(batch: DataFrame) -> DataFrame:
     return once.unionByName(batch.join(marks, mark == F.col("_mark"), "left_semi").dropDuplicates(["item_id"]))
 
 
-def reconciled(stored: DataFrame | None, batch: DataFrame, part: Column) -> DataFrame:
+def reconciled(stored: DataFrame | None, batch: DataFrame, part: Column, parts: int | None = None) -> DataFrame:
     """Rows of the parts that a batch touches: repeated item_ids are dropped, and these parts' lines are reconciled anew. Rows come
     with their part and sorted by it."""
     fresh = distinct(batch).withColumns({"is_active": F.lit(True), "version": F.lit(1)})
@@ -39,9 +39,27 @@ def reconciled(stored: DataFrame | None, batch: DataFrame, part: Column) -> Data
     return versioning.reconcile(fresh.withColumn(PART, part), within=(PART,))
 
 
-def upserted(stored: DataFrame | None, batch: DataFrame, part: Column) -> DataFrame:
-    """Rows of the parts that a batch of whole documents touches, these upserted in order."""
-    return upserts.upsert(stored, batch, part)
+def upserted(stored: DataFrame | None, batch: DataFrame, part: Column, parts: int) -> DataFrame:
+    """Rows of the parts that a batch of whole documents touches, these upserted in order, a part by one task."""
+    return upserts.upsert(stored, fresh(stored, batch), (part, parts))
+
+
+def fresh(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """One row of each item_id, without those that their line has stored. Of all rows just their item_id's hash is shuffled;
+    only those whose hash is met again, in the batch or in what is stored, are compared as a whole."""
+    mark = F.xxhash64("item_id")
+    marks = batch.select(mark.alias("_mark"), F.lit(True).alias("_new"))
+    if stored is not None:
+        marks = marks.unionByName(stored.select(mark.alias("_mark"), F.lit(False).alias("_new")))
+    again = marks.groupBy("_mark").agg(F.count("*").alias("_n"), F.bool_or("_new").alias("_new")).where("_n > 1 AND _new").select("_mark").limit(REPEATED + 1).collect()
+    if not again:
+        return batch
+    single = lambda rows, have: rows.dropDuplicates(["item_id"]) if have is None else upserts.unknown(have, rows.dropDuplicates(["item_id"]))
+    if len(again) > REPEATED:
+        return single(batch, stored)
+    marked = F.broadcast(batch.sparkSession.createDataFrame(again, "_mark long"))
+    met = lambda rows, how: rows.join(marked, mark == F.col("_mark"), how)
+    return met(batch, "left_anti").unionByName(single(met(batch, "left_semi"), None if stored is None else met(stored, "left_semi")))
 
 
 def ingest(stream: DataFrame, table: KeyedTable, checkpoint_dir: str, change: Change = reconciled) -> KeyedTable:
